@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, media, mixing, warc
+from . import chat, embeddings, jaccard, media, mixing, warc
 from .common import table
 
 
@@ -31,12 +31,16 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.poisson_replicate(docs, mixing.temperature_rates(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat": op1_chat, "op2_audio": op2_audio, "op4_warc": op4_warc, "op6_jaccard": op6_jaccard, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat": op1_chat, "op2_audio": op2_audio, "op4_warc": op4_warc, "op6_jaccard": op6_jaccard, "op9_embeddings": op9_embeddings, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {
     "op10_mixing": mixing.ORACLE,
     "op4_warc": """
