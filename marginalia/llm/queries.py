@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, jaccard, media, mixing, warc
+from . import chat, embeddings, jaccard, langid, media, mixing, warc
 from .common import table
 
 
@@ -23,6 +23,15 @@ def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_features(table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out("doc_id", 4, 2)
+    model = langid.learn(docs, ~held)
+    if model is None:
+        raise ValueError("documents has no labelled rows to learn from")
+    return langid.identify(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.store_and_read(table(spark, sf_dir, "pages"))
 
@@ -40,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_replicate(docs, mixing.temperature_rates(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat": op1_chat, "op2_audio": op2_audio, "op4_warc": op4_warc, "op6_jaccard": op6_jaccard, "op9_embeddings": op9_embeddings, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat": op1_chat, "op2_audio": op2_audio, "op3_language": op3_language, "op4_warc": op4_warc, "op6_jaccard": op6_jaccard, "op9_embeddings": op9_embeddings, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {
     "op10_mixing": mixing.ORACLE,
     "op4_warc": """
