@@ -19,10 +19,10 @@ SAMPLE = 20_000
 #: Vectors of a cell on average, and most cells there are.
 PER_CELL, MOST_CELLS = 1000, 2048
 ROUNDS = 8
-#: Members of a cell that are multiplied with each other at once.
-BLOCK = 1024
+#: Home vectors of a cell that are multiplied at once, with a chunk of twice as many members.
+BLOCK = 2048
 #: How many standard deviations the margin is, within which a vector visits other cells.
-SPREAD = 4.5
+SPREAD = 1.5
 #: Decimals to which a bound is relaxed against rounding.
 _SLACK = 1e-9
 
@@ -85,33 +85,30 @@ def _assign(distinct: DataFrame, centres: np.ndarray, cosine: float, spread: flo
 
 
 def _products(dealt: DataFrame, dims: int, cosine: float) -> DataFrame:
-    """(a, links, b) for each linked vector of a tile: how many vectors of the tile's home it links with, and its root among the tile's links.
+    """(a, links, b) for each linked member of a tile: with how many of the tile's home vectors it links, and its root among the tile's links.
 
-    dealt: cell, i, j, c, no, copies, home, vector; rows of a tile (cell, i, j) together.
-    Only pairs with the second vector at home are counted, so that a link counts once.
+    dealt: cell, i, j, build, no, copies, vector; rows of a tile (cell, i, j) together: those
+    of a block of the cell's home vectors (build) and of a chunk of its members. A linked
+    vector has one home, so each link of a member counts once.
     """
 
-    def tile(i: int, j: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def tile(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        c, no, copies, home = (rows.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6))
-        x, _ = _unit(rows.column(7), dims)
-        left, right = (np.arange(len(c)),) * 2 if i == j else (np.flatnonzero(c == i), np.flatnonzero(c == j))
-        links = np.zeros(len(c), np.int64)
-        us, vs = [], []
-        for p in range(0, len(left), BLOCK):
-            at = left[p : p + BLOCK]
-            u, v = np.nonzero(x[at] @ x[right].T >= cosine)
-            u, v = at[u], right[v]
-            keep = (home[u] | home[v]) & (u != v)
-            u, v = u[keep], v[keep]
-            np.add.at(links, u, np.where(home[v], copies[v], 0))
-            if i != j:
-                np.add.at(links, v, np.where(home[u], copies[u], 0))
+        build, no, copies = (rows.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+        x, _ = _unit(rows.column(6), dims)
+        right, left = np.flatnonzero(build), np.flatnonzero(~build)
+        links = np.zeros(len(no), np.int64)
+        us, vs = [no[:0]], [no[:0]]
+        for p in range(0, len(left), BLOCK // 2):
+            u, v = np.nonzero(x[left[p : p + BLOCK // 2]] @ x[right].T >= cosine)
+            u, v = left[p + u], right[v]
+            u, v = u[(other := no[u] != no[v])], v[other]
+            np.add.at(links, u, copies[v])
             us.append(no[u])
             vs.append(no[v])
-        nodes, root = forest(np.concatenate(us), np.concatenate(vs)) if us else (no[:0], no[:0])
-        order = np.argsort(no)
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links[order[np.searchsorted(no[order], nodes)]]), pa.array(root)], names=["a", "links", "b"])
+        linked = left[links[left] > 0]
+        nodes, root = forest(np.concatenate(us), np.concatenate(vs))
+        return pa.RecordBatch.from_arrays([pa.array(no[linked]), pa.array(links[linked]), pa.array(root[np.searchsorted(nodes, no[linked])])], names=["a", "links", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
@@ -123,11 +120,11 @@ def _products(dealt: DataFrame, dims: int, cosine: float) -> DataFrame:
                 if b > a:
                     if (key := tuple(keys[a].tolist())) != now:
                         if parts:
-                            yield tile(now[1], now[2], parts)
+                            yield tile(parts)
                         now, parts = key, []
                     parts.append(batch.slice(a, b - a))
         if parts:
-            yield tile(now[1], now[2], parts)
+            yield tile(parts)
 
     return dealt.mapInArrow(run, "a long, links long, b long")
 
@@ -141,7 +138,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     their number, so copies cost nothing; rows with a repeated id are further vectors. A
     null id is ignored as the smallest, unless all ids of a component are null. Cosines are
     computed in double precision, BLOCK vectors at once within a cell, and a cell of many
-    vectors is dealt out by pairs of its blocks. spread None compares losslessly, at more cost.
+    vectors is dealt out by its blocks. spread None compares losslessly, at more cost.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.transform(F.col(vector).cast("array<float>"), lambda v: v + F.lit(0.0).cast("float")).alias("vector"))  # -0.0 becomes 0.0
@@ -160,12 +157,15 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     sample = numbered.filter(F.pmod("h1", F.lit(1 << 20)) < share).orderBy("h1", "h2").limit(SAMPLE).select("vector").toArrow()
     centres = spherical_kmeans(_unit(sample.column("vector").combine_chunks(), d)[0], max(1, min(MOST_CELLS, total // PER_CELL)))
     cells = materialise(_assign(numbered, centres, cosine, spread), "cells")
-    sizes = [(r.cell, max(1, -(-r.n // BLOCK))) for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()]  # at most MOST_CELLS rows
-    blocks = F.broadcast(spark.createDataFrame(sizes, "cell int, blocks int"))
-    dealt = cells.join(blocks, "cell").withColumn("c", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("c", "o")).withColumn("j", F.greatest("c", "o"))
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("h")).collect()  # at most MOST_CELLS rows
+    plan = spark.createDataFrame([(r.cell, max(1, -(-r.h // BLOCK)), max(1, -(-r.n // (2 * BLOCK)))) for r in sizes], "cell int, blocks int, chunks int")
+    dealt = cells.join(F.broadcast(plan), "cell")
+    number = lambda what: F.pmod(F.xxhash64("no"), F.col(what)).cast("int")
+    every = lambda what: F.explode(F.sequence(F.lit(0), F.col(what) - 1))
+    built = dealt.filter("home").withColumn("i", number("blocks")).withColumn("j", every("chunks")).withColumn("build", F.lit(True))
+    probed = dealt.withColumn("j", number("chunks")).withColumn("i", every("blocks")).withColumn("build", F.lit(False))
     tile = ["cell", "i", "j"]
-    dealt = dealt.repartition(*tile).sortWithinPartitions(*tile).select(*tile, "c", "no", "copies", "home", "vector")
+    dealt = built.unionByName(probed).repartition(*tile).sortWithinPartitions(*tile).select(*tile, "build", "no", "copies", "vector")
     found = materialise(_products(dealt, d, cosine), "links")
     merged = components(found.select("a", "b")).withColumnRenamed("node", "no")
     links = found.groupBy(F.col("a").alias("no")).agg(F.sum("links").alias("links"))
