@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, jaccard, langid, media, mixing, pii, warc
+from . import chat, embeddings, jaccard, langid, media, mixing, packing, pii, warc
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.store_and_read(table(spark, sf_dir, "pages"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_replicate(docs, mixing.temperature_rates(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat": op1_chat, "op2_audio": op2_audio, "op3_language": op3_language, "op4_warc": op4_warc, "op6_jaccard": op6_jaccard, "op7_pii": op7_pii, "op9_embeddings": op9_embeddings, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat": op1_chat, "op2_audio": op2_audio, "op3_language": op3_language, "op4_warc": op4_warc, "op5_packing": op5_packing, "op6_jaccard": op6_jaccard, "op7_pii": op7_pii, "op9_embeddings": op9_embeddings, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {
     "op10_mixing": mixing.ORACLE,
     "op4_warc": """
