@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, jaccard, langid, media, mixing, packing, pii, warc
+from . import chat, embeddings, jaccard, langid, media, mixing, packing, pii, scoring, warc
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"), langid.held_out("doc_id", 7, 2))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -57,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_replicate(docs, mixing.temperature_rates(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat": op1_chat, "op2_audio": op2_audio, "op3_language": op3_language, "op4_warc": op4_warc, "op5_packing": op5_packing, "op6_jaccard": op6_jaccard, "op7_pii": op7_pii, "op9_embeddings": op9_embeddings, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat": op1_chat, "op2_audio": op2_audio, "op3_language": op3_language, "op4_warc": op4_warc, "op5_packing": op5_packing, "op6_jaccard": op6_jaccard, "op7_pii": op7_pii, "op8_scoring": op8_scoring, "op9_embeddings": op9_embeddings, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {
     "op10_mixing": mixing.ORACLE,
     "op4_warc": """
