@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: A rate above this is drawn as a sum of independent draws of equal smaller rates, so exp(-rate) never underflows.
 LARGEST_DRAW = 256
 #: So many sources at most are broadcast; beyond, both sides are salted and joined by a shuffle.
@@ -24,20 +26,25 @@ def temperature_rates(docs: DataFrame, alpha: float = 0.7, epochs: float = 1.0,
     characters after mixing is epochs times that of the input. A source without
     any character keeps its documents at rate ``epochs``. Null is a source.
     """
-    mass = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.length(F.coalesce(F.col(text), F.lit("")))).cast("double").alias("__mass"))
-    total = mass.agg(F.sum("__mass").alias("__all"), F.sum(F.pow("__mass", F.lit(float(alpha)))).alias("__norm"))
-    rate = F.lit(float(epochs)) * F.col("__all") * F.pow("__mass", F.lit(float(alpha))) / F.col("__norm") / F.col("__mass")
-    return mass.join(F.broadcast(total)).select("source", F.when(F.col("__mass") > 0, rate).otherwise(F.lit(float(epochs))).alias("rate"))  # total is one row
+    mass = _mass(docs, source, text)
+    total = mass.agg(F.sum("__mass").alias("all"), F.sum(F.pow("__mass", F.lit(float(alpha)))).alias("norm")).first()
+    rate = F.lit(float(epochs)) * F.lit(total["all"]) * F.pow("__mass", F.lit(float(alpha))) / F.lit(total["norm"]) / F.col("__mass")
+    return mass.select("source", F.when(F.col("__mass") > 0, rate).otherwise(F.lit(float(epochs))).alias("rate"))
+
+
+def _mass(docs: DataFrame, source: str, text: str) -> DataFrame:
+    """(source, __mass): characters of each source, as a table of its own, as it is used more than once."""
+    return materialise(docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.length(F.coalesce(F.col(text), F.lit("")))).cast("double").alias("__mass")), "mass")
 
 
 def weight_rates(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, source: str = "source", text: str = "text") -> DataFrame:
     """(source, rate) for stated target weights; a source that isn't listed gets rate 0."""
     spark = docs.sparkSession
-    mass = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.length(F.coalesce(F.col(text), F.lit("")))).cast("double").alias("__mass"))
-    total = mass.agg(F.sum("__mass").alias("__all"))
+    mass = _mass(docs, source, text)
+    total = mass.agg(F.sum("__mass").alias("all")).first()
     asked = spark.createDataFrame([(k, float(v) / sum(weights.values())) for k, v in weights.items()], "source string, __w double")
-    rate = F.lit(float(epochs)) * F.col("__all") * F.coalesce("__w", F.lit(0.0)) / F.col("__mass")
-    return mass.join(F.broadcast(asked), "source", "left").join(F.broadcast(total)).select("source", F.when(F.col("__mass") > 0, rate).otherwise(F.lit(0.0)).alias("rate"))
+    rate = F.lit(float(epochs)) * F.lit(total["all"]) * F.coalesce("__w", F.lit(0.0)) / F.col("__mass")
+    return mass.join(F.broadcast(asked), "source", "left").select("source", F.when(F.col("__mass") > 0, rate).otherwise(F.lit(0.0)).alias("rate"))
 
 
 def _uniform(seed: int, key: Column, draw: Column) -> Column:
