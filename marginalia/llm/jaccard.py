@@ -36,8 +36,8 @@ LEAST_BITS, MOST_BITS = 128, 8192
 HEAVY, HEAVY_MOST = 400, 50_000
 #: Bits of the map that keeps sets without a candidate out of a shuffle.
 FILTER_BITS = 1 << 24
-#: Members of a tile that are compared in one piece.
-TILE = 2048
+#: Members of a tile that are compared in one piece; in tiles of SMALL members, pairs are told first and their signatures looked up after.
+TILE, SMALL = 2048, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,17 +141,22 @@ def _text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def text_hash(text: str) -> F.Column:
+    """A hash of a text, by which rows with one id are told apart; null has one too."""
+    return F.xxhash64(F.col(text), F.col(text).isNull())
+
+
 def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, n, sid, sig, head, tail): each document's set; sid identifies equal sets, head and tail are the packed prefix and rest."""
+    """(doc_id, h, n, sid, sig, head, tail): each document's set, h being a hash of its text; sid identifies equal sets, head and tail are the packed prefix and rest."""
     import xxhash
 
     bounded_batches(docs.sparkSession)
-    names = ["doc_id", "n", "sid", "sig", "head", "tail"]
+    names = ["doc_id", "h", "n", "sid", "sig", "head", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sid, sig, head, tail = [], [], [], [], []
-            for x in shingles(*_text_buffers(batch.column(1))):
+            for x in shingles(*_text_buffers(batch.column(2))):
                 n.append(len(x))
                 if not len(x):
                     sid.append(None), sig.append(None), head.append(None), tail.append(None)
@@ -161,10 +166,10 @@ def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
                 sig.append(signature(x))
                 head.append(pack(x[:cut]))
                 tail.append(pack(x[cut:]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), *(pa.array(c, pa.binary()) for c in (sig, head, tail))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), *(pa.array(c, pa.binary()) for c in (sig, head, tail))], names=names)
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, sid long, sig binary, head binary, tail binary")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_hash(text).alias("h"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, n long, sid long, sig binary, head binary, tail binary")
 
 
 def _heavy(sets: DataFrame) -> np.ndarray:
@@ -261,19 +266,22 @@ def _band(n: F.Column) -> F.Column:
     return F.floor(F.log(n.cast("double")) / np.log(100 / PERCENT) + 1e-9).cast("int")
 
 
-def _tile_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) from different components: tiles of (tok, band), in which signatures bound the overlap.
+def _tile_pairs(members: DataFrame, info: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) from different components, in tiles in which signatures bound the overlap.
 
-    members: tok, sid, n, comp, sig. A set is a member of its own band's tile, and a
-    guest in the next one's; guests aren't compared with each other.
+    members: tok, sid, n, comp, m (members of the shingle). Up to TILE members are one tile.
+    More are cut into tiles of (tok, band): a set is a member of its own band's tile, and a
+    guest in the next one's, guests not being compared with each other; and a tile of more
+    than TILE members is dealt out by pairs of its chunks.
     """
-    own = members.withColumn("band", _band(F.col("n"))).withColumn("guest", F.lit(False))
-    tiles = own.unionByName(own.withColumn("band", F.col("band") + 1).withColumn("guest", F.lit(True)))
+    few = members.filter(F.col("m") <= TILE).select("tok", "sid", "n", "comp", *(F.lit(0).alias(k) for k in ("band", "i", "j", "c")), F.lit(False).alias("guest"))
+    own = members.filter(F.col("m") > TILE).withColumn("band", _band(F.col("n"))).withColumn("guest", F.lit(False))
+    many = own.unionByName(own.withColumn("band", F.col("band") + 1).withColumn("guest", F.lit(True)))
     tile = Window.partitionBy("tok", "band")
-    tiles = tiles.withColumn("lo", F.min("comp").over(tile)).withColumn("hi", F.max("comp").over(tile)).withColumn("some", F.min("guest").over(tile)).filter("lo < hi AND NOT some").drop("lo", "hi", "some")
-    tiles = tiles.withColumn("c", F.floor((F.row_number().over(tile.orderBy("n", "sid")) - 1) / TILE).cast("int")).withColumn("m", F.max("c").over(tile))
-    tiles = tiles.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m")))).withColumn("i", F.least("c", "k")).withColumn("j", F.greatest("c", "k"))
+    many = many.withColumn("c", F.floor((F.row_number().over(tile.orderBy("n", "sid")) - 1) / TILE).cast("int")).withColumn("last", F.max("c").over(tile))
+    many = many.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("i", F.least("c", "k")).withColumn("j", F.greatest("c", "k"))
     keys = ["tok", "band", "i", "j"]
+    tiles = few.unionByName(many.select(few.columns)).join(info.select("sid", "sig"), "sid")
     tiles = tiles.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "c", "sid", "n", "comp", "guest", "sig")
 
     def compare(t: tuple, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +299,7 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
             u, v = np.nonzero(ok)
             differ = np.bitwise_count(bits[x[u]] ^ bits[right[v]]).sum(axis=1, dtype=np.int64)
             total = n[x[u]] + n[right[v]]
-            near = (100 + PERCENT) * (total - differ) // 2 >= PERCENT * total  # overlap is at most (total - differ) / 2
+            near = _possible(total, differ)
             a, b = sid[x[u[near]]], sid[right[v[near]]]
             out.append((np.minimum(a, b), np.maximum(a, b)))
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
@@ -323,14 +331,55 @@ def _fold(sig: bytes, width: int) -> np.ndarray:
     return x
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included).
+def _bounded(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """(a, b, d): the distinct pairs that signatures don't rule out, with the number of differing bits."""
+    pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
+    one, two = (info.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
+    signed = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
 
-    A null or blank text has no shingles and links with nothing, so its component is
-    its own id. Repeated texts and repeated rows are linked; rows with a null id take
-    part in links and are ignored as the smallest id, unless all ids are null. An empty
-    table gives an empty table. Links are the same whatever the order or partitions.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ, total = [], batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                width = min(len(a), len(b))
+                differ.append(int(np.bitwise_count(_fold(a, width) ^ _fold(b, width)).sum()))
+            near = pa.array(_possible(total, np.array(differ, np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(near) for k in (0, 1)), pa.array(np.array(differ, np.int64)).filter(near)], names=["a", "b", "d"])
+
+    return materialise(signed.mapInArrow(run, "a long, b long, d long"), "bounded")
+
+
+def _nearest(bounded: DataFrame) -> DataFrame:
+    """Of bounded pairs those in which one is the other's nearest by differing bits; at most two a set."""
+    left = bounded.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+    right = bounded.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a"))
+    return left.unionByName(right)
+
+
+def _small_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) from different components and of fitting sizes in tiles of at most SMALL members."""
+    tiles = members.groupBy("tok").agg(F.collect_list(F.struct("sid", "n", "comp")).alias("x")).select("x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = set()
+            for x in batch.column(0).to_pylist():
+                for k, one in enumerate(x):
+                    for two in x[k + 1 :]:
+                        if one["comp"] != two["comp"] and 100 * min(one["n"], two["n"]) >= PERCENT * max(one["n"], two["n"]):
+                            pairs.add((min(one["sid"], two["sid"]), max(one["sid"], two["sid"])))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+    return tiles.mapInArrow(run, "a long, b long")
+
+
+def _possible(total: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Whether two sets with so many elements in all may link: each differing bit is an element of one only, so the overlap is at most (total - differ) / 2."""
+    return (100 + PERCENT) * (total - differ) >= 2 * PERCENT * total
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, h, n, comp): each row's class by links; comp is any number of the class, null without shingles, and h the hash of the text."""
     sets = materialise(shingle_sets(docs, key, text), "sets")
     entries = _entries(sets, _heavy(sets)).repartition("tok")
     by_size = Window.partitionBy("tok").orderBy("n", "sid")
@@ -339,15 +388,47 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     alive = entries.withColumn("members", F.count("*").over(Window.partitionBy("tok"))).filter("members > 1").drop("members")
     alive = materialise(alive, "alive")
     chain = alive.filter(F.col("prev").isNotNull() & (100 * F.col("prev_n") >= PERCENT * F.col("n"))).select(F.least("prev", "sid").alias("a"), F.greatest("prev", "sid").alias("b"))
-    links = materialise(_verified(chain, sets), "links")
+    info = materialise(sets.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
+    links = materialise(_verified(_nearest(_bounded(chain, info)), sets), "links")
     merged = components(links)
-    info = sets.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("sig").alias("sig"))
     comps = alive.select("tok", "sid", "n").join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
     across = Window.partitionBy("tok")
-    mixed = comps.withColumn("lo", F.min("comp").over(across)).withColumn("hi", F.max("comp").over(across)).filter("lo < hi").drop("lo", "hi")
-    more = _verified(materialise(_tile_pairs(mixed.join(info, "sid")), "pairs"), sets)
+    mixed = comps.withColumn("lo", F.min("comp").over(across)).withColumn("hi", F.max("comp").over(across)).withColumn("m", F.count("*").over(across)).filter("lo < hi").drop("lo", "hi")
+    mixed = materialise(mixed, "mixed")
+    pairs = _small_pairs(mixed.filter(F.col("m") <= SMALL)).unionByName(_tile_pairs(mixed.filter(F.col("m") > SMALL), info))
+    more = _verified(_bounded(pairs, info).select("a", "b"), sets)
     final = components(links.unionByName(more))
-    classes = sets.select("doc_id", "n", "sid").join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
-    classes = materialise(classes.select("doc_id", "n", "comp"), "classes")
-    least = classes.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    return classes.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    told = sets.select("doc_id", "h", "n", "sid").join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
+    return materialise(told.select("doc_id", "h", "n", "comp"), "classes")
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included).
+
+    A null or blank text has no shingles and links with nothing, so its component is
+    its own id. Repeated texts and repeated rows are linked; rows with a null id take
+    part in links and are ignored as the smallest id, unless all ids are null. An empty
+    table gives an empty table. Links are the same whatever the order or partitions.
+    """
+    told = classes(docs, key, text)
+    least = told.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    return told.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near-duplicates: of each class one row, that with the smallest key, or in a tie the smallest hash of its text.
+
+    Null keys come last. Rows without shingles are classes of their own and all stay.
+    Of rows that are the same in key and text, one stays, any if they differ elsewhere.
+    """
+    told = classes(docs, key, text)
+    best = told.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("best"))
+    keep = best.select(F.col("best.doc_id").alias("__id"), F.col("best.h").alias("__h"))
+    rows = docs.withColumn("__h", text_hash(text)).withColumn("__blank", ~F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
+    blank = rows.filter("__blank").select(*docs.columns)
+    some = rows.filter("NOT __blank").join(keep.withColumnRenamed("__h", "__k"), (F.col("__h") == F.col("__k")) & F.col(key).cast("long").eqNullSafe(F.col("__id")))
+    alone = told.filter("comp IS NOT NULL").groupBy("doc_id", "h").count().filter("count > 1").limit(1).count() == 0
+    if not alone:  # rows repeat, so a row of each is chosen; the order is any
+        own = Window.partitionBy("__h", key).orderBy(F.monotonically_increasing_id())
+        some = some.withColumn("__row", F.row_number().over(own)).filter("__row = 1")
+    return some.select(*docs.columns).unionByName(blank)
