@@ -60,7 +60,7 @@ def asked(s, d):
 
 
 VALUE = "concat(p_name, ' ,', lower(p_type), '( ', p_brand, ' );x.', p_size)"
-CLEAN = "replace(p_name || ', ' || lower(p_type) || '(' || p_brand || '); x. ' || p_size, '#', 'No')"
+CLEAN = "replace(p_name || ', ' || lower(p_type) || '(' || p_brand || '); ', '#', 'No')"
 PATTERNS = [("small .*", "tiny"), ("x\\. [0-9]+", "$__$"), ("red", "$_rubra_$")]
 
 
