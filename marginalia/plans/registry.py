@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("text", "votes", "refs", "values", "dates")
+MODULES: tuple[str, ...] = ("text", "votes", "refs", "values", "dates", "trees")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
