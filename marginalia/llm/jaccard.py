@@ -7,8 +7,8 @@ band). Inside a tile, hashed bitmap signatures are compared bit by bit: the numb
 differing bits bounds the overlap from above. What passes is intersected exactly.
 
 Work is kept linear in a group of copies: sets that are equal are one class; then sets
-next to each other in a tile are tested and merged; and of what is left, only pairs
-from different components need a test. Nothing is capped: a large tile is cut into
+next to each other in a tile, and components' nearest pairs, are tested and merged; and
+of what is left, only pairs from different components need a test. Nothing is capped: a large tile is cut into
 chunks, and pairs of chunks are dealt out.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise
@@ -29,15 +29,17 @@ WORDS = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 _MASK = np.uint64((1 << 48) - 1)
-#: Signatures have a power of two of bits in this range, about twice the set's size; the larger of two is folded.
-LEAST_BITS, MOST_BITS = 128, 8192
+#: Signatures have a power of two of bits in this range, four times the set's size or more; the larger of two is folded.
+LEAST_BITS, MOST_BITS = 128, 16384
 #: A shingle that so many prefixes share comes last in the global order; at most HEAVY_MOST of them, the most frequent.
 #: The order decides how much work there is, never the result.
-HEAVY, HEAVY_MOST = 400, 50_000
+HEAVY, HEAVY_MOST = 64, 50_000
 #: Bits of the map that keeps sets without a candidate out of a shuffle.
 FILTER_BITS = 1 << 24
 #: Members of a tile that are compared in one piece; in tiles of SMALL members, pairs are told first and their signatures looked up after.
-TILE, SMALL = 2048, 16
+TILE, SMALL = 4096, 16
+#: Sizes and places in the prefix are shuffled as one number, size * PLACES + place.
+PLACES = 1 << 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,7 +129,7 @@ def prefix_length(n: int) -> int:
 
 
 def signature(x: np.ndarray) -> bytes:
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(x) - 1).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(4 * len(x) - 1).bit_length()))
     out = np.zeros(bits, np.uint8)
     out[(x % np.uint64(bits)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -150,7 +152,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, h, n, sid, sig, head, tail): each document's set, h being a hash of its text; sid identifies equal sets, head and tail are the packed prefix and rest."""
     import xxhash
 
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 250)
     names = ["doc_id", "h", "n", "sid", "sig", "head", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +197,7 @@ def _heavy(sets: DataFrame) -> np.ndarray:
 
 
 def _entries(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(tok, sid, n): the prefix of each set in the order that puts heavy shingles last."""
+    """(tok, sid, np): the prefix of each set in the order that puts heavy shingles last; np is the set's size and the shingle's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,9 +214,10 @@ def _entries(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
                 lens.append(len(x))
             if toks:
                 at = np.repeat(np.arange(len(lens)), lens)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).astype(np.int64)), batch.column(0).take(pa.array(at)), batch.column(1).cast(pa.int32()).take(pa.array(at))], names=["tok", "sid", "n"])
+                place = np.concatenate([np.arange(k) for k in lens])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).astype(np.int64)), batch.column(0).take(pa.array(at)), pa.array(batch.column(1).to_numpy()[at] * PLACES + place)], names=["tok", "sid", "np"])
 
-    return sets.filter("sid IS NOT NULL").select("sid", "n", "head", "tail").mapInArrow(run, "tok long, sid long, n int")
+    return sets.filter("sid IS NOT NULL").select("sid", "n", "head", "tail").mapInArrow(run, "tok long, sid long, np long")
 
 
 def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -261,65 +264,85 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+def _reachable(n_a, place_a, n_b, place_b):
+    """Whether two sets may link whose first common shingle has these places: no more can be common than what follows the place in either. Takes columns, numbers or arrays."""
+    least = F.least if isinstance(n_a, Column) else np.minimum
+    return (100 + PERCENT) * least(n_a - place_a, n_b - place_b) >= PERCENT * (n_a + n_b)
+
+
 def _band(n: F.Column) -> F.Column:
     """Sizes of linked sets differ by 4/3 at most, so their bands by one at most."""
     return F.floor(F.log(n.cast("double")) / np.log(100 / PERCENT) + 1e-9).cast("int")
 
 
-def _tile_pairs(members: DataFrame, info: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) from different components, in tiles in which signatures bound the overlap.
+def _tile_pairs(members: DataFrame, info: DataFrame, nearest: bool) -> DataFrame:
+    """Candidate pairs (a, b) from different components, in tiles in which signatures bound the overlap; with nearest, only the nearest pair of each component in a tile.
 
-    members: tok, sid, n, comp, m (members of the shingle). Up to TILE members are one tile.
+    members: tok, sid, n, place, comp, m (members of the shingle), lo (the least component). Up
+    to TILE members are one tile; the tiles of a group of copies share lo, and so a task, which
+    tells each of their pairs once.
     More are cut into tiles of (tok, band): a set is a member of its own band's tile, and a
     guest in the next one's, guests not being compared with each other; and a tile of more
     than TILE members is dealt out by pairs of its chunks.
     """
-    few = members.filter(F.col("m") <= TILE).select("tok", "sid", "n", "comp", *(F.lit(0).alias(k) for k in ("band", "i", "j", "c")), F.lit(False).alias("guest"))
-    own = members.filter(F.col("m") > TILE).withColumn("band", _band(F.col("n"))).withColumn("guest", F.lit(False))
+    few = members.filter(F.col("m") <= TILE).select("tok", "sid", "n", "place", "comp", F.col("lo").alias("home"), *(F.lit(0).alias(k) for k in ("band", "i", "j", "c")), F.lit(False).alias("guest"))
+    own = members.filter(F.col("m") > TILE).withColumn("home", F.col("tok")).withColumn("band", _band(F.col("n"))).withColumn("guest", F.lit(False))
     many = own.unionByName(own.withColumn("band", F.col("band") + 1).withColumn("guest", F.lit(True)))
     tile = Window.partitionBy("tok", "band")
     many = many.withColumn("c", F.floor((F.row_number().over(tile.orderBy("n", "sid")) - 1) / TILE).cast("int")).withColumn("last", F.max("c").over(tile))
     many = many.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("i", F.least("c", "k")).withColumn("j", F.greatest("c", "k"))
-    keys = ["tok", "band", "i", "j"]
+    keys = ["home", "tok", "band", "i", "j"]
     tiles = few.unionByName(many.select(few.columns)).join(info.select("sid", "sig"), "sid")
-    tiles = tiles.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "c", "sid", "n", "comp", "guest", "sig")
+    tiles = tiles.repartition("home", "band", "i", "j").sortWithinPartitions(*keys).select(*keys, "c", "sid", "n", "place", "comp", "guest", "sig")
 
     def compare(t: tuple, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        c, sid, n, comp, guest, sig = (list(x) for x in zip(*rows, strict=True))
-        c, sid, n, comp, guest = np.array(c), np.array(sid), np.array(n, np.int64), np.array(comp), np.array(guest)
+        *numbers, guest, sig = (list(x) for x in zip(*rows, strict=True))
+        c, sid, n, place, comp = (np.array(x, np.int64) for x in numbers)
+        guest = np.array(guest)
         width = min(map(len, sig))
         bits = np.stack([_fold(s, width) for s in sig])
-        left, right = (np.arange(len(c)),) * 2 if t[2] == t[3] else (np.flatnonzero(c == t[2]), np.flatnonzero(c == t[3]))
+        left, right = (np.arange(len(c)),) * 2 if t[3] == t[4] else (np.flatnonzero(c == t[3]), np.flatnonzero(c == t[4]))
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for p in range(0, len(left), 64):
-            x = left[p : p + 64]
-            ok = (comp[x][:, None] != comp[right]) & ~(guest[x][:, None] & guest[right]) & (100 * np.minimum(n[x][:, None], n[right]) >= PERCENT * np.maximum(n[x][:, None], n[right]))
-            if t[2] == t[3]:
+        for p in range(0, len(left), 16):
+            x = left[p : p + 16]
+            ok = (comp[x][:, None] != comp[right]) & ~(guest[x][:, None] & guest[right]) & _reachable(n[x][:, None], place[x][:, None], n[right], place[right])
+            if t[3] == t[4]:
                 ok &= x[:, None] < right
             u, v = np.nonzero(ok)
             differ = np.bitwise_count(bits[x[u]] ^ bits[right[v]]).sum(axis=1, dtype=np.int64)
             total = n[x[u]] + n[right[v]]
             near = _possible(total, differ)
-            a, b = sid[x[u[near]]], sid[right[v[near]]]
-            out.append((np.minimum(a, b), np.maximum(a, b)))
+            u, v = x[u[near]], right[v[near]]
+            if nearest and len(u):  # each component's best pair, from either side
+                order = np.argsort(differ[near], kind="stable")
+                u, v = u[order], v[order]
+                first = np.union1d(np.unique(comp[u], return_index=True)[1], np.unique(comp[v], return_index=True)[1])
+                u, v = u[first], v[first]
+            out.append((np.minimum(sid[u], sid[v]), np.maximum(sid[u], sid[v])))
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
         rows: list[tuple] = []
+        told: set[tuple[int, int]] = set()  # of one home: at most TILE * TILE / 2 pairs, or those of one shingle's piece
+
+        def done() -> pa.RecordBatch:
+            a, b = compare(now, rows)
+            new = [p for p in dict.fromkeys(zip(a.tolist(), b.tolist(), strict=True)) if p not in told]
+            told.update(new)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            found: list[tuple[np.ndarray, np.ndarray]] = []
             for r in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if r[:4] != now:
+                if r[:5] != now:
                     if len(rows) > 1:
-                        found.append(compare(now, rows))
-                    now, rows = r[:4], []
-                rows.append(r[4:])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([y for _, y in found]))], names=["a", "b"])
+                        yield done()
+                    if now is not None and (r[0] != now[0] or len(told) > TILE * TILE):
+                        told.clear()
+                    now, rows = r[:5], []
+                rows.append(r[5:])
         if len(rows) > 1:
-            a, b = compare(now, rows)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield done()
 
     return tiles.mapInArrow(run, "a long, b long")
 
@@ -358,7 +381,7 @@ def _nearest(bounded: DataFrame) -> DataFrame:
 
 def _small_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) from different components and of fitting sizes in tiles of at most SMALL members."""
-    tiles = members.groupBy("tok").agg(F.collect_list(F.struct("sid", "n", "comp")).alias("x")).select("x")
+    tiles = members.groupBy("tok").agg(F.collect_list(F.struct("sid", "n", "place", "comp")).alias("x")).select("x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,7 +389,7 @@ def _small_pairs(members: DataFrame) -> DataFrame:
             for x in batch.column(0).to_pylist():
                 for k, one in enumerate(x):
                     for two in x[k + 1 :]:
-                        if one["comp"] != two["comp"] and 100 * min(one["n"], two["n"]) >= PERCENT * max(one["n"], two["n"]):
+                        if one["comp"] != two["comp"] and (100 + PERCENT) * min(one["n"] - one["place"], two["n"] - two["place"]) >= PERCENT * (one["n"] + two["n"]):
                             pairs.add((min(one["sid"], two["sid"]), max(one["sid"], two["sid"])))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
@@ -378,24 +401,35 @@ def _possible(total: np.ndarray, differ: np.ndarray) -> np.ndarray:
     return (100 + PERCENT) * (total - differ) >= 2 * PERCENT * total
 
 
+def _mixed(alive: DataFrame, merged: DataFrame) -> DataFrame:
+    """(tok, sid, n, place, comp, m, lo): the members of tiles that have more than one component, with the tile's number of members and least component."""
+    comps = alive.select("tok", "sid", "n", "place").join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+    across = Window.partitionBy("tok")
+    marked = comps.withColumn("lo", F.min("comp").over(across)).withColumn("hi", F.max("comp").over(across)).withColumn("m", F.count("*").over(across))
+    return materialise(marked.filter("lo < hi").drop("hi"), "mixed")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, h, n, comp): each row's class by links; comp is any number of the class, null without shingles, and h the hash of the text."""
     sets = materialise(shingle_sets(docs, key, text), "sets")
     entries = _entries(sets, _heavy(sets)).repartition("tok")
-    by_size = Window.partitionBy("tok").orderBy("n", "sid")
+    by_size = Window.partitionBy("tok").orderBy("np", "sid")
     # equal sets are neighbours here, and only the first of them counts
-    entries = entries.withColumn("prev", F.lag("sid").over(by_size)).withColumn("prev_n", F.lag("n").over(by_size)).filter("prev IS NULL OR prev <> sid")
+    entries = entries.withColumn("prev", F.lag("sid").over(by_size)).withColumn("prev_np", F.lag("np").over(by_size)).filter("prev IS NULL OR prev <> sid")
     alive = entries.withColumn("members", F.count("*").over(Window.partitionBy("tok"))).filter("members > 1").drop("members")
+    number, place = (lambda c: F.floor(F.col(c) / PLACES)), (lambda c: F.pmod(F.col(c), F.lit(PLACES)))
+    alive = alive.select("tok", "sid", number("np").alias("n"), place("np").alias("place"), "prev", number("prev_np").alias("prev_n"), place("prev_np").alias("prev_place"))
     alive = materialise(alive, "alive")
-    chain = alive.filter(F.col("prev").isNotNull() & (100 * F.col("prev_n") >= PERCENT * F.col("n"))).select(F.least("prev", "sid").alias("a"), F.greatest("prev", "sid").alias("b"))
+    chain = alive.filter(F.col("prev").isNotNull() & _reachable(F.col("prev_n"), F.col("prev_place"), F.col("n"), F.col("place"))).select(F.least("prev", "sid").alias("a"), F.greatest("prev", "sid").alias("b"))
     info = materialise(sets.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
     links = materialise(_verified(_nearest(_bounded(chain, info)), sets), "links")
     merged = components(links)
-    comps = alive.select("tok", "sid", "n").join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
-    across = Window.partitionBy("tok")
-    mixed = comps.withColumn("lo", F.min("comp").over(across)).withColumn("hi", F.max("comp").over(across)).withColumn("m", F.count("*").over(across)).filter("lo < hi").drop("lo", "hi")
-    mixed = materialise(mixed, "mixed")
-    pairs = _small_pairs(mixed.filter(F.col("m") <= SMALL)).unionByName(_tile_pairs(mixed.filter(F.col("m") > SMALL), info))
+    mixed = _mixed(alive, merged)
+    # a large tile may be a group of copies: it is merged further by its components' nearest pairs before all pairs are tested
+    near = _verified(_bounded(_tile_pairs(mixed.filter(F.col("m") > SMALL), info, nearest=True), info).select("a", "b"), sets)
+    links = materialise(links.unionByName(near), "links")
+    mixed = _mixed(mixed, components(links))
+    pairs = _small_pairs(mixed.filter(F.col("m") <= SMALL)).unionByName(_tile_pairs(mixed.filter(F.col("m") > SMALL), info, nearest=False))
     more = _verified(_bounded(pairs, info).select("a", "b"), sets)
     final = components(links.unionByName(more))
     told = sets.select("doc_id", "h", "n", "sid").join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
