@@ -17,6 +17,8 @@ MONTHS = {
     5: "may mai mayo", 6: "june jun juni juin junio", 7: "july jul juli juillet julio", 8: "august aug août agosto",
     9: "september sep sept septembre septiembre", 10: "october oct oktober octobre octubre", 11: "november nov novembre noviembre", 12: "december dec dezember décembre diciembre",
 }
+#: What makes a number of a day an ordinal one.
+ORDINALS = ("st", "nd", "rd", "th")
 BRIDGES = (".", ",", "-", "/")
 RANGES = ("-", "–", "to", "bis")
 SEPARATORS = (",", "and", "und", "&")
@@ -46,8 +48,10 @@ def parts(tokens: DataFrame, kind: str, doc_year: int = 2025) -> DataFrame:
     """Spans of days (d), months (m) or years (y); a year of two digits needs an apostrophe before it."""
     prev = F.lag("tok").over(Window.partitionBy("doc_id").orderBy("pos"))
     value = {"d": day_value(F.col("tok")), "m": month_value(F.col("tok")), "y": year_value(F.col("tok"), doc_year, F.col("__prev") == "'")}[kind]
-    found = (tokens.withColumn("__prev", prev) if kind == "y" else tokens).withColumn("value", value).filter("value IS NOT NULL")
-    return found.select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "value", F.col("tok").alias("said"))
+    near = tokens.withColumn("__prev", prev) if kind == "y" else tokens.withColumn("__next", F.lead("tok").over(Window.partitionBy("doc_id").orderBy("pos"))) if kind == "d" else tokens
+    found = near.withColumn("value", value).filter("value IS NOT NULL")
+    size = 1 + (F.coalesce(F.lower("__next").isin(*ORDINALS), F.lit(False)).cast("int") if kind == "d" else F.lit(0))
+    return found.select("doc_id", F.col("pos").alias("start"), (F.col("pos") + size).alias("end"), "value", F.col("tok").alias("said"))
 
 
 def words(tokens: DataFrame, chosen: tuple[str, ...]) -> DataFrame:
