@@ -128,3 +128,16 @@ def reference_string(authors: Column, year_: Column, title: Column, host: Column
         F.coalesce(F.concat(authors, F.lit(" ")), F.lit("")), F.coalesce(F.concat(F.lit("("), year_.cast("string"), F.lit("): ")), F.lit("")), title,
         F.coalesce(F.concat(F.lit(". "), host), F.lit("")), F.coalesce(F.concat(F.lit(": "), pages), F.lit("")), F.coalesce(F.concat(F.lit(". https://doi.org/"), doi_), F.lit("")),
     )
+
+
+#: Named formatters of a record with the columns author, year, title, journal, volume, pagination; names count in any case.
+STYLES = {
+    "short": lambda: F.concat_ws(" ", "author", "year"),
+    "title first": lambda: F.concat_ws(", ", "title", "author", "year"),
+    "journal": lambda: F.concat_ws(" ", "journal", F.concat(F.col("volume"), F.lit(":")), "pagination"),
+}
+
+
+def in_style(name: str) -> Column:
+    """The formatter of a name; KeyError if there is none."""
+    return {k.lower(): f for k, f in STYLES.items()}[name.lower()]()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,3 +90,23 @@ def acronyms(tokens: DataFrame) -> DataFrame:
 def aliases(tokens: DataFrame) -> DataFrame:
     """Proper names in quotes of one or two signs, or double quotes."""
     return by_pattern(tokens, "(?:''n(?:s*n)*'')|(?:'n(?:s*n)*')|(?:\"n(?:s*n)*\")")
+
+
+@dataclass(frozen=True)
+class NameStyle:
+    """What names of a collection look like; None allows everything."""
+
+    orders: tuple[str, ...] | None = None
+    affixes: bool | None = None
+    particles: bool | None = None
+    upper_case: bool | None = None
+
+
+def in_style(found: DataFrame, style: NameStyle) -> DataFrame:
+    """Those names (value, part_order) that a style allows."""
+    affix = F.lower("value").rlike(r"(^|\s)(" + "|".join(AFFIXES) + r")(\s|\.|$)")
+    particle = F.col("value").rlike(r"(^|\s)(" + "|".join(PARTICLES) + r")\s")
+    keep = F.lit(True) if style.orders is None else F.col("part_order").isin(*style.orders)
+    for wanted, has in ((style.affixes, affix), (style.particles, particle), (style.upper_case, F.col("value") == F.upper("value"))):
+        keep = keep if wanted is None else keep & (has == F.lit(wanted))
+    return found.filter(keep)

@@ -75,3 +75,25 @@ def with_prefix(attributes: Column, prefix: str) -> Column:
 def without_prefix(attributes: Column, prefix: str) -> Column:
     """Those attributes whose keys have the prefix, without it."""
     return F.transform_keys(F.map_filter(attributes, lambda k, x: k.startswith(prefix)), lambda k, x: F.substring(k, F.lit(len(prefix) + 1), F.length(k)))
+
+
+def load_types(xml: str, base: tuple[RecordType, ...] = (), replace: bool = False, merge_checks: bool = False) -> tuple[RecordType, ...]:
+    """Types of a rule file, after those of base. A type that base has is replaced, or gets the file's checks too, or else stays as it is.
+
+    <types><type name="" strictness=""><require any="a b"/><exclude attribute=""/><pattern attribute="" regex=""/><condition sql="" error=""/></type></types>
+    """
+    import xml.etree.ElementTree as ET
+
+    found = {t.name: t for t in base}
+    for e in ET.fromstring(xml).iter("type"):
+        t = RecordType(
+            e.attrib["name"], int(e.attrib.get("strictness", 0)),
+            tuple(tuple(x.attrib["any"].split()) for x in e.iter("require")), tuple(x.attrib["attribute"] for x in e.iter("exclude")),
+            tuple((x.attrib["attribute"], x.attrib["regex"]) for x in e.iter("pattern")), tuple((x.attrib["sql"], x.attrib["error"]) for x in e.iter("condition")),
+        )
+        old = found.get(t.name)
+        if old is None or replace:
+            found[t.name] = t
+        elif merge_checks:
+            found[t.name] = RecordType(old.name, old.strictness, old.required + t.required, old.excluded + t.excluded, old.patterns + t.patterns, old.conditions + t.conditions)
+    return tuple(found.values())

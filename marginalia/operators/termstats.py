@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .trees import paths
+
 
 def _share(df: DataFrame, count: str, total: str, name: str) -> DataFrame:
     """Adds name_norm = count / total and name_smooth, in which 0 counts as a half; total 0 gives 0."""
@@ -75,12 +77,8 @@ def from_lines(lines: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, depth: int = 16) -> DataFrame:
     """(short, form, dist): what each term abbreviates directly or over others, by edges (short, form); cycles end at depth."""
-    edges.createOrReplaceTempView("__abbreviations")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE c(short, form, dist) AS (
-          SELECT short, form, 1 FROM __abbreviations
-          UNION ALL SELECT c.short, e.form, dist + 1 FROM c JOIN __abbreviations e ON e.short = c.form WHERE dist < {depth} AND e.form <> c.short)
-        SELECT short, form, CAST(min(dist) AS INT) AS dist FROM c GROUP BY short, form""")
+    found = paths(edges.select(F.col("short").alias("desc"), F.col("form").alias("anc")), depth)
+    return found.select(F.col("desc").alias("short"), F.col("anc").alias("form"), "dist")
 
 
 def best_full_form(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A record frame has (id, parent, rank, epithet), ids being strings or numbers; synonyms have
 valid, the id of the accepted record, instead of a parent. Ancestry is computed once, as
-the closure (anc, desc, dist), by a recursive query: a shuffle join on ids for each level.
+the closure (anc, desc, dist), by doubling the lengths of paths: shuffle joins on ids, as
+many as the logarithm of the depth.
 """
 
 from __future__ import annotations
@@ -11,19 +12,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxa as tx
+from ..sources.files import shared_path
 
 #: Ranks in a taxonomy are fewer, so a longer path is a cycle.
 DEPTH = 64
 
 
+def paths(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(desc, anc, dist): all paths over edges (desc, anc) up to a length, each pair with its shortest; no pair of a record with itself.
+
+    Lengths double: after k rounds all paths up to 2**k are known, and a round joins those
+    of exactly that length with all. Each round is a table in the shared folder, so lineage
+    stays short and a lost executor costs a round.
+    """
+    spark = edges.sparkSession
+
+    def stored(df: DataFrame) -> DataFrame:
+        path = shared_path(spark, "paths")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    known = stored(edges.filter("desc <> anc").select("desc", "anc").distinct().withColumn("dist", F.lit(1)))
+    step = 1
+    while step < depth:
+        full = known.filter(F.col("dist") == step).select("desc", F.col("anc").alias("via"))
+        far = full.join(known.select(F.col("desc").alias("via"), "anc", "dist"), "via").filter("desc <> anc").select("desc", "anc", (F.col("dist") + step).alias("dist"))
+        new = stored(far.filter(F.col("dist") <= depth))
+        if not new.limit(1).count():
+            break
+        known = stored(known.unionByName(new).groupBy("desc", "anc").agg(F.min("dist").alias("dist")))
+        step *= 2
+    return known
+
+
 def closure(records: DataFrame) -> DataFrame:
     """(anc, desc, dist): all ancestors of each record, itself at distance 0 included. Roots have a null parent; a cycle ends after DEPTH steps."""
-    records.select("id", "parent").createOrReplaceTempView("__records")
-    return records.sparkSession.sql(f"""
-        WITH RECURSIVE c(desc, anc, dist) AS (
-          SELECT id, id, 0 FROM __records
-          UNION ALL SELECT c.desc, r.parent, dist + 1 FROM c JOIN __records r ON r.id = c.anc WHERE r.parent IS NOT NULL AND dist < {DEPTH})
-        SELECT anc, desc, CAST(min(dist) AS INT) AS dist FROM c GROUP BY anc, desc""")
+    own = records.select(F.col("id").alias("anc"), F.col("id").alias("desc"), F.lit(0).alias("dist"))
+    return paths(records.filter("parent IS NOT NULL").select(F.col("id").alias("desc"), F.col("parent").alias("anc"))).select("anc", "desc", "dist").unionByName(own)
 
 
 def subtree_sizes(tree: DataFrame, marked: Column | None = None) -> DataFrame:

@@ -69,6 +69,7 @@ def levels(s, d):
 
 QUERIES = {
     "n2_n8_acronyms": (lambda s, d: nm.acronyms(docs(s, d)), f"WITH {SQL_DOCS} SELECT doc_id, pos::INT AS start, (pos + 1)::INT AS \"end\", tok AS value FROM tok WHERE regexp_matches(tok, '^\\p{{Lu}}{{3,}}$')"),
+    "n1_name_style": (lambda s, d: nm.in_style(nm.persons(people(s, d)).filter("start < 3"), nm.NameStyle(orders=("initials last", "last initials"), particles=True)).select("doc_id", "value"), f"SELECT o_orderkey AS doc_id, {PERSON} AS value FROM orders WHERE o_orderkey % 5 IN (1, 3)"),
     "n3_particle_runs": (lambda s, d: nm.particle_runs(docs(s, d)), f"WITH {SQL_DOCS}, h AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM tok WHERE lower(tok) IN {PART}) SELECT doc_id, min(pos)::INT AS start, (max(pos) + 1)::INT AS \"end\", string_agg(tok, ' ' ORDER BY pos) AS value, regexp_matches(string_agg(tok, ' ' ORDER BY pos), '^\\p{{Lu}}') AS upper FROM h GROUP BY doc_id, g"),
     "n4_last_names": (lambda s, d: docs(s, d).filter(nm.is_last_name(C("tok"))).groupBy("tok").agg(F.count("*").alias("n")), f"WITH {SQL_DOCS} SELECT tok, count(*) AS n FROM tok WHERE {VOWEL} GROUP BY 1"),
     "n5_persons": (lambda s, d: nm.persons(people(s, d)).filter("start < 3").select("doc_id", "value", "part_order"), f"SELECT o_orderkey AS doc_id, {PERSON} AS value, {ORDER} AS part_order FROM orders"),

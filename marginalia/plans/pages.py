@@ -34,7 +34,14 @@ def raw_cells(s, d):
     return x.select(C("table_id").cast("long").alias("table_id"), F.when(C("r") == 0, "head").otherwise("body").alias("sec"), "r", C("c").alias("ord"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"), "text")
 
 
-B, B2 = C("box"), ly.moved(C("box"), F.lit(200), F.lit(5))
+def box():
+    return C("box")
+
+
+def shifted():
+    return ly.moved(C("box"), F.lit(200), F.lit(5))
+
+
 TYPES = f"y AS (SELECT table_id, r, CASE WHEN sum((length(text) > 0)::INT) = 0 THEN 'empty' WHEN sum((length(text) > 0 AND c > 0 AND {NUM})::INT) = 0 THEN 'header' ELSE 'data' END AS type FROM x GROUP BY 1, 2)"
 HEADS = "h AS (SELECT table_id, c, text AS header, regexp_replace(text, '[^0-9A-Za-z\\-._]+', '_', 'g') AS name FROM x WHERE (table_id, r) IN (SELECT (table_id, min(r)) FROM y WHERE type = 'header' GROUP BY table_id))"
 EXT = f"{X}, {TYPES}, {HEADS}, e AS (SELECT x.table_id, x.r, name, text, first_value(text) OVER (PARTITION BY x.table_id, x.r ORDER BY x.c) AS line, x.c FROM x JOIN y ON y.table_id = x.table_id AND y.r = x.r AND type = 'data' JOIN h ON h.table_id = x.table_id AND h.c = x.c)"
@@ -79,9 +86,9 @@ QUERIES = {
     "g9_append_rows": (lambda s, d: tb.append_rows(cells(s, d).filter("table_id < 50"), cells(s, d).filter("table_id < 60 AND r = 1")), f"WITH {X} SELECT table_id, r, c, text FROM x WHERE table_id < 50 UNION ALL SELECT table_id, (1 + (SELECT count(DISTINCT r) FROM x y WHERE y.table_id = x.table_id))::INT, c, text FROM x WHERE table_id < 50 AND r = 1"),
     "g9_append_columns": (lambda s, d: tb.append_columns(cells(s, d), cells(s, d).filter("c < 2")), f"WITH {X} SELECT table_id, r, c, text FROM x UNION ALL SELECT table_id, r, c + 4, text FROM x WHERE c < 2"),
     "g10_preview": (lambda s, d: tb.preview(cells(s, d), 4, 2), f"WITH {X}, k AS (SELECT table_id, r, string_agg('<td>' || substr(text, 1, 4) || '</td>', '' ORDER BY c) AS t FROM x WHERE r < 2 GROUP BY 1, 2) SELECT table_id, string_agg('<tr>' || t || '</tr>', '' ORDER BY r) AS label FROM k GROUP BY 1"),
-    "l1_boxes": (lambda s, d: lines(s, d).select("page", "line", ly.area(B).alias("area"), ly.includes(B, ly.scaled(B, 1.0)).alias("self"), ly.includes(B, B2, fuzzy=True).alias("centre"), ly.overlaps(B, B2).alias("over"), ly.area(ly.union(B, B2)).alias("both"), ly.area(ly.intersect(B, B2)).alias("common")), f"WITH {L} SELECT page, line, (br - bl)::BIGINT * 12 AS area, true AS self, (bl + br) // 2 + 200 < br AS centre, bl + 200 < br AS over, (br + 200 - bl)::BIGINT * 17 AS both, CASE WHEN bl + 200 < br THEN (br - bl - 200)::BIGINT * 7 END AS common FROM l"),
-    "l2_box_text": (lambda s, d: lines(s, d).select("page", "line", ly.to_text(B).alias("text"), F.hex(ly.to_bytes(B)).alias("bytes")).withColumn("same", ly.to_text(ly.from_text(C("text"))) == C("text")), f"WITH {L} SELECT page, line, '[' || bl || ',' || br || ',' || bt || ',' || bb || ']' AS text, printf('%04X%04X%04X%04X', bl, br, bt, bb) AS bytes, true AS same FROM l"),
-    "l3_merge_lines": (lambda s, d: ly.merge_side_by_side(lines(s, d).withColumn("box", F.when(C("line") % 2 == 0, ly.box(C("box.r") + 90, C("box.r") + 200, C("box.t") - 20, C("box.b") - 20)).otherwise(B)), ["page"]).groupBy("page").agg(F.count("*").alias("n")), f"WITH {L}, m AS (SELECT page, line, CASE WHEN line % 2 = 0 THEN br + 90 ELSE bl END AS a, CASE WHEN line % 2 = 0 THEN br + 200 ELSE br END AS b, bt - CASE WHEN line % 2 = 0 THEN 20 ELSE 0 END AS t FROM l), w AS (SELECT *, lag(b) OVER o AS pb, lag(t) OVER o AS pt FROM m WINDOW o AS (PARTITION BY page ORDER BY line)) SELECT page, sum((pb IS NULL OR NOT (12 - abs(t - pt) > 6 AND pb <= a))::INT)::BIGINT AS n FROM w GROUP BY 1"),
+    "l1_boxes": (lambda s, d: lines(s, d).select("page", "line", ly.area(box()).alias("area"), ly.includes(box(), ly.scaled(box(), 1.0)).alias("self"), ly.includes(box(), shifted(), fuzzy=True).alias("centre"), ly.overlaps(box(), shifted()).alias("over"), ly.area(ly.union(box(), shifted())).alias("both"), ly.area(ly.intersect(box(), shifted())).alias("common")), f"WITH {L} SELECT page, line, (br - bl)::BIGINT * 12 AS area, true AS self, (bl + br) // 2 + 200 < br AS centre, bl + 200 < br AS over, (br + 200 - bl)::BIGINT * 17 AS both, CASE WHEN bl + 200 < br THEN (br - bl - 200)::BIGINT * 7 END AS common FROM l"),
+    "l2_box_text": (lambda s, d: lines(s, d).select("page", "line", ly.to_text(box()).alias("text"), F.hex(ly.to_bytes(box())).alias("bytes")).withColumn("same", ly.to_text(ly.from_text(C("text"))) == C("text")), f"WITH {L} SELECT page, line, '[' || bl || ',' || br || ',' || bt || ',' || bb || ']' AS text, printf('%04X%04X%04X%04X', bl, br, bt, bb) AS bytes, true AS same FROM l"),
+    "l3_merge_lines": (lambda s, d: ly.merge_side_by_side(lines(s, d).withColumn("box", F.when(C("line") % 2 == 0, ly.box(C("box.r") + 90, C("box.r") + 200, C("box.t") - 20, C("box.b") - 20)).otherwise(box())), ["page"]).groupBy("page").agg(F.count("*").alias("n")), f"WITH {L}, m AS (SELECT page, line, CASE WHEN line % 2 = 0 THEN br + 90 ELSE bl END AS a, CASE WHEN line % 2 = 0 THEN br + 200 ELSE br END AS b, bt - CASE WHEN line % 2 = 0 THEN 20 ELSE 0 END AS t FROM l), w AS (SELECT *, lag(b) OVER o AS pb, lag(t) OVER o AS pt FROM m WINDOW o AS (PARTITION BY page ORDER BY line)) SELECT page, sum((pb IS NULL OR NOT (12 - abs(t - pt) > 6 AND pb <= a))::INT)::BIGINT AS n FROM w GROUP BY 1"),
     "l4_short_lines": (lambda s, d: ly.split_short_lines(lines(s, d), ["page"], 300).select("page", "line", "para"), f"WITH {L}, {SHORT} SELECT page, line, para FROM p"),
     "l5_indents": (lambda s, d: ly.split_indents(lines(s, d), ["page"], 300).select("page", "line", "para"), f"WITH {L}, i AS (SELECT *, bl - min(bl) OVER w > 15 AS ind, count(*) OVER w AS n FROM l WINDOW w AS (PARTITION BY page)), k AS (SELECT *, sum(ind::INT) OVER (PARTITION BY page) AS k FROM i) SELECT page, line, {island('CASE WHEN n < 4 THEN false WHEN k * 5 <= n * 2 THEN ind WHEN (n - k) * 5 <= n * 2 THEN NOT ind ELSE false END')} FROM k"),
     "l6_l7_gaps": (lambda s, d: ly.split_gaps(lines(s, d), ["page"]).select("page", "line", "para"), f"WITH {L}, g AS (SELECT *, bb - lag(bb) OVER (PARTITION BY page ORDER BY line) AS gap FROM l), m AS (SELECT *, avg(gap) OVER w AS a, count(*) OVER w AS n FROM g WINDOW w AS (PARTITION BY page)) SELECT page, line, {island('gap >= a * 1.25 AND n >= 5')} FROM m"),

@@ -41,7 +41,12 @@ def raw(s, d):
 
 
 C = F.col
-AUTHORS = F.filter(F.array("author", "author2"), lambda x: x.isNotNull())
+
+
+def authors():
+    return F.filter(F.array("author", "author2"), lambda x: x.isNotNull())
+
+
 SQL_AUTHORS = "list_filter([author, author2], lambda x: x IS NOT NULL)"
 
 
@@ -81,7 +86,7 @@ XML = "'<bibRef>' || coalesce('<author>' || author || '</author>', '') || coales
 
 
 def xml(s, d):
-    return records(s, d).select("id", r.to_xml([(n, C(n)) for n in ("year", "title", "journal", "volume", "pagination")], AUTHORS).alias("xml"))
+    return records(s, d).select("id", r.to_xml([(n, C(n)) for n in ("year", "title", "journal", "volume", "pagination")], authors()).alias("xml"))
 
 
 def merged(s, d):
@@ -106,6 +111,8 @@ def finder(s, d):
     return j.filter(ok).select("id", F.array_join(name, " & ").alias("author"), r.period_end(C("x.publicationDate")).alias("date"), F.regexp_extract("x.publishedIn", r"^(.*) \((.*)\)$", 1).alias("journal"), F.regexp_extract("x.publishedIn", r"^(.*) \((.*)\)$", 2).alias("series"))
 
 
+RULES = '<types><type name="url" strictness="9"><require any="doi"/></type></types>'
+
 QUERIES = {
     "b1_from_xml": (lambda s, d: xml(s, d).select("id", F.xpath("xml", F.lit("bibRef/author/text()")).alias("a"), F.xpath_string("xml", F.lit("bibRef/title")).alias("title"), F.xpath_string("xml", F.lit("bibRef/pagination")).alias("pages")).select("id", F.array_join("a", " & ").alias("authors"), "title", "pages"), f"WITH {R} SELECT id, array_to_string({SQL_AUTHORS}, ' & ') AS authors, title, coalesce(pagination, '') AS pages FROM r"),
     "b2_journal_or_publisher": (lambda s, d: raw(s, d).select("id", r.journal_or_publisher(C("jop"), C("id") % 4 == 0).alias("x")).select("id", "x.*"), f"WITH {W} SELECT id, CASE WHEN id % 4 = 0 THEN jop END AS journal, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 3 = 0 THEN split_part(jop, ': ', 2) WHEN id % 3 = 1 THEN 'Press' ELSE jop END AS publisher, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 3 = 0 THEN 'Berlin' WHEN id % 3 = 1 THEN split_part(jop, ', ', 2) END AS location FROM w"),
@@ -113,7 +120,9 @@ QUERIES = {
     "b4_mods_pages": (lambda s, d: records(s, d).select("id", F.concat(F.lit("<mods><part><extent><start>"), F.split("pagination", "-")[0], F.lit("</start><end>"), F.element_at(F.split("pagination", "-"), -1), F.lit("</end></extent></part></mods>")).alias("m")).select("id", F.expr("xpath_int(m, 'mods/part/extent/start')").alias("first"), F.expr("xpath_int(m, 'mods/part/extent/end')").alias("last")), f"WITH {R} SELECT id, split_part(pagination, '-', 1)::INT AS first, list_extract(str_split(pagination, '-'), -1)::INT AS last FROM r"),
     "b5_to_xml": (xml, f"WITH {R} SELECT id, {XML} AS xml FROM r"),
     "b6_origin_string": (lambda s, d: records(s, d).select("id", F.concat_ws(", ", F.concat_ws(" ", "journal", "volume"), "volume_title", F.concat_ws(": ", "location", "publisher")).alias("origin")), f"WITH {R} SELECT id, concat_ws(', ', concat_ws(' ', journal, volume), volume_title, concat_ws(': ', location, publisher)) AS origin FROM r"),
-    "b7_reference_string": (lambda s, d: records(s, d).select("id", r.reference_string(F.when(F.size(AUTHORS) > 0, r.persons(AUTHORS, 5, 200)), C("year"), C("title"), F.coalesce(F.concat_ws(" ", "journal", "volume"), C("publisher")), C("pagination"), C("doi")).alias("ref")), f"WITH {R} SELECT id, coalesce(coalesce(author || ' & ' || author2, author, author2) || ' ', '') || coalesce('(' || year || '): ', '') || title || '. ' || concat_ws(' ', journal, volume) || coalesce(': ' || pagination, '') || coalesce('. https://doi.org/' || doi, '') AS ref FROM r"),
+    "b7_reference_string": (lambda s, d: records(s, d).select("id", r.reference_string(F.when(F.size(authors()) > 0, r.persons(authors(), 5, 200)), C("year"), C("title"), F.coalesce(F.concat_ws(" ", "journal", "volume"), C("publisher")), C("pagination"), C("doi")).alias("ref")), f"WITH {R} SELECT id, coalesce(coalesce(author || ' & ' || author2, author, author2) || ' ', '') || coalesce('(' || year || '): ', '') || title || '. ' || concat_ws(' ', journal, volume) || coalesce(': ' || pagination, '') || coalesce('. https://doi.org/' || doi, '') AS ref FROM r"),
+    "b8_styles": (lambda s, d: records(s, d).select("id", r.in_style("SHORT").alias("short"), r.in_style("Journal").alias("journal")), f"WITH {R} SELECT id, concat_ws(' ', author, year) AS short, concat_ws(' ', journal, volume || ':', pagination) AS journal FROM r"),
+    "b15_loaded_rules": (lambda s, d: records(s, d).select("id", rec.classify(rec.load_types(RULES, rec.TYPES, replace=True)).alias("type")), f"WITH {R} SELECT id, {SQL_CLASS.replace('CASE ', 'CASE WHEN doi IS NOT NULL THEN ' + chr(39) + 'url' + chr(39) + ' ', 1)} AS type FROM r"),
     "b9_sanitise": (lambda s, d: raw(s, d).select("id", r.year(C("year")).alias("year"), r.part(C("volume")).alias("volume"), r.pagination(C("pages")).alias("pages"), r.period_end(C("day")).alias("day")), f"WITH {W} SELECT id, CASE id % 4 WHEN 0 THEN '1999' WHEN 1 THEN '1999' WHEN 2 THEN NULL ELSE year END AS year, {sql_part('volume', 'es')} AS volume, CASE WHEN pages = 'xii' THEN '12' ELSE {sql_part('pages', 'e')} END AS pages, CASE id % 4 WHEN 0 THEN day || '-12-31' WHEN 1 THEN last_day((day || '-01')::DATE)::VARCHAR WHEN 2 THEN day END AS day FROM w"),
     "b10_clean_string": (lambda s, d: table(s, d, "documents").select("doc_id", r.clean_string(F.concat(F.lit("  — "), "text")).alias("clean")), "SELECT doc_id, trim(regexp_replace(regexp_replace('  — ' || text, '[‐-―−]', '-', 'g'), '[  -​　\\s\\x0B]+', ' ', 'g')) AS clean FROM documents"),
     "b11_pagination_type": (lambda s, d: raw(s, d).select("id", r.first_pages(C("paging")).alias("pages")).select("id", "pages", r.upgraded_type(F.when(C("id") % 2 == 0, "book").otherwise("journal volume"), F.coalesce("pages", F.lit(""))).alias("type")), f"WITH {W} SELECT id, CASE id % 3 WHEN 0 THEN split_part(paging, ',', 1) WHEN 2 THEN substr(paging, 2) END AS pages, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'book chapter' ELSE 'journal article' END ELSE CASE WHEN id % 2 = 0 THEN 'book' ELSE 'journal volume' END END AS type FROM w"),
@@ -125,9 +134,9 @@ QUERIES = {
     "b19_light_hash": (lambda s, d: records(s, d).select("id", r.light_hash(C("title")).alias("hash")), f"WITH {R} SELECT id, {HASH} AS hash FROM r"),
     "b20_s17_finder_results": (finder, f"WITH {R} SELECT id, split_part(author, '#', 1) || ', ' || split_part(author, '#', 2) AS author, last_day((year || '-02-01')::DATE)::VARCHAR AS date, journal, CASE WHEN journal IS NOT NULL THEN 'B' END AS series FROM r WHERE author IS NOT NULL AND year IS NOT NULL"),
     "b21_equality": (lambda s, d: records(s, d).alias("a").join(records(s, d).withColumn("id", C("id") + 2000).alias("b"), "id").select("id", F.struct(*(C(f"a.{f}") for f in FIELDS)).eqNullSafe(F.struct(*(C(f"b.{f}") for f in FIELDS))).alias("same"), C("a.doi").eqNullSafe(C("b.doi")).alias("same_doi")), f"WITH {R} SELECT a.id, ({', '.join('a.' + f for f in FIELDS)}) IS NOT DISTINCT FROM ({', '.join('b.' + f for f in FIELDS)}) AS same, a.doi IS NOT DISTINCT FROM b.doi AS same_doi FROM r a JOIN r b ON a.id = b.id + 2000"),
-    "b22_person_lists": (lambda s, d: table(s, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_name")).alias("n")).select("c_nationkey", r.persons(F.slice("n", 1, 3), 5, 100).alias("three"), r.persons(C("n"), 4, 60).alias("some")), "WITH n AS (SELECT c_nationkey, list(c_name ORDER BY c_name) AS n FROM customer GROUP BY 1) SELECT c_nationkey, n[1] || ', ' || n[2] || ' & ' || n[3] AS three, n[1] || ', ' || n[2] || ', ' || n[3] || ' et al.' AS some FROM n"),
+    "b22_person_lists": (lambda s, d: table(s, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_name")).alias("n")).select("c_nationkey", r.persons(F.slice("n", 1, 3), 5, 100).alias("three"), r.persons(C("n"), 4, 60).alias("some")), "WITH n AS (SELECT c_nationkey, list(c_name ORDER BY c_name) AS n FROM customer GROUP BY 1) SELECT c_nationkey, CASE least(3, len(n)) WHEN 1 THEN n[1] WHEN 2 THEN n[1] || ' & ' || n[2] ELSE n[1] || ', ' || n[2] || ' & ' || n[3] END AS three, CASE len(n) WHEN 1 THEN n[1] WHEN 2 THEN n[1] || ' & ' || n[2] WHEN 3 THEN n[1] || ', ' || n[2] || ' & ' || n[3] ELSE n[1] || ', ' || n[2] || ', ' || n[3] || ' et al.' END AS some FROM n"),
     "b23_part_number": (lambda s, d: raw(s, d).select("id", r.part_number(C("part")).alias("n")), f"WITH {W} SELECT id, CASE id % 3 WHEN 0 THEN id % 40 WHEN 1 THEN 14 ELSE 0 END::INT AS n FROM w"),
-    "b24_document_attributes": (lambda s, d: records(s, d).select("id", F.array_join(AUTHORS, " & ").alias("docAuthor"), C("title").alias("docTitle"), C("year").alias("docDate"), F.split("pagination", "-")[0].alias("pageNumber"), F.element_at(F.split("pagination", "-"), -1).alias("lastPageNumber")), f"WITH {R} SELECT id, array_to_string({SQL_AUTHORS}, ' & ') AS docAuthor, title AS docTitle, year AS docDate, split_part(pagination, '-', 1) AS pageNumber, list_extract(str_split(pagination, '-'), -1) AS lastPageNumber FROM r"),
+    "b24_document_attributes": (lambda s, d: records(s, d).select("id", F.array_join(authors(), " & ").alias("docAuthor"), C("title").alias("docTitle"), C("year").alias("docDate"), F.split("pagination", "-")[0].alias("pageNumber"), F.element_at(F.split("pagination", "-"), -1).alias("lastPageNumber")), f"WITH {R} SELECT id, array_to_string({SQL_AUTHORS}, ' & ') AS docAuthor, title AS docTitle, year AS docDate, split_part(pagination, '-', 1) AS pageNumber, list_extract(str_split(pagination, '-'), -1) AS lastPageNumber FROM r"),
     "b25_first_source": (lambda s, d: rec.first_source(records(s, d).select("id", (C("id") % 900).alias("doc"), F.when(C("doi").isNotNull(), 1).when(C("journal").isNotNull(), 2).otherwise(3).alias("priority")), "doc", "priority"), f"WITH {R}, p AS (SELECT id, id % 900 AS doc, CASE WHEN doi IS NOT NULL THEN 1 WHEN journal IS NOT NULL THEN 2 ELSE 3 END AS priority FROM r) SELECT * FROM p QUALIFY rank() OVER (PARTITION BY doc ORDER BY priority) = 1"),
     "b26_without_foreign": (lambda s, d: tk.window_spans(table(s, d, "documents"), r"^\p{Lu}", 1).withColumn("type", F.when(C("start") % 2 == 0, "mods").otherwise("name")).filter("type = 'mods'").groupBy("doc_id").count().withColumnRenamed("count", "n"), r"WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}]+|[0-9]+|[^\s\p{L}\p{M}0-9]') AS a FROM documents), k AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS tok FROM t) SELECT doc_id, count(*) AS n FROM k WHERE pos % 2 = 0 AND regexp_matches(tok, '^\p{Lu}') GROUP BY 1"),
     "n10_author_match": (lambda s, d: records(s, d).filter("author2 IS NOT NULL").select("id", F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(F.lower(tk.fold_accents(F.concat_ws(" ", "author2", F.lit("É")))), "[^a-z]+", " ")), " ")), " ").alias("key")), f"WITH {R} SELECT id, 'doe e j' AS key FROM r WHERE author2 IS NOT NULL"),
