@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 #: Rows that the classifier is fitted on, for each language at most, and characters of their texts at most (longer texts are not drawn).
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 300, 20_000
 #: More languages than this are an error.
 MOST_LANGUAGES = 500
-BUCKETS, DIMS, ORDERS = 1 << 14, 16, (2, 3, 4)
+BUCKETS, DIMS, ORDERS = 1 << 13, 16, (2, 3, 4)
 EPOCHS, RATE, BATCH = 10, 4.0, 16
 #: Of each text, as many words are a further, short text, so that the confidence in short ones is learned too.
 SNIPPETS = (1, 2, 4)
@@ -77,8 +77,11 @@ class Model:
 
 
 def _features(texts: list[np.ndarray]) -> np.ndarray:
-    x = np.stack([ngram_counts(t) for t in texts])
-    return x / np.maximum(1, x.sum(axis=1, keepdims=True))
+    x = np.empty((len(texts), BUCKETS), np.float32)
+    for k, t in enumerate(texts):
+        counts = ngram_counts(t)
+        x[k] = counts / max(1.0, float(counts.sum()))
+    return x
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -105,12 +108,12 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model:
     held = held[of]
     x = _features([np.frombuffer(t.lower().encode("utf-8", "surrogatepass"), np.uint8) for t in pieces])
     embed = rng.uniform(-1, 1, (BUCKETS, DIMS)).astype(np.float32) / DIMS
-    weights = np.zeros((DIMS, len(languages)))
-    bias = np.zeros(len(languages))
+    weights = np.zeros((DIMS, len(languages)), np.float32)
+    bias = np.zeros(len(languages), np.float32)
     rows = np.flatnonzero(~held) if (~held).any() else np.arange(len(y))
-    target = np.eye(len(languages))[y]
+    target = np.eye(len(languages), dtype=np.float32)[y]
     for epoch in range(EPOCHS):
-        step = RATE * (1 - epoch / EPOCHS)
+        step = np.float32(RATE * (1 - epoch / EPOCHS))
         for part in np.array_split(rng.permutation(rows), max(1, len(rows) // BATCH)):
             hidden = x[part] @ embed
             error = (_softmax(hidden @ weights + bias) - target[part]) / len(part)
@@ -160,7 +163,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     a learned language, and are rejected where the score is under the model's threshold.
     Columns of docs named like the results are replaced.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 500)
     kept = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
     rows = docs.select(*kept, F.col(text).alias("__text"))
     names = [*kept, "lang_pred", "score", "rejected"]
