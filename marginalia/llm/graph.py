@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Edges that a task contracts at once; bounds its memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

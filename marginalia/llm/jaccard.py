@@ -38,6 +38,8 @@ HEAVY, HEAVY_MOST = 64, 50_000
 FILTER_BITS = 1 << 24
 #: Members of a tile that are compared in one piece; in tiles of SMALL members, pairs are told first and their signatures looked up after.
 TILE, SMALL = 4096, 16
+#: Bytes of signatures that are compared in one step, and pairs that a task remembers to have told.
+COMPARED, TOLD = 1 << 23, 1 << 17
 #: Sizes and places in the prefix are shuffled as one number, size * PLACES + place.
 PLACES = 1 << 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -185,7 +187,7 @@ def _heavy(sets: DataFrame) -> np.ndarray:
         parts: list[np.ndarray] = []
         for batch in batches:
             parts += [unpack(x) for x in batch.column(0).to_pylist()]
-            if sum(map(len, parts)) > 1 << 22:
+            if sum(map(len, parts)) > 1 << 20:
                 yield told(parts)
                 parts = []
         if parts:
@@ -303,8 +305,9 @@ def _tile_pairs(members: DataFrame, info: DataFrame, nearest: bool) -> DataFrame
         bits = np.stack([_fold(s, width) for s in sig])
         left, right = (np.arange(len(c)),) * 2 if t[3] == t[4] else (np.flatnonzero(c == t[3]), np.flatnonzero(c == t[4]))
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for p in range(0, len(left), 16):
-            x = left[p : p + 16]
+        step = max(1, COMPARED // max(1, len(right) * width))
+        for p in range(0, len(left), step):
+            x = left[p : p + step]
             ok = (comp[x][:, None] != comp[right]) & ~(guest[x][:, None] & guest[right]) & _reachable(n[x][:, None], place[x][:, None], n[right], place[right])
             if t[3] == t[4]:
                 ok &= x[:, None] < right
@@ -324,10 +327,12 @@ def _tile_pairs(members: DataFrame, info: DataFrame, nearest: bool) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
         rows: list[tuple] = []
-        told: set[tuple[int, int]] = set()  # of one home: at most TILE * TILE / 2 pairs, or those of one shingle's piece
+        told: set[tuple[int, int]] = set()  # of one home, the last TOLD or so; a pair that is told again costs a row, not a result
 
         def done() -> pa.RecordBatch:
             a, b = compare(now, rows)
+            if len(a) > TOLD:
+                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
             new = [p for p in dict.fromkeys(zip(a.tolist(), b.tolist(), strict=True)) if p not in told]
             told.update(new)
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
@@ -337,7 +342,7 @@ def _tile_pairs(members: DataFrame, info: DataFrame, nearest: bool) -> DataFrame
                 if r[:5] != now:
                     if len(rows) > 1:
                         yield done()
-                    if now is not None and (r[0] != now[0] or len(told) > TILE * TILE):
+                    if now is not None and (r[0] != now[0] or len(told) > TOLD):
                         told.clear()
                     now, rows = r[:5], []
                 rows.append(r[5:])

@@ -12,7 +12,7 @@ import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -141,10 +141,8 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self._own = Tokenizer.from_file(path)
-        self._own.encode_special_tokens = True
+        self._path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         special = {x["content"] for x in model.get("added_tokens", ())}
@@ -154,6 +152,15 @@ class Encoder:
         self._fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._long = regex.compile(rf"\p{{L}}{{{LONG_RUN}}}|\p{{N}}{{{LONG_RUN}}}|[^\s\p{{L}}\p{{N}}]{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
 
+    @cached_property
+    def _own(self):  # noqa: ANN202
+        """The library's tokenizer, loaded only where it is needed."""
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self._path)
+        own.encode_special_tokens = True
+        return own
+
     def __call__(self, text: str) -> np.ndarray:
         if len(text) >= LONG_RUN and self._long.search(text):
             return np.array(self._own.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -180,7 +187,7 @@ def default_tokenizer() -> str:
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each whole text's ids and END, cut only if longer than size, the first piece being the shorter one."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
