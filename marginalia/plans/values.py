@@ -23,7 +23,7 @@ def parts(s, d):
 #: Taxonomic names in SQL that both engines read: genus from the brand, species and lower epithets from the name.
 TAXA = """SELECT p_partkey AS id, 'Gen' || lower(p_type) AS genus, CASE WHEN p_size % 3 = 0 THEN 'Sub' || (p_size % 9 + 1) END AS subgenus, CASE WHEN p_size % 5 > 0 THEN split_part(p_name, ' ', 1) END AS species,
 CASE WHEN p_size % 5 = 1 THEN split_part(p_name, ' ', 2) END AS subspecies, CASE WHEN p_size % 5 = 2 THEN split_part(p_name, ' ', 2) END AS variety, p_size % 2 = 0 AS hybrid,
-CASE p_size % 4 WHEN 0 THEN '(Clement, 1924)' WHEN 1 THEN '(Clement, 1924) Sautter, 2013' WHEN 2 THEN 'Sautter, 2013' ELSE '(Clement) 1924' END AS authority FROM {part}"""
+CASE p_size % 4 WHEN 0 THEN '(Clement, 1924)' WHEN 1 THEN '(Clement, 1924) Miller, 2013' WHEN 2 THEN 'Miller, 2013' ELSE '(Clement) 1924' END AS authority FROM {part}"""
 T = "t AS (" + TAXA.format(part="part") + ")"
 
 
@@ -35,7 +35,7 @@ def taxa(s, d):
 
 SQL_NAME = "CASE WHEN subgenus IS NULL AND species IS NULL THEN genus ELSE concat_ws(' ', genus, CASE WHEN species IS NULL AND {h} THEN '× ' ELSE '' END || '(' || subgenus || ')', CASE WHEN subspecies IS NULL AND variety IS NULL AND {h} THEN '× ' ELSE '' END || species, CASE WHEN {h} THEN '× ' ELSE '' END || 'subsp. ' || subspecies, CASE WHEN {h} THEN '× ' ELSE '' END || 'var. ' || variety) END"
 SQL_RANK = "CASE WHEN variety IS NOT NULL THEN 'variety' WHEN subspecies IS NOT NULL THEN 'subSpecies' WHEN species IS NOT NULL THEN 'species' WHEN subgenus IS NOT NULL THEN 'subGenus' ELSE 'genus' END"
-BASE = "CASE authority WHEN '(Clement, 1924) Sautter, 2013' THEN '(Clement, 1924)' WHEN 'Sautter, 2013' THEN NULL ELSE '(Clement, 1924)' END"
+BASE = "CASE authority WHEN '(Clement, 1924) Miller, 2013' THEN '(Clement, 1924)' WHEN 'Miller, 2013' THEN NULL ELSE '(Clement, 1924)' END"
 RANK_SQL = "CASE p_size % 5 WHEN 0 THEN 'genus' WHEN 1 THEN 'subSpecies' WHEN 2 THEN 'variety' WHEN 3 THEN 'subFamily' ELSE 'what' END"
 
 
@@ -86,10 +86,10 @@ QUERIES = {
     "x2_name_string": (lambda s, d: taxa(s, d).select("id", x.name_string(C("e"), C("authority")).alias("name"), x.name_string(C("e"), hybrid=C("hybrid") & (F.size("e") > 1)).alias("hybrid")), f"WITH {T} SELECT id, {SQL_NAME.format(h='false')} || ' ' || authority AS name, {SQL_NAME.format(h='hybrid')} AS hybrid FROM t"),
     "x3_epithets": (lambda s, d: parts(s, d).select("p_partkey", F.expr(RANK_SQL).alias("rank"), C("p_name").alias("e")).select("p_partkey", x.format_epithet(C("rank"), C("e")).alias("epithet"), x.level(C("rank")).alias("level"), x.is_primary(C("rank")).alias("primary")), f"SELECT p_partkey, CASE p_size % 5 WHEN 1 THEN 'subsp. ' || p_name WHEN 2 THEN 'var. ' || p_name ELSE p_name END AS epithet, CASE p_size % 5 WHEN 0 THEN 8 WHEN 1 THEN 13 WHEN 2 THEN 14 WHEN 3 THEN 6 ELSE -1 END AS level, p_size % 5 = 0 AS \"primary\" FROM part"),
     "x4_primary_ranks": (lambda s, d: parts(s, d).select("p_partkey", F.expr(RANK_SQL).alias("rank")).select("p_partkey", x.primary_parent(C("rank")).alias("parent"), x.primary_child(C("rank")).alias("child")), "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'tribe' WHEN 1 THEN 'species' WHEN 2 THEN 'species' WHEN 3 THEN 'family' END AS parent, CASE p_size % 5 WHEN 0 THEN 'species' WHEN 3 THEN 'tribe' END AS child FROM part"),
-    "x5_split_authority": (lambda s, d: taxa(s, d).select("id", x.split_authority(C("authority")).alias("a")).select("id", "a.*"), f"WITH {T} SELECT id, {BASE} AS basionym, CASE WHEN authority LIKE '%Sautter%' THEN 'Sautter, 2013' END AS combination FROM t"),
-    "x6_parse_authority": (lambda s, d: taxa(s, d).select("id", x.parse_authority(x.split_authority(C("authority"))["basionym"]).alias("a")).select("id", "a.*"), f"WITH {T} SELECT id, CASE WHEN authority <> 'Sautter, 2013' THEN 'Clement' END AS name, CASE WHEN authority <> 'Sautter, 2013' THEN 1924 END AS year FROM t"),
+    "x5_split_authority": (lambda s, d: taxa(s, d).select("id", x.split_authority(C("authority")).alias("a")).select("id", "a.*"), f"WITH {T} SELECT id, {BASE} AS basionym, CASE WHEN authority LIKE '%Miller%' THEN 'Miller, 2013' END AS combination FROM t"),
+    "x6_parse_authority": (lambda s, d: taxa(s, d).select("id", x.parse_authority(x.split_authority(C("authority"))["basionym"]).alias("a")).select("id", "a.*"), f"WITH {T} SELECT id, CASE WHEN authority <> 'Miller, 2013' THEN 'Clement' END AS name, CASE WHEN authority <> 'Miller, 2013' THEN 1924 END AS year FROM t"),
     "x7_verbatim_authority": (lambda s, d: taxa(s, d).filter("species IS NOT NULL").select("id", x.verbatim_authority(F.concat_ws(" ", "genus", "species", "authority"), C("species")).alias("authority")), f"WITH {T} SELECT id, authority FROM t WHERE species IS NOT NULL"),
-    "x8_show_authority": (lambda s, d: taxa(s, d).select("id", x.show_authority(F.when(C("hybrid"), "Clement"), F.lit("Sautter")).alias("a")), f"WITH {T} SELECT id, CASE WHEN hybrid THEN '(Clement) Sautter' ELSE 'Sautter' END AS a FROM t"),
+    "x8_show_authority": (lambda s, d: taxa(s, d).select("id", x.show_authority(F.when(C("hybrid"), "Clement"), F.lit("Miller")).alias("a")), f"WITH {T} SELECT id, CASE WHEN hybrid THEN '(Clement) Miller' ELSE 'Miller' END AS a FROM t"),
     "x9_dwc_xml": (lambda s, d: taxa(s, d).select("id", F.concat(F.lit("<t><genus>"), "genus", F.lit("</genus>"), F.coalesce(F.concat(F.lit("<specificEpithet>"), "species", F.lit("</specificEpithet>")), F.lit("")), F.lit("</t>")).alias("x")).select("id", "x", F.expr("xpath_string(x, 't/genus')").alias("genus"), F.expr("xpath_string(x, 't/specificEpithet')").alias("species")), f"WITH {T} SELECT id, '<t><genus>' || genus || '</genus>' || coalesce('<specificEpithet>' || species || '</specificEpithet>', '') || '</t>' AS x, genus, coalesce(species, '') AS species FROM t"),
     "x10_from_attributes": (lambda s, d: taxa(s, d).select("id", F.coalesce("species", F.lower(F.substring("genus", 1, 4))).alias("epithet"), x.name_string(C("e")).alias("name")), f"WITH {T} SELECT id, coalesce(species, lower(substr(genus, 1, 4))) AS epithet, {SQL_NAME.format(h='false')} AS name FROM t"),
     "e1_normalise": (cleaned, f"SELECT p_partkey, CASE WHEN p_partkey = 7 THEN 'seven' WHEN p_name LIKE 'small %' THEN 'tiny' ELSE replace({CLEAN}, 'red', 'rubra') END AS value FROM part"),
