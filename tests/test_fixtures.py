@@ -126,3 +126,16 @@ def test_folds():
     state = {}
     log = [("d", 1, "a", 1), ("d", 2, "a", 1), ("d", 3, "a", -1), ("d", 4, "a", -1), ("d", 5, "b", -1)]
     assert [o for e in log for o in requests.count_fold(state, e)] == [("d", 1, "a", "added"), ("d", 4, "a", "removed")]
+
+
+def test_page_numbers_are_repaired(spark):
+    rows = [(1, p, v, s) for p, v, s in ((1, 11, 9), (2, 12, 9), (3, 77, 0), (4, 14, 9), (5, None, 0), (6, 16, 9))]
+    df = spark.createDataFrame(rows, "doc long, page long, value long, score long")
+    assert [r.value for r in layout.repair_numbers(df).orderBy("page").collect()] == [11, 12, 13, 14, 15, 16]
+
+
+def test_paragraphs(spark):
+    edges = [(110, 500), (100, 500), (100, 300), (110, 500), (100, 500), (100, 250)]
+    df = spark.createDataFrame([(1, k, *e, 20 * k, 20 * k + 12) for k, e in enumerate(edges)], "page int, line int, bl int, br int, bt int, bb int")
+    lines = df.select("page", "line", layout.box(*(F.col(c) for c in ("bl", "br", "bt", "bb"))).alias("box"))
+    assert [r.para for r in layout.split_paragraphs(lines, ["page"], 100).orderBy("line").collect()] == [1, 1, 1, 2, 2, 2]
