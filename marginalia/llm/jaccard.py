@@ -39,7 +39,7 @@ FILTER_BITS = 1 << 24
 #: Members of a tile that are compared in one piece; in tiles of SMALL members, pairs are told first and their signatures looked up after.
 TILE, SMALL = 4096, 16
 #: Bytes of signatures that are compared in one step, and pairs that a task remembers to have told.
-COMPARED, TOLD = 1 << 23, 1 << 17
+COMPARED, TOLD = 1 << 23, 1 << 21
 #: Sizes and places in the prefix are shuffled as one number, size * PLACES + place.
 PLACES = 1 << 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -327,23 +327,23 @@ def _tile_pairs(members: DataFrame, info: DataFrame, nearest: bool) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
         rows: list[tuple] = []
-        told: set[tuple[int, int]] = set()  # of one home, the last TOLD or so; a pair that is told again costs a row, not a result
+        told = np.empty(0, np.uint64)  # hashes of the pairs of one home, up to TOLD; a pair that is told again costs a row, not a result
 
         def done() -> pa.RecordBatch:
+            nonlocal told
             a, b = compare(now, rows)
-            if len(a) > TOLD:
-                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            new = [p for p in dict.fromkeys(zip(a.tolist(), b.tolist(), strict=True)) if p not in told]
-            told.update(new)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
+            code = _mix(a.astype(np.uint64) * _BASE + b.astype(np.uint64))
+            new = ~np.isin(code, told)
+            told = np.concatenate([told, code[new]]) if len(told) < TOLD else code[new]
+            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
         for batch in batches:
             for r in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if r[:5] != now:
                     if len(rows) > 1:
                         yield done()
-                    if now is not None and (r[0] != now[0] or len(told) > TOLD):
-                        told.clear()
+                    if now is not None and r[0] != now[0]:
+                        told = told[:0]
                     now, rows = r[:5], []
                 rows.append(r[5:])
         if len(rows) > 1:
