@@ -21,7 +21,7 @@ PER_CELL, MOST_CELLS = 1000, 2048
 ROUNDS = 8
 #: Home vectors of a cell that are multiplied at once, with a chunk of twice as many members.
 BLOCK = 2048
-#: How many standard deviations the margin is, within which a vector visits other cells.
+#: How many standard deviations an approximate margin is, within which a vector visits other cells. It loses links where differences keep to a few directions, so nothing uses it unasked.
 SPREAD = 1.5
 #: Decimals to which a bound is relaxed against rounding.
 _SLACK = 1e-9
@@ -129,7 +129,7 @@ def _products(dealt: DataFrame, dims: int, cosine: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, links long, b long")
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, spread: float | None = SPREAD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, spread: float | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors found with at least this cosine), component_id (smallest id that links reach), kept.
 
     Vectors that are null, empty, zero, hold null or non-finite components, or differ in
@@ -138,7 +138,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     their number, so copies cost nothing; rows with a repeated id are further vectors. A
     null id is ignored as the smallest, unless all ids of a component are null. Cosines are
     computed in double precision, BLOCK vectors at once within a cell, and a cell of many
-    vectors is dealt out by its blocks. spread None compares losslessly, at more cost.
+    vectors is dealt out by its blocks. spread None loses no link, and each counts at both
+    ends; a number compares less and may lose some, at one end or both.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.transform(F.col(vector).cast("array<float>"), lambda v: v + F.lit(0.0).cast("float")).alias("vector"))  # -0.0 becomes 0.0

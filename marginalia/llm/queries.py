@@ -53,7 +53,7 @@ def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), spread=None)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,6 +134,18 @@ def test_embeddings(spark, monkeypatch, spread):
     assert embeddings.near_duplicates(df.filter("vec_id IN (500, 502)")).count() == 2
 
 
+def test_embeddings_of_few_directions_lose_no_link(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(embeddings, "PER_CELL", 75)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 64)) * np.where(np.arange(64) < 4, 1.0, 0.02)
+    spark.createDataFrame([(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in queries.op9_embeddings(spark, str(tmp_path)).collect())
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [r[1] for r in got] == ((unit @ unit.T >= embeddings.COSINE).sum(axis=1) - 1).tolist()
+    assert got == brute([(k, v.tolist()) for k, v in enumerate(x)])
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(int(a), int(b)) for a, b in rng.integers(100, 300, (120, 2))] + [(400, 400), (500, 501), (501, 500)]
