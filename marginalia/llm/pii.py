@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialise
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; least confidence and least number of different trusted strings of a pattern; most patterns that are kept, the most confident.
+#: Rounds of scoring; least confidence and least number of different trusted strings of a pattern; most patterns that are told to all tasks, more are joined.
 ROUNDS, CONFIDENT, SUPPORT, MOST_PATTERNS = 3, 0.9, 5, 100_000
 #: What a string that isn't a seed can be trusted at most.
 TRUST = 0.9
@@ -142,16 +142,16 @@ def _found(column: pa.Array) -> Iterator[tuple[list[Span], list[dict]]]:
         yield spans, [{"kind": k, "start": a, "end": b, "seed": s, "surface": text[a:b], "contexts": c} for k, a, b, s, c in mentions(text, spans)]
 
 
-def extract(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, spans, mentions) for each whole text; spans are base spans "kind:start:end"."""
+def extract(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, spans, mentions) for each whole text, and also these columns of longs; spans are base spans "kind:start:end"."""
     bounded_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = list(_found(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([told(s) for s, _ in pairs], pa.string()), pa.array([m for _, m in pairs], pa.list_(_MENTION))], names=["doc_id", "spans", "mentions"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([told(s) for s, _ in pairs], pa.string()), pa.array([m for _, m in pairs], pa.list_(_MENTION)), *batch.columns[2:]], names=["doc_id", "spans", "mentions", *also])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id long, spans string, mentions {_MENTION_SQL}")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *also).mapInArrow(run, ", ".join([f"doc_id long, spans string, mentions {_MENTION_SQL}", *(f"{c} long" for c in also)]))
 
 
 def told(spans: list[Span]) -> str:
@@ -170,8 +170,8 @@ class Patterns:
         return [(m["kind"], m["start"], m["end"]) for m in found if not m["seed"] and m["kind"] >= 0 and any(m["kind"] in self.kinds.get(c, ()) for c in m["contexts"])]
 
 
-def bootstrap(extracted: DataFrame) -> Patterns:
-    """Scores patterns and strings on their graph for ROUNDS rounds and returns the confident patterns.
+def bootstrap(extracted: DataFrame) -> DataFrame:
+    """Scores patterns and strings on their graph for ROUNDS rounds and returns all confident patterns (context, kind).
 
     Edges are distinct (context, string, kind); all rounds aggregate them by one side and
     join the few scored rows of the other, so a context that a third of all mentions share
@@ -189,13 +189,30 @@ def bootstrap(extracted: DataFrame) -> Patterns:
         found = edges.filter("kind >= 0 AND NOT seed").join(confident.select("context", "kind", "confidence"), ["context", "kind"]).groupBy("string", "kind").agg((1 - doubt).alias("trust"))
         seeds = edges.filter("seed AND kind >= 0").select("string", "kind").distinct().withColumn("trust", F.lit(1.0))
         trusted = materialise(seeds.unionByName(found).groupBy("string", "kind").agg(F.max("trust").alias("trust")), "trusted")
-    rows = confident.orderBy(F.desc("confidence"), F.desc("support"), "context", "kind").limit(MOST_PATTERNS).select("context", "kind").collect()
+    return confident.select("context", "kind")
+
+
+def told_patterns(patterns: DataFrame) -> Patterns | None:
+    """The patterns, to tell all tasks; None if there are more than MOST_PATTERNS, which announced() joins."""
+    rows = patterns.limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        return None
     kinds: dict[str, set[int]] = {}
     for r in rows:
         kinds.setdefault(r.context, set()).add(r.kind)
     return Patterns({k: frozenset(v) for k, v in kinds.items()})
 
 
+def announced(extracted: DataFrame, patterns: DataFrame, by: list[str]) -> DataFrame:
+    """by and further: what Patterns.further gives, by a join of the mentions' contexts; only where there is something."""
+    each = extracted.select(*by, F.explode("mentions").alias("m")).filter("NOT m.seed AND m.kind >= 0").select(*by, "m.kind", "m.start", "m.end", F.explode("m.contexts").alias("context"))
+    return each.join(patterns, ["context", "kind"], "left_semi").groupBy(*by).agg(F.collect_set(F.struct("kind", "start", "end")).alias("further"))
+
+
+def _spans(further: list[dict] | None) -> list[Span]:
+    return [(m["kind"], m["start"], m["end"]) for m in further or ()]
+
+
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
@@ -203,8 +220,11 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     empty texts have no spans. Each row is its own, whatever the ids. Positions are code
     points, ends exclusive.
     """
-    extracted = materialise(extract(docs, key, text), "extracted")
+    extracted = materialise(extract(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "extracted")
     patterns = bootstrap(extracted)
+    known = told_patterns(patterns)
+    rest = _spans if known is None else known.further
+    source = extracted.join(announced(extracted, patterns, ["row"]), "row", "left").select("doc_id", "spans", "further") if known is None else extracted.select("doc_id", "spans", "mentions")
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +232,10 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             rows = []
             for base, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 spans = [(KINDS.index(k), int(a), int(b)) for k, a, b in (x.split(":") for x in base.split(",") if x)]
-                rows.append((*(sum(s[0] == k for s in spans) for k in range(len(KINDS))), hashlib.sha256(base.encode()).hexdigest(), told(spans + patterns.further(found)) if found else base))
+                rows.append((*(sum(s[0] == k for s in spans) for k in range(len(KINDS))), hashlib.sha256(base.encode()).hexdigest(), told(spans + rest(found)) if found else base))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), pa.int64() if i < len(KINDS) else pa.string()) for i, c in enumerate(zip(*rows, strict=True)))], names=names) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([(n, pa.string() if n in names[-2:] else pa.int64()) for n in names]))
 
-    return extracted.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return source.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -231,15 +251,20 @@ def redacted(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data in the text replaced; nulls stay null. Reads the texts twice: to learn the patterns, and to apply them."""
     names = docs.columns
-    patterns = bootstrap(materialise(extract(docs.select(F.lit(0).alias("doc_id"), text), text=text), "extracted"))
+    ids = {"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)}  # spans depend on the text only
+    extracted = materialise(extract(docs.select(F.lit(0).alias("doc_id"), text, *(c.alias(k) for k, c in ids.items())), text=text, also=tuple(ids)), "extracted")
+    patterns = bootstrap(extracted)
+    known = told_patterns(patterns)
+    source = docs.withColumns(ids).join(materialise(announced(extracted, patterns, list(ids)), "announced"), list(ids), "left").select(*names, F.col("further").alias("__further")) if known is None else docs
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
+            more = batch.column(len(names)).to_pylist() if known is None else None
             for i, (base, found) in enumerate(_found(batch.column(at))):
-                if spans := base + patterns.further(found):
+                if spans := base + (known.further(found) if more is None else _spans(more[i])):
                     texts[i] = redacted(texts[i], spans)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield batch.select(range(len(names))).set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return source.mapInArrow(run, docs.schema)

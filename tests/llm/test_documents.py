@@ -186,6 +186,18 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(r.spans.count("card") == r.n_card for r in pii.find(docs).collect())
 
 
+def test_patterns_beyond_those_told_are_joined(spark, odd, empty, monkeypatch):
+    rows = [(k, f"customer pays with card no {4000000000000000 + 17 * k} today", "en", "a") for k in range(400)]
+    rows = [r for r in rows if pii.base_spans(r[1])] + [(1000, "client pays with card no 4000000000000000 now", "en", "a"), (1001, "client pays with card no 4000000000000000 now", "en", "a")]
+    docs = odd.unionByName(documents(spark, rows))
+    told = [Counter(map(tuple, f(docs).collect())) for f in (pii.find, pii.redact)]
+    assert sum("card:25:41" in map(str, r) for r in told[0]) == 2
+    for most in (0, 1):
+        monkeypatch.setattr(pii, "MOST_PATTERNS", most)
+        assert [Counter(map(tuple, f(docs).collect())) for f in (pii.find, pii.redact)] == told
+        assert pii.find(empty).count() == 0
+
+
 def test_scores(spark, odd, empty):
     held = langid.held_out("doc_id", 7, 2)
     docs = odd.unionByName(documents(spark, [(k, f"the cat and the dog number {k % 9} ran home", "en", "a") for k in range(100, 260)]))
