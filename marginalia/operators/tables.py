@@ -72,15 +72,26 @@ def orientation(cells: DataFrame, known: DataFrame) -> DataFrame:
 
 def extract(cells: DataFrame) -> DataFrame:
     """(table_id, r, name, text, line): every data cell with its column's name and its row's first text."""
+    return _extracted(cells).drop("c")
+
+
+def _extracted(cells: DataFrame) -> DataFrame:
+    """The same with c."""
     data = row_types(cells).filter("type = 'data'").select("table_id", "r")
     label = F.first("text").over(Window.partitionBy("table_id", "r").orderBy("c"))
-    return cells.join(data, ["table_id", "r"], "left_semi").withColumn("line", label).filter("c > 0").join(headers(cells).drop("header"), ["table_id", "c"]).select("table_id", "r", "name", "text", "line")
+    return cells.join(data, ["table_id", "r"], "left_semi").withColumn("line", label).filter("c > 0").join(headers(cells).drop("header"), ["table_id", "c"]).select("table_id", "r", "c", "name", "text", "line")
 
 
 def abbreviations(cells: DataFrame) -> DataFrame:
-    """(table_id, key, values): the first word of each row's first cell keyed to the row's other cells by column name."""
+    """(table_id, r, key, values): the first word of each row's first cell keyed to the row's other cells by column name.
+
+    A key that rows of a table share is repeated, once a row; of columns with the same name
+    the first with text counts, or the first.
+    """
     word = F.regexp_extract("line", r"[\p{L}0-9]+", 0)
-    return extract(cells).select("table_id", word.alias("key"), "name", "text").groupBy("table_id", "key").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("name", "text")))).alias("values"))
+    cell = F.struct((F.length(F.coalesce("text", F.lit(""))) == 0).alias("empty"), "c", "text")
+    one = _extracted(cells).groupBy("table_id", "r", word.alias("key"), "name").agg(F.min(cell)["text"].alias("text"))
+    return one.groupBy("table_id", "r", "key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "text")))).alias("values"))
 
 
 def append_rows(top: DataFrame, bottom: DataFrame) -> DataFrame:

@@ -84,6 +84,8 @@ QUERIES = {
     "g7_extract": (lambda s, d: tb.extract(cells(s, d)), f"WITH {EXT} SELECT table_id, r, name, text, line FROM e WHERE c > 0"),
     "g8_abbreviations": (lambda s, d: tb.abbreviations(cells(s, d).filter("r < 2")).select("table_id", "key", C("values")["Key_no."].alias("no")), f"WITH {X} SELECT table_id, regexp_extract(max(text) FILTER (WHERE c = 0), '[\\p{{L}}0-9]+') AS key, max(text) FILTER (WHERE c = 1) AS no FROM x WHERE r = 1 GROUP BY 1"),
     "g9_append_rows": (lambda s, d: tb.append_rows(cells(s, d).filter("table_id < 50"), cells(s, d).filter("table_id < 60 AND r = 1")), f"WITH {X} SELECT table_id, r, c, text FROM x WHERE table_id < 50 UNION ALL SELECT table_id, (1 + (SELECT count(DISTINCT r) FROM x y WHERE y.table_id = x.table_id))::INT, c, text FROM x WHERE table_id < 50 AND r = 1"),
+    "g8_abbreviations_all": (lambda s, d: tb.abbreviations(cells(s, d)).select("table_id", "r", "key", C("values")["Key_no."].alias("no")), f"WITH {EXT} SELECT table_id, r, regexp_extract(line, '[\\p{{L}}0-9]+') AS key, text AS no FROM e WHERE c = 1"),
+    "g9_append_rows_all": (lambda s, d: tb.append_rows(*(cells(s, d).filter(C("r") % 2 == k) for k in (0, 1))), f"WITH {X} SELECT table_id, r, c, text FROM x WHERE r % 2 = 0 UNION ALL SELECT table_id, (r + (SELECT count(DISTINCT r) FROM x y WHERE y.table_id = x.table_id AND y.r % 2 = 0))::INT, c, text FROM x WHERE r % 2 = 1"),
     "g9_append_columns": (lambda s, d: tb.append_columns(cells(s, d), cells(s, d).filter("c < 2")), f"WITH {X} SELECT table_id, r, c, text FROM x UNION ALL SELECT table_id, r, c + 4, text FROM x WHERE c < 2"),
     "g10_preview": (lambda s, d: tb.preview(cells(s, d), 4, 2), f"WITH {X}, k AS (SELECT table_id, r, string_agg('<td>' || substr(text, 1, 4) || '</td>', '' ORDER BY c) AS t FROM x WHERE r < 2 GROUP BY 1, 2) SELECT table_id, string_agg('<tr>' || t || '</tr>', '' ORDER BY r) AS label FROM k GROUP BY 1"),
     "l1_boxes": (lambda s, d: lines(s, d).select("page", "line", ly.area(box()).alias("area"), ly.includes(box(), ly.scaled(box(), 1.0)).alias("self"), ly.includes(box(), shifted(), fuzzy=True).alias("centre"), ly.overlaps(box(), shifted()).alias("over"), ly.area(ly.union(box(), shifted())).alias("both"), ly.area(ly.intersect(box(), shifted())).alias("common")), f"WITH {L} SELECT page, line, (br - bl)::BIGINT * 12 AS area, true AS self, (bl + br) // 2 + 200 < br AS centre, bl + 200 < br AS over, (br + 200 - bl)::BIGINT * 17 AS both, CASE WHEN bl + 200 < br THEN (br - bl - 200)::BIGINT * 7 END AS common FROM l"),

@@ -139,3 +139,10 @@ def test_paragraphs(spark):
     df = spark.createDataFrame([(1, k, *e, 20 * k, 20 * k + 12) for k, e in enumerate(edges)], "page int, line int, bl int, br int, bt int, bb int")
     lines = df.select("page", "line", layout.box(*(F.col(c) for c in ("bl", "br", "bt", "bb"))).alias("box"))
     assert [r.para for r in layout.split_paragraphs(lines, ["page"], 100).orderBy("line").collect()] == [1, 1, 1, 2, 2, 2]
+
+
+def test_abbreviations_with_a_repeated_key(spark):
+    rows = [["Name", "No.", "No."], ["Abc one", "1", "7"], ["Abc two", "2", ""], ["Def", "", "3"]]
+    cells = spark.createDataFrame([(1, r, c, t) for r, x in enumerate(rows) for c, t in enumerate(x)], "table_id int, r int, c int, text string")
+    got = sorted((r.r, r.key, r.values) for r in tables.abbreviations(cells).select("r", "key", F.col("values")["No."].alias("values")).collect())
+    assert got == [(1, "Abc", "1"), (2, "Abc", "2"), (3, "Def", "3")]
