@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import slices
 
 TURN, HEAD, TAIL = "<s>[INST]", "[/INST]", "</s>"
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
@@ -113,13 +113,12 @@ def format_records(df: DataFrame, record: str, keys: list[str], mappings: tuple[
     what isn't a JSON object included, gives one row with null layout and formatted, so
     that nothing is lost silently; a mapped record without turns gives no row.
     """
-    bounded_batches(df.sparkSession)
     by_print = {fingerprint(m.paths): m for m in mappings}
     kept = df.select(*keys, F.col(record).alias("__record"))
     schema = pa.schema([*((k, t) for k, t in _arrow(df, keys)), ("ord", pa.int32()), ("fingerprint", pa.string()), ("layout", pa.string()), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             index: list[int] = []
             for i, raw in enumerate(batch.column("__record").to_pylist()):
@@ -173,7 +172,7 @@ def conversation_digests(formatted: DataFrame, conv: str = "conv_id", turn: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list | None = None
         out: list[list] = []
-        for batch in batches:
+        for batch in slices(batches):
             for conv_id, chunk, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if state is None or state[0] != conv_id:
                     if state:

@@ -13,9 +13,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes and rows of a slice of an Arrow batch.
+SLICE, ROWS = 2 << 20, 2000
 _OWN: dict[str, str] = {}
 
 
@@ -47,9 +53,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the rows of an Arrow batch for operators that hold whole texts of a batch in memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches, of about this many bytes of texts and ROWS rows at most, for operators whose working memory is a multiple of them.
+
+    Spark bounds the bytes of the batches themselves (spark.sql.execution.arrow.maxBytesPerBatch);
+    a single text is never cut.
+    """
+    for batch in batches:
+        size = np.ones(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                size += np.asarray(pc.fill_null(pc.binary_length(column), 0))
+        part = np.maximum(np.cumsum(size) // most, np.arange(batch.num_rows) // ROWS)
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import materialise, slices
 from .graph import components
 
 WORDS = 5
@@ -154,11 +154,10 @@ def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, h, n, sid, sig, head, tail): each document's set, h being a hash of its text; sid identifies equal sets, head and tail are the packed prefix and rest."""
     import xxhash
 
-    bounded_batches(docs.sparkSession, 250)
     names = ["doc_id", "h", "n", "sid", "sig", "head", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, sid, sig, head, tail = [], [], [], [], []
             for x in shingles(*_text_buffers(batch.column(2))):
                 n.append(len(x))
@@ -185,7 +184,7 @@ def _heavy(sets: DataFrame) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(tok[n > 1].astype(np.int64)), pa.array(n[n > 1])], names=["tok", "n"])
 
         parts: list[np.ndarray] = []
-        for batch in batches:
+        for batch in slices(batches):
             parts += [unpack(x) for x in batch.column(0).to_pylist()]
             if sum(map(len, parts)) > 1 << 20:
                 yield told(parts)
@@ -202,7 +201,7 @@ def _entries(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
     """(tok, sid, np): the prefix of each set in the order that puts heavy shingles last; np is the set's size and the shingle's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             toks, lens = [], []
             for head, tail in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x = unpack(head)
@@ -254,7 +253,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(arrays.select(F.col("sid").alias("a"), F.col("x").alias("xa")), "a").join(arrays.select(F.col("sid").alias("b"), F.col("x").alias("xb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = unpack(a.as_py()), unpack(b.as_py())

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import slices
 
 #: Rows that the classifier is fitted on, for each language at most, and characters of their texts at most (longer texts are not drawn).
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 300, 20_000
@@ -163,13 +163,12 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     a learned language, and are rejected where the score is under the model's threshold.
     Columns of docs named like the results are replaced.
     """
-    bounded_batches(docs.sparkSession, 500)
     kept = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
     rows = docs.select(*kept, F.col(text).alias("__text"))
     names = [*kept, "lang_pred", "score", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(len(kept)).cast(pa.large_string())
             letter = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_pylist()
             lower = pc.utf8_lower(pc.fill_null(texts, ""))

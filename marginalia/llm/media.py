@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import slices
 
 RATE, UP, DOWN = 16000, 1, 2  # samples a second of the stored file; the features' rate is RATE * UP / DOWN
 WINDOW, HOP, BANDS = 256, 128, 24  # samples of a frame and between frames at the features' rate; mel bands
@@ -167,13 +167,12 @@ def audio_features(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     Rows are independent, so equal texts give equal values; a row is computed in
     blocks, and a text needs some 12 bytes of memory for each of its own.
     """
-    bounded_batches(docs.sparkSession, 500)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("raw"))
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media", "tensors"] * keep_media
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()][: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 media = wav(raw + bytes(-len(raw) % 64 if raw else 64))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import materialise, slices
 
 SIZE, END = 1024, 2
 #: Pieces of one length are ranked in buckets, of so many pieces of any length on average; numbers of buckets there are at least and at most.
@@ -187,11 +187,10 @@ def default_tokenizer() -> str:
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each whole text's ids and END, cut only if longer than size, the first piece being the shorter one."""
-    bounded_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(encode(value.as_py() or ""), np.uint32(END)).astype("<u4")

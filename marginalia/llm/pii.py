@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import materialise, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; least confidence and least number of different trusted strings of a pattern; most patterns that are told to all tasks, more are joined.
@@ -144,10 +144,9 @@ def _found(column: pa.Array) -> Iterator[tuple[list[Span], list[dict]]]:
 
 def extract(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, spans, mentions) for each whole text, and also these columns of longs; spans are base spans "kind:start:end"."""
-    bounded_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pairs = list(_found(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([told(s) for s, _ in pairs], pa.string()), pa.array([m for _, m in pairs], pa.list_(_MENTION)), *batch.columns[2:]], names=["doc_id", "spans", "mentions", *also])
 
@@ -259,7 +258,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             more = batch.column(len(names)).to_pylist() if known is None else None
             for i, (base, found) in enumerate(_found(batch.column(at))):

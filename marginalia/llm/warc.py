@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import materialise, slices
 
 #: Bytes of an archive after which the next record starts a new one.
 ARCHIVE_BYTES = 4 << 20
@@ -129,7 +129,6 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     than once are joined back, salted, so a payload that a third of the pages share
     is dealt over SALTS tasks.
     """
-    bounded_batches(pages.sparkSession, 500)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     small = F.octet_length("html") < LEAST_PAYLOAD
     first = rows.filter(~small).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("__n")).filter("__n > 1 AND first IS NOT NULL").drop("__n")
@@ -140,7 +139,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members: list[bytes] = []
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for i, u, h, d, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 members.append(record(i, u, h.encode("utf-8", "surrogatepass"), d, to, to is not None))
                 size += len(members[-1])

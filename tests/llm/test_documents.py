@@ -217,14 +217,73 @@ def test_scores(spark, odd, empty):
     assert {r.score for r in got if r.doc_id in (4, 5)}.__len__() == 1
 
 
-def test_mixer_is_a_probability():
-    model = scoring.Mixer.of(np.random.default_rng(1).integers(0, 5, (2, len(scoring.ORDERS) << scoring.BITS)))
-    context = np.uint64(0x6162636465 << 8)
-    p = 2 ** model.log2(context + np.arange(256, dtype=np.uint64))
-    assert p.sum() == pytest.approx(1, abs=1e-9)
-    store = scoring._Store.of(model)
-    keys = np.random.default_rng(2).integers(0, 1 << 48, 5000).astype(np.uint64)
-    assert np.allclose(store.log2(keys), model.log2(keys)) and np.allclose(store.log2(keys[::-1]), model.log2(keys[::-1]))
+@pytest.mark.parametrize("n", [20, 800, 5000])
+def test_scoring_counts_every_training_text(spark, n):
+    rng = random.Random(n)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(50)]
+    rows = [(rng.choice([None, 3, k]), rng.choice([None, "", " ".join(rng.choices(words, k=rng.randint(1, 12)))]), k % 7 == 2) for k in range(n)] + [(3, "same text", False)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    got = {(r.kind, r.key): r.n for r in scoring.gather(docs).collect()}
+    want = Counter()
+    for _, t, held in rows:
+        raw = bytes(5) + (t or "").encode() + b"\0"
+        for i in range(5, len(raw)):
+            want[int.from_bytes(raw[i - 5 : i + 1], "big")] += not held
+    assert {k: v for (kind, k), v in got.items() if kind == scoring._WINDOW} == dict(want)
+    tokens = {k: v for (kind, k), v in got.items() if kind == scoring._TOKEN}
+    texts = [(t or "") for _, t, held in rows if not held]
+    assert tokens.pop(scoring._END) == len(texts)
+    assert sorted(tokens.values()) == sorted(Counter(w for t in texts for w in t.split()).values())
+
+
+def brute_counts(windows, order, place, key):
+    """How often a window's bit was 0 and 1 after its context and bits so far, over all windows and their numbers."""
+    context = lambda w: (w >> 8) & ((1 << 8 * order) - 1)
+    out = [0, 0]
+    for w, n in windows.items():
+        if context(w) == context(key) and (w & 255 | 256) >> (place + 1) == (key & 255 | 256) >> (place + 1):
+            out[w >> place & 1] += n
+    return out
+
+
+def test_model_against_brute_force(spark):
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["ab", "abc", "ba", "cab"]) for _ in range(60)).encode()
+    windows = Counter(int.from_bytes((bytes(5) + text)[i : i + 6], "big") for i in range(len(text)))
+    some = next(iter(windows)) >> 8 << 8
+    windows |= Counter({some + b: 0 for b in range(256)})  # all that may follow one context
+    for b in range(256):
+        windows.setdefault(some + b, 0)
+    table = spark.createDataFrame(list(windows.items()), "key long, n long")
+    model = scoring.fit(scoring._chunked(table, len(windows)))
+    keys = np.array(sorted(windows, key=lambda w: ((w >> 8) & 0xFFFFFF, w)), np.uint64)
+    n = np.array([windows[int(k)] for k in keys], float)
+    for place in (7, 4, 0):
+        x, gate, so_far, bit = model.inputs(keys, n, place, True)
+        for at in range(0, len(keys), 37):
+            w, known = int(keys[at]), 0
+            assert so_far[at] == (w & 255 | 256) >> (place + 1) and bit[at] == w >> place & 1
+            for i, order in enumerate(scoring.ORDERS):
+                counts = brute_counts(windows, order, place, w)
+                counts[bit[at]] -= windows[w] > 0  # its own occurrence
+                known += sum(counts) > 0
+                assert x[at, i] == pytest.approx(math.log((counts[1] + 0.4) / (counts[0] + 0.4)))
+            assert gate[at] == place * (len(scoring.ORDERS) + 1) + known
+    log2 = dict(zip(keys.tolist(), model.log2(keys, n), strict=True))
+    assert sum(2 ** log2[some + b] for b in range(256)) == pytest.approx(1, abs=1e-9)
+    bits = -sum(log2[w] * c for w, c in windows.items()) / sum(windows.values())
+    assert bits < 2  # of three letters and blanks; untrained weights give more
+    assert bits < -(scoring.Model(model.codes, model.counts).log2(keys, n) * n).sum() / n.sum()
+
+
+def test_scores_of_what_is_joined(spark, odd, empty, monkeypatch):
+    held = langid.held_out("doc_id", 7, 2)
+    rows = lambda: Counter((r.doc_id, r.n_known, round(r.score, 6), round(r.base_score, 6)) for r in scoring.score(odd, held).collect())
+    want = rows()
+    monkeypatch.setattr(scoring, "FREQUENT", 5)
+    monkeypatch.setattr(scoring, "FREQUENT_WINDOWS", 40)
+    assert rows() == want
+    assert scoring.score(odd, F.lit(True)).agg(F.max("train_tokens")).first()[0] == 0
 
 
 def test_mixing(spark, odd, empty):
