@@ -14,16 +14,14 @@ from .common import materialise
 from .graph import components, forest
 
 COSINE = 0.9
-#: Vectors that k-means is fitted on, at most; a bounded sample in the order of a hash of the id.
+#: Vectors that k-means is fitted on, at most; a bounded sample in the order of a hash of the vector.
 SAMPLE = 20_000
-#: Vectors of a cell on average, and most cells there are.
-PER_CELL, MOST_CELLS = 1000, 2048
+#: Vectors of a cell on average, and most cells there are; each block of a cell has cells of its own, of SUB vectors on average, so they grow with the table.
+PER_CELL, MOST_CELLS, SUB = 1000, 2048, 256
 ROUNDS = 8
-#: Home vectors of a cell that are multiplied at once, with a chunk of twice as many members.
-BLOCK = 2048
-#: How many standard deviations an approximate margin is, within which a vector visits other cells. It loses links where differences keep to a few directions, so nothing uses it unasked.
-SPREAD = 1.5
-#: Decimals to which a bound is relaxed against rounding.
+#: Home vectors of a block, and members that it is compared with in one tile.
+BLOCK, CHUNK = 8192, 32768
+#: By how much a bound is relaxed against rounding.
 _SLACK = 1e-9
 
 
@@ -59,115 +57,194 @@ def _unit(column: pa.Array, dims: int | None) -> tuple[np.ndarray, np.ndarray]:
     return out, ok
 
 
-def _assign(distinct: DataFrame, centres: np.ndarray, cosine: float, spread: float | None) -> DataFrame:
-    """(no, copies, vector, cell, home): a row for each vector's own cell and for each other cell in which linked vectors may have their home.
+def _visits(x: np.ndarray, centres: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(home, visits[row, cell]): the cell of the nearest centre, and the cells in which linked vectors may have their home.
 
     Let x have its home at centre c and a linked y at d. As y isn't nearer to c than to d,
-    (c - d).x <= (c - d).(x - y) <= |c - d| |x - y|. With spread None, all cells within
-    that margin are visited, which can lose no link. With a spread, the margin is so many
-    standard deviations of the projection of a difference of that length without a
-    preferred direction, |c - d| |x - y| / sqrt(dims).
+    (c - d).x <= (c - d).(x - y) <= |c - d| |x - y|, which apart[c, d] holds. So no link is lost.
     """
-    dims = centres.shape[1]
-    reach = math.sqrt(2 - 2 * cosine) * (1 if spread is None else min(1.0, spread / math.sqrt(dims)))
-    apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) * reach + _SLACK
+    dots = x @ centres.T
+    home = np.argmax(dots, axis=1)
+    return home, dots[np.arange(len(x)), home][:, None] - dots <= apart[home]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, _ = _unit(batch.column(2), dims)
-            dots = x @ centres.T
-            home = np.argmax(dots, axis=1)
-            row, cell = np.nonzero(dots[np.arange(len(x)), home][:, None] - dots <= apart[home])
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array(cell.astype(np.int32)), pa.array(home[row] == cell)], names=["no", "copies", "vector", "cell", "home"])
 
-    return distinct.select("no", "copies", "vector").mapInArrow(run, "no long, copies long, vector array<float>, cell int, home boolean")
+def _groups(centres: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each cell, number of blocks of each group): cells one after the other along their nearest neighbours, so many together as fill a block."""
+    group, blocks = np.zeros(len(centres), np.int64), []
+    left, now, room = np.ones(len(centres), bool), 0, 0
+    for _ in range(len(centres)):
+        left[now] = False
+        if not blocks or sizes[now] > room:
+            blocks.append(max(1, -(-int(sizes[now]) // BLOCK)))
+            room = blocks[-1] * BLOCK
+        group[now] = len(blocks) - 1
+        room -= int(sizes[now])
+        if left.any():
+            now = int(np.argmax(np.where(left, centres @ centres[now], -2.0)))
+    return group, np.array(blocks)
 
 
-def _products(dealt: DataFrame, dims: int, cosine: float) -> DataFrame:
-    """(a, links, b) for each linked member of a tile: with how many of the tile's home vectors it links, and its root among the tile's links.
+class _Tile:
+    """A block of home vectors in cells of about SUB, with which members are compared."""
 
-    dealt: cell, i, j, build, no, copies, vector; rows of a tile (cell, i, j) together: those
-    of a block of the cell's home vectors (build) and of a chunk of its members. A linked
-    vector has one home, so each link of a member counts once.
-    """
+    def __init__(self, x: np.ndarray, no: np.ndarray, copies: np.ndarray, cosine: float) -> None:
+        self.cosine = cosine
+        self.centres = spherical_kmeans(x, max(1, len(x) // SUB), rounds=3)
+        near = np.argmax(x @ self.centres.T, axis=1)
+        order = np.argsort(near, kind="stable")
+        self.x, self.no, self.copies = x[order], no[order], copies[order]
+        self.small = self.x.astype(np.float32)
+        self.cuts = np.searchsorted(near[order], np.arange(len(self.centres) + 1))
+        # a member linked with a vector at this angle from its centre is at most so much farther from it
+        reach = math.acos(max(-1.0, min(1.0, cosine)))
+        self.least = np.array([math.cos(min(math.pi, math.acos(max(-1.0, min(1.0, float((self.x[a:b] @ c).min())))) + reach)) - 1e-7 if b > a else 2.0 for c, a, b in zip(self.centres, self.cuts[:-1], self.cuts[1:], strict=True)])
+        #: Single precision is off by less than this, so what passes is tested in double precision.
+        self.loose = np.float32(cosine - 1e-6 - x.shape[1] * 1.2e-7)
 
-    def tile(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        build, no, copies = (rows.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
-        x, _ = _unit(rows.column(6), dims)
-        right, left = np.flatnonzero(build), np.flatnonzero(~build)
-        links = np.zeros(len(no), np.int64)
-        us, vs = [no[:0]], [no[:0]]
-        for p in range(0, len(left), BLOCK // 2):
-            u, v = np.nonzero(x[left[p : p + BLOCK // 2]] @ x[right].T >= cosine)
-            u, v = left[p + u], right[v]
-            u, v = u[(other := no[u] != no[v])], v[other]
-            np.add.at(links, u, copies[v])
-            us.append(no[u])
-            vs.append(no[v])
-        linked = left[links[left] > 0]
+    def links(self, x: np.ndarray, no: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, links, b) of all linked vectors: with how many home vectors a member links, copies counted (0 for others), and the root among these links."""
+        links, us, vs = np.zeros(len(no), np.int64), [no[:0]], [no[:0]]
+        visits = x @ self.centres.T >= self.least
+        small = x.astype(np.float32)
+        for k in np.flatnonzero(visits.any(axis=0)):
+            rows, a, b = np.flatnonzero(visits[:, k]), self.cuts[k], self.cuts[k + 1]
+            for part in np.array_split(rows, -(-len(rows) // 4096)):
+                u, v = np.nonzero(small[part] @ self.small[a:b].T >= self.loose)
+                u, v = part[u], a + v
+                other = no[u] != self.no[v]
+                u, v = u[other], v[other]
+                if len(u):
+                    exact = np.concatenate([np.einsum("ij,ij->i", x[u[p : p + 65536]], self.x[v[p : p + 65536]]) for p in range(0, len(u), 65536)])
+                    u, v = u[exact >= self.cosine], v[exact >= self.cosine]
+                    np.add.at(links, u, self.copies[v])
+                    nodes, root = forest(no[u], self.no[v])
+                    us.append(nodes)
+                    vs.append(root)
+        linked = np.flatnonzero(links)
         nodes, root = forest(np.concatenate(us), np.concatenate(vs))
-        return pa.RecordBatch.from_arrays([pa.array(no[linked]), pa.array(links[linked]), pa.array(root[np.searchsorted(nodes, no[linked])])], names=["a", "links", "b"])
+        most = np.zeros(len(nodes), np.int64)
+        most[np.searchsorted(nodes, no[linked])] = links[linked]
+        return nodes, most, root
+
+
+def _products(dealt: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """(a, links, b) for each linked vector of a tile: with how many of the tile's home vectors it links as a member, and its root among the tile's links.
+
+    dealt: g, i, j, build, no, copies, vector; rows of a tile (g, i, j) one after the other: those
+    of a block of the group's home vectors (build), then a chunk of its members, which stream by.
+    A linked vector has one home, so each link of a member counts once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: tuple | None = None
-        parts: list[pa.RecordBatch] = []
+        now, tile = None, None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b > a:
-                    if (key := tuple(keys[a].tolist())) != now:
-                        if parts:
-                            yield tile(parts)
-                        now, parts = key, []
-                    parts.append(batch.slice(a, b - a))
-        if parts:
-            yield tile(parts)
+                if b == a:
+                    continue
+                *key, build = keys[a].tolist()
+                rows = batch.slice(a, b - a)
+                if key != now:
+                    now, tile, held = key, None, []
+                if build:
+                    held.append(rows)
+                    continue
+                if tile is None and held:
+                    home = pa.Table.from_batches(held).combine_chunks()
+                    tile = _Tile(_unit(home.column(6).combine_chunks(), dims)[0], *(home.column(k).to_numpy() for k in (4, 5)), cosine)
+                    held = []
+                if tile is not None:
+                    found = tile.links(_unit(rows.column(6), dims)[0], rows.column(4).to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "links", "b"])
 
     return dealt.mapInArrow(run, "a long, links long, b long")
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, spread: float | None = None) -> DataFrame:
-    """One row per vector: vec_id, n_links (other vectors found with at least this cosine), component_id (smallest id that links reach), kept.
+def _linked(vectors: DataFrame, dims: int, total: int, cosine: float) -> DataFrame:
+    """(a, links, b) of all links among the distinct vectors (no, h1, h2, copies, vector) of one length."""
+    spark = vectors.sparkSession
+    share = min(1 << 20, math.ceil((1 << 20) * 2.0 * SAMPLE / total))
+    sample = vectors.filter(F.pmod("h1", F.lit(1 << 20)) < share).orderBy("h1", "h2").limit(SAMPLE).select("vector").toArrow()
+    if not sample.num_rows:  # a few vectors, none of which was drawn
+        sample = vectors.limit(1).select("vector").toArrow()
+    centres = spherical_kmeans(_unit(sample.column("vector").combine_chunks(), dims)[0], max(1, min(MOST_CELLS, total // PER_CELL)))
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) * math.sqrt(2 - 2 * cosine) + _SLACK
+    rows = vectors.select("no", "copies", "vector")
+    kind = rows.schema["vector"].dataType.simpleString()
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.zeros(len(centres), np.int64)
+        for batch in batches:
+            sizes += np.bincount(_visits(_unit(batch.column(2), dims)[0], centres, apart)[0], minlength=len(centres))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres))), pa.array(sizes)], names=["cell", "n"])
 
-    Vectors that are null, empty, zero, hold null or non-finite components, or differ in
-    length from the table's most frequent length (the longest of these, in a tie) link
-    with nothing and are kept. Equal vectors are one row of the comparison, which knows
-    their number, so copies cost nothing; rows with a repeated id are further vectors. A
-    null id is ignored as the smallest, unless all ids of a component are null. Cosines are
-    computed in double precision, BLOCK vectors at once within a cell, and a cell of many
-    vectors is dealt out by its blocks. spread None loses no link, and each counts at both
-    ends; a number compares less and may lose some, at one end or both.
+    sizes = np.zeros(len(centres), np.int64)
+    for r in rows.mapInArrow(homes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most MOST_CELLS rows
+        sizes[r.cell] = r.n
+    group, blocks = _groups(centres, sizes)
+
+    def groups(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home group, row and group of each visit), a group once a row."""
+        home, visits = _visits(_unit(batch.column(2), dims)[0], centres, apart)
+        row, cell = np.nonzero(visits)
+        row, g = np.divmod(np.unique(row * len(blocks) + group[cell]), len(blocks))
+        return group[home], row, g
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.zeros(len(blocks), np.int64)
+        for batch in batches:
+            sizes += np.bincount(groups(batch)[2], minlength=len(blocks))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array(sizes)], names=["g", "n"])
+
+    chunks = np.ones(len(blocks), np.int64)
+    for r in rows.mapInArrow(members, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
+        chunks[r.g] = max(1, -(-r.n // CHUNK))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home, row, g = groups(batch)
+            number = batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            block = (number % blocks[home].astype(np.uint64)).astype(np.int64)
+            own = np.repeat(np.arange(batch.num_rows), chunks[home])  # a home vector is in its block's tiles with all chunks
+            j = np.arange(len(own)) - np.repeat(np.cumsum(chunks[home]) - chunks[home], chunks[home])
+            at = np.repeat(row, blocks[g])  # a member is in its chunk's tiles with all blocks
+            gs = np.repeat(g, blocks[g])
+            i = np.arange(len(at)) - np.repeat(np.cumsum(blocks[g]) - blocks[g], blocks[g])
+            chunk = ((number >> np.uint64(8))[at] % chunks[gs].astype(np.uint64)).astype(np.int64)
+            for take, key, build in ((own, (home[own], block[own], j), True), (at, (gs, i, chunk), False)):
+                for p in range(0, len(take), 20_000):
+                    part = pa.array(take[p : p + 20_000])
+                    keys = [pa.array(k[p : p + 20_000].astype(np.int32)) for k in key]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(part), build)), *(c.take(part) for c in batch.columns)], names=["g", "i", "j", "build", "no", "copies", "vector"])
+
+    dealt = rows.mapInArrow(deal, f"g int, i int, j int, build boolean, no long, copies long, vector {kind}")
+    tiles = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", F.desc("build"))
+    return materialise(_products(tiles, dims, cosine), "links")
+
+
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
+    """One row per vector: vec_id, n_links (other vectors with at least this cosine), component_id (smallest id that links reach), kept.
+
+    Vectors that are null, empty, zero or hold null or non-finite components link with
+    nothing and are kept. Others are compared with all of their own length, each length by
+    itself. Equal vectors are one row of the comparison, which knows their number, so copies
+    cost nothing; rows with a repeated id are further vectors. A null id is ignored as the
+    smallest, unless all ids of a component are null. Cosines are computed in double
+    precision from the components as they are given. No link is lost, and each counts at
+    both ends. Where the data have no cells to speak of, all pairs of blocks are compared.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.transform(F.col(vector).cast("array<float>"), lambda v: v + F.lit(0.0).cast("float")).alias("vector"))  # -0.0 becomes 0.0
+    given = vectors.schema[vector].dataType.simpleString()
+    kind = "float" if given == "array<float>" else "double"
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.transform(F.col(vector).cast(f"array<{kind}>"), lambda v: v + F.lit(0.0).cast(kind)).alias("vector"))  # -0.0 becomes 0.0
     usable = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("vector", lambda v: v != 0)
-    rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
-    dims = rows.filter("ok").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    if not dims:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    d = dims[0].d
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("vector") == d))
-    hashed = rows.withColumn("h1", F.when(F.col("ok"), F.xxhash64("vector"))).withColumn("h2", F.when(F.col("ok"), F.xxhash64(F.lit(1), "vector")))
+    hashed = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("h1", F.when(F.col("ok"), F.xxhash64("vector"))).withColumn("h2", F.when(F.col("ok"), F.xxhash64(F.lit(1), "vector")))
     distinct = hashed.filter("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    numbered = materialise(distinct.withColumn("no", F.monotonically_increasing_id()), "vectors")
-    total = numbered.count()
-    share = min(1 << 20, math.ceil((1 << 20) * 2.0 * SAMPLE / total))
-    sample = numbered.filter(F.pmod("h1", F.lit(1 << 20)) < share).orderBy("h1", "h2").limit(SAMPLE).select("vector").toArrow()
-    centres = spherical_kmeans(_unit(sample.column("vector").combine_chunks(), d)[0], max(1, min(MOST_CELLS, total // PER_CELL)))
-    cells = materialise(_assign(numbered, centres, cosine, spread), "cells")
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("h")).collect()  # at most MOST_CELLS rows
-    plan = spark.createDataFrame([(r.cell, max(1, -(-r.h // BLOCK)), max(1, -(-r.n // (2 * BLOCK)))) for r in sizes], "cell int, blocks int, chunks int")
-    dealt = cells.join(F.broadcast(plan), "cell")
-    number = lambda what: F.pmod(F.xxhash64("no"), F.col(what)).cast("int")
-    every = lambda what: F.explode(F.sequence(F.lit(0), F.col(what) - 1))
-    built = dealt.filter("home").withColumn("i", number("blocks")).withColumn("j", every("chunks")).withColumn("build", F.lit(True))
-    probed = dealt.withColumn("j", number("chunks")).withColumn("i", every("blocks")).withColumn("build", F.lit(False))
-    tile = ["cell", "i", "j"]
-    dealt = built.unionByName(probed).repartition(*tile).sortWithinPartitions(*tile).select(*tile, "build", "no", "copies", "vector")
-    found = materialise(_products(dealt, d, cosine), "links")
+    numbered = materialise(distinct.withColumn("no", F.monotonically_increasing_id()).withColumn("d", F.size("vector")), "vectors")
+    found = numbered.select(F.col("no").alias("a"), F.lit(0).cast("long").alias("links"), F.col("no").alias("b")).limit(0)
+    for r in numbered.groupBy("d").count().filter("count > 1").orderBy("d").collect():  # one row a length; a job each
+        found = found.unionByName(_linked(numbered.filter(F.col("d") == r.d), r.d, r["count"], cosine))
     merged = components(found.select("a", "b")).withColumnRenamed("node", "no")
     links = found.groupBy(F.col("a").alias("no")).agg(F.sum("links").alias("links"))
     classes = numbered.select("no", "h1", "h2", "rep", "copies").join(merged, "no", "left").join(links, "no", "left").withColumn("comp", F.coalesce("component", "no"))

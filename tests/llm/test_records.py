@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 
 import numpy as np
 import pytest
@@ -113,36 +114,47 @@ def brute(rows, least=0.9):
     return sorted((k, links[i], ids[find(i)], ids[find(i)] == k) for i, (k, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("spread", [None, embeddings.SPREAD])
-def test_embeddings(spark, monkeypatch, spread):
+def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "PER_CELL", 12)
     monkeypatch.setattr(embeddings, "BLOCK", 8)
+    monkeypatch.setattr(embeddings, "CHUNK", 20)
+    monkeypatch.setattr(embeddings, "SUB", 5)
     rng = np.random.default_rng(3)
     rows = []
     for _ in range(12):
         base = rng.normal(size=16)
         rows += [(len(rows), v.astype(np.float32).tolist()) for v in base + rng.normal(size=(9, 16)) * rng.choice([0.05, 0.2])]
-    rows += [(500, None), (501, []), (502, [0.0] * 16), (503, [float("nan")] + [1.0] * 15), (504, [None] + [1.0] * 15), (505, rows[0][1]), (506, rows[0][1]), (507, [1.0, 2.0]), (508, [float("inf")] + [1.0] * 15), (509, [2 * v for v in rows[20][1]])]
+    rows += [(500, None), (501, []), (502, [0.0] * 16), (503, [float("nan")] + [1.0] * 15), (504, [None] + [1.0] * 15), (505, rows[0][1]), (506, rows[0][1]), (508, [float("inf")] + [1.0] * 15), (509, [2 * v for v in rows[20][1]])]
+    rows += [(600, [1.0, 2.0]), (601, [1.0, 2.5]), (602, [2.0, -1.0]), (603, [1.0, 2.0, 0.0])]  # each length is compared by itself
     df = spark.createDataFrame([(k, v, 1, 2, 3) for k, v in rows], "vec_id long, embedding array<float>, label int, cell int, copies int")
-    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, spread=spread).collect())
-    want = brute(rows)
-    if spread is None:
-        assert got == want
-    found, all_ = sum(r[1] for r in got), sum(r[1] for r in want)
-    assert found >= 0.9 * all_ and all(a[1] <= b[1] for a, b in zip(got, want, strict=True))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect())
+    assert got == brute(rows) and next(r for r in got if r[0] == 601)[1] == 1
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
     assert embeddings.near_duplicates(df.filter("vec_id IN (500, 502)")).count() == 2
 
 
-def test_embeddings_of_few_directions_lose_no_link(spark, monkeypatch, tmp_path):
+def test_embeddings_in_double_precision(spark):
+    tiny = math.acos(0.9)
+    rows = [(1, [1.0, 0.0]), (2, [math.cos(tiny - 1e-12), math.sin(tiny - 1e-12)]), (3, [math.cos(tiny + 1e-12), -math.sin(tiny + 1e-12)]), (4, [1e300, 1e290]), (5, [-1e300, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links) for r in embeddings.near_duplicates(df).collect()) == [(1, 2), (2, 2), (3, 0), (4, 2), (5, 0)]
+
+
+@pytest.mark.parametrize("rank", [4, 8, 64])
+def test_embeddings_lose_no_link_whatever_their_rank(spark, monkeypatch, tmp_path, rank):
     monkeypatch.setattr(embeddings, "PER_CELL", 75)
+    monkeypatch.setattr(embeddings, "BLOCK", 128)
+    monkeypatch.setattr(embeddings, "CHUNK", 256)
+    monkeypatch.setattr(embeddings, "SUB", 20)
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(600, 64)) * np.where(np.arange(64) < 4, 1.0, 0.02)
+    x = rng.normal(size=(600, rank)) @ rng.normal(size=(rank, 64))
+    x[300:] = x[:300] + rng.normal(size=(300, 64)) * np.abs(x[:300]).mean() * rng.choice([0.3, 0.45, 0.6], (300, 1)) if rank == 64 else x[300:]
     spark.createDataFrame([(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in queries.op9_embeddings(spark, str(tmp_path)).collect())
     x = x.astype(np.float32).astype(float)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    assert [r[1] for r in got] == ((unit @ unit.T >= embeddings.COSINE).sum(axis=1) - 1).tolist()
+    links = (unit @ unit.T >= embeddings.COSINE).sum(axis=1) - 1
+    assert links.sum() > 50 and [r[1] for r in got] == links.tolist()  # a recall of 1
     assert got == brute([(k, v.tolist()) for k, v in enumerate(x)])
 
 
