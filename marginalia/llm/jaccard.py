@@ -38,6 +38,10 @@ HEAVY, HEAVY_MOST = 64, 50_000
 FILTER_BITS = 1 << 24
 #: Members of a tile that are compared in one piece; in tiles of SMALL members, pairs are told first and their signatures looked up after.
 TILE, SMALL = 4096, 16
+#: Sets that a task remembers to have told; rows of a home's tiles that one task gets, about.
+ONCE, HOME = 1 << 18, 8192
+#: Tiles of more members are compared band by band; in smaller ones the test of sizes does the same.
+BANDED = 256
 #: Bytes of signatures that are compared in one step, and pairs that a task remembers to have told.
 COMPARED, TOLD = 1 << 23, 1 << 21
 #: Sizes and places in the prefix are shuffled as one number, size * PLACES + place.
@@ -151,28 +155,29 @@ def text_hash(text: str) -> F.Column:
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, h, n, sid, sig, head, tail): each document's set, h being a hash of its text; sid identifies equal sets, head and tail are the packed prefix and rest."""
+    """(doc_id, h, n, sid, more, sig, head, tail): each document's set, h being a hash of its text; sid and more, 64 bits each, identify equal sets, head and tail are the packed prefix and rest."""
     import xxhash
 
-    names = ["doc_id", "h", "n", "sid", "sig", "head", "tail"]
+    names = ["doc_id", "h", "n", "sid", "more", "sig", "head", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n, sid, sig, head, tail = [], [], [], [], []
+            n, sid, more, sig, head, tail = [], [], [], [], [], []
             for x in shingles(*_text_buffers(batch.column(2))):
                 n.append(len(x))
                 if not len(x):
-                    sid.append(None), sig.append(None), head.append(None), tail.append(None)
+                    sid.append(None), more.append(None), sig.append(None), head.append(None), tail.append(None)
                     continue
                 cut = prefix_length(len(x))
-                sid.append(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63))
+                high, low = divmod(xxhash.xxh3_128_intdigest(x.tobytes()), 1 << 64)
+                sid.append(low - (1 << 63)), more.append(high - (1 << 63))
                 sig.append(signature(x))
                 head.append(pack(x[:cut]))
                 tail.append(pack(x[cut:]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), *(pa.array(c, pa.binary()) for c in (sig, head, tail))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(more, pa.int64()), *(pa.array(c, pa.binary()) for c in (sig, head, tail))], names=names)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_hash(text).alias("h"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, h long, n long, sid long, sig binary, head binary, tail binary")
+    return rows.mapInArrow(run, "doc_id long, h long, n long, sid long, more long, sig binary, head binary, tail binary")
 
 
 def _heavy(sets: DataFrame) -> np.ndarray:
@@ -198,10 +203,21 @@ def _heavy(sets: DataFrame) -> np.ndarray:
 
 
 def _entries(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(tok, sid, np): the prefix of each set in the order that puts heavy shingles last; np is the set's size and the shingle's place."""
+    """(tok, sid, np): the prefix of each set in the order that puts heavy shingles last; np is the set's size and the shingle's place.
+
+    A task tells equal sets once (again after ONCE sets), so copies are gone before the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once: set[int] = set()
         for batch in slices(batches):
+            new = []
+            for x in batch.column(0).to_pylist():
+                new.append(x not in once)
+                once.add(x)
+            if len(once) > ONCE:
+                once.clear()
+            batch = batch.filter(pa.array(new))
             toks, lens = [], []
             for head, tail in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x = unpack(head)
@@ -280,21 +296,25 @@ def _tile_pairs(members: DataFrame, info: DataFrame, nearest: bool) -> DataFrame
     """Candidate pairs (a, b) from different components, in tiles in which signatures bound the overlap; with nearest, only the nearest pair of each component in a tile.
 
     members: tok, sid, n, place, comp, m (members of the shingle), lo (the least component). Up
-    to TILE members are one tile; the tiles of a group of copies share lo, and so a task, which
-    tells each of their pairs once.
+    to TILE members are one tile, compared by bands; the tiles of a group of copies share lo,
+    their home, and are dealt over as many tasks as they need for HOME rows each, which tell
+    each of their pairs once.
     More are cut into tiles of (tok, band): a set is a member of its own band's tile, and a
     guest in the next one's, guests not being compared with each other; and a tile of more
-    than TILE members is dealt out by pairs of its chunks.
+    than TILE members is dealt out by pairs of its chunks, drawn by a hash.
     """
     few = members.filter(F.col("m") <= TILE).select("tok", "sid", "n", "place", "comp", F.col("lo").alias("home"), *(F.lit(0).alias(k) for k in ("band", "i", "j", "c")), F.lit(False).alias("guest"))
-    own = members.filter(F.col("m") > TILE).withColumn("home", F.col("tok")).withColumn("band", _band(F.col("n"))).withColumn("guest", F.lit(False))
+    large = materialise(few.groupBy("home").agg(F.count("*").alias("rows")).filter(F.col("rows") > HOME), "homes")
+    large = F.broadcast(large) if large.count() <= TOLD // 16 else large
+    few = few.join(large, "home", "left").withColumn("part", F.when(F.col("rows").isNotNull(), F.pmod(F.xxhash64("tok"), F.ceil(F.col("rows") / HOME))).otherwise(0).cast("int")).drop("rows")
+    own = members.filter(F.col("m") > TILE).withColumn("home", F.col("tok")).withColumn("part", F.lit(0)).withColumn("band", _band(F.col("n"))).withColumn("guest", F.lit(False))
     many = own.unionByName(own.withColumn("band", F.col("band") + 1).withColumn("guest", F.lit(True)))
-    tile = Window.partitionBy("tok", "band")
-    many = many.withColumn("c", F.floor((F.row_number().over(tile.orderBy("n", "sid")) - 1) / TILE).cast("int")).withColumn("last", F.max("c").over(tile))
+    many = many.join(many.groupBy("tok", "band").agg((F.ceil(F.count("*") / TILE) - 1).cast("int").alias("last")), ["tok", "band"])
+    many = many.withColumn("c", F.pmod(F.xxhash64("sid"), F.col("last") + 1).cast("int"))
     many = many.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("i", F.least("c", "k")).withColumn("j", F.greatest("c", "k"))
-    keys = ["home", "tok", "band", "i", "j"]
+    keys = ["home", "part", "tok", "band", "i", "j"]
     tiles = few.unionByName(many.select(few.columns)).join(info.select("sid", "sig"), "sid")
-    tiles = tiles.repartition("home", "band", "i", "j").sortWithinPartitions(*keys).select(*keys, "c", "sid", "n", "place", "comp", "guest", "sig")
+    tiles = tiles.repartition("home", "part", "band", "i", "j").sortWithinPartitions(*keys).select(*keys, "c", "sid", "n", "place", "comp", "guest", "sig")
 
     def compare(t: tuple, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         *numbers, guest, sig = (list(x) for x in zip(*rows, strict=True))
@@ -302,26 +322,34 @@ def _tile_pairs(members: DataFrame, info: DataFrame, nearest: bool) -> DataFrame
         guest = np.array(guest)
         width = min(map(len, sig))
         bits = np.stack([_fold(s, width) for s in sig])
-        left, right = (np.arange(len(c)),) * 2 if t[3] == t[4] else (np.flatnonzero(c == t[3]), np.flatnonzero(c == t[4]))
+        order = np.argsort(n, kind="stable")
+        same = t[4] == t[5]
+        left, right = (order, order) if same else (order[c[order] == t[4]], order[c[order] == t[5]])
+        rank = np.empty(len(c), np.int64)
+        rank[order] = np.arange(len(c))
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        step = max(1, COMPARED // max(1, len(right) * width))
+        for x, near in _bands(n[left], n[right], same) if len(c) > BANDED else [(slice(None), slice(None))]:
+            out += list(products(left[x], right[near], n, place, comp, guest, bits, rank, sid, same))
+        return (np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])) if out else (sid[:0], sid[:0])
+
+    def products(left, right, n, place, comp, guest, bits, rank, sid, same):  # noqa: ANN001, ANN202
+        step = max(1, COMPARED // max(1, len(right) * bits.shape[1] * 8))
         for p in range(0, len(left), step):
             x = left[p : p + step]
             ok = (comp[x][:, None] != comp[right]) & ~(guest[x][:, None] & guest[right]) & _reachable(n[x][:, None], place[x][:, None], n[right], place[right])
-            if t[3] == t[4]:
-                ok &= x[:, None] < right
+            if same:
+                ok &= rank[x][:, None] < rank[right]
             u, v = np.nonzero(ok)
             differ = np.bitwise_count(bits[x[u]] ^ bits[right[v]]).sum(axis=1, dtype=np.int64)
             total = n[x[u]] + n[right[v]]
             near = _possible(total, differ)
             u, v = x[u[near]], right[v[near]]
             if nearest and len(u):  # each component's best pair, from either side
-                order = np.argsort(differ[near], kind="stable")
-                u, v = u[order], v[order]
+                best = np.argsort(differ[near], kind="stable")
+                u, v = u[best], v[best]
                 first = np.union1d(np.unique(comp[u], return_index=True)[1], np.unique(comp[v], return_index=True)[1])
                 u, v = u[first], v[first]
-            out.append((np.minimum(sid[u], sid[v]), np.maximum(sid[u], sid[v])))
-        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+            yield np.minimum(sid[u], sid[v]), np.maximum(sid[u], sid[v])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
@@ -338,19 +366,27 @@ def _tile_pairs(members: DataFrame, info: DataFrame, nearest: bool) -> DataFrame
 
         for batch in batches:
             for r in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if r[:5] != now:
+                if r[:6] != now:
                     if len(rows) > 1:
                         yield done()
-                    if now is not None and r[0] != now[0]:
+                    if now is not None and r[:2] != now[:2]:
                         told = told[:0]
-                    now, rows = r[:5], []
-                rows.append(r[5:])
+                    now, rows = r[:6], []
+                rows.append(r[6:])
         if len(rows) > 1:
             yield done()
 
     return tiles.mapInArrow(run, "a long, b long")
 
 
+def _bands(left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[slice, slice]]:
+    """Which of the sorted sizes on either side may link, band by band: those of a band with those of its own and the next, and, unless both sides are the same, the one before."""
+    band = lambda x: np.floor(np.log(np.maximum(x, 1)) / np.log(100 / PERCENT) + 1e-9).astype(np.int64)
+    left, right = band(left), band(right)
+    for b in np.unique(left):
+        yield slice(*np.searchsorted(left, [b, b + 1])), slice(*np.searchsorted(right, [b if same else b - 1, b + 2]))
+
+
 def _fold(sig: bytes, width: int) -> np.ndarray:
     x = np.frombuffer(sig, np.uint64)
     while len(x) * 8 > width:
@@ -413,9 +449,20 @@ def _mixed(alive: DataFrame, merged: DataFrame) -> DataFrame:
     return materialise(marked.filter("lo < hi").drop("hi"), "mixed")
 
 
+def _identified(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets, (sid, n, sig) of the distinct ones). Where sets that differ in their further 64 bits share a sid, their sids are made anew from both."""
+    while True:
+        info = sets.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("more").alias("lo"), F.max("more").alias("hi"))
+        info = materialise(info, "signatures")
+        shared = info.filter("lo <> hi").select("sid", F.lit(True).alias("shared"))
+        if not shared.limit(1).count():
+            return sets, info.select("sid", "n", "sig")
+        sets = materialise(sets.join(shared, "sid", "left").withColumn("sid", F.when(F.col("shared"), F.xxhash64("sid", "more")).otherwise(F.col("sid"))).select(sets.columns), "sets")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, h, n, comp): each row's class by links; comp is any number of the class, null without shingles, and h the hash of the text."""
-    sets = materialise(shingle_sets(docs, key, text), "sets")
+    sets, info = _identified(materialise(shingle_sets(docs, key, text), "sets"))
     entries = _entries(sets, _heavy(sets)).repartition("tok")
     by_size = Window.partitionBy("tok").orderBy("np", "sid")
     # equal sets are neighbours here, and only the first of them counts
@@ -425,7 +472,6 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     alive = alive.select("tok", "sid", number("np").alias("n"), place("np").alias("place"), "prev", number("prev_np").alias("prev_n"), place("prev_np").alias("prev_place"))
     alive = materialise(alive, "alive")
     chain = alive.filter(F.col("prev").isNotNull() & _reachable(F.col("prev_n"), F.col("prev_place"), F.col("n"), F.col("place"))).select(F.least("prev", "sid").alias("a"), F.greatest("prev", "sid").alias("b"))
-    info = materialise(sets.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
     links = materialise(_verified(_nearest(_bounded(chain, info)), sets), "links")
     merged = components(links)
     mixed = _mixed(alive, merged)
@@ -465,8 +511,6 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = docs.withColumn("__h", text_hash(text)).withColumn("__blank", ~F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
     blank = rows.filter("__blank").select(*docs.columns)
     some = rows.filter("NOT __blank").join(keep.withColumnRenamed("__h", "__k"), (F.col("__h") == F.col("__k")) & F.col(key).cast("long").eqNullSafe(F.col("__id")))
-    alone = told.filter("comp IS NOT NULL").groupBy("doc_id", "h").count().filter("count > 1").limit(1).count() == 0
-    if not alone:  # rows repeat, so a row of each is chosen; the order is any
-        own = Window.partitionBy("__h", key).orderBy(F.monotonically_increasing_id())
-        some = some.withColumn("__row", F.row_number().over(own)).filter("__row = 1")
+    if told.filter("comp IS NOT NULL").groupBy("doc_id", "h").count().filter("count > 1").limit(1).count():  # rows repeat, and one of each stays
+        some = some.dropDuplicates(["__h", key])
     return some.select(*docs.columns).unionByName(blank)

@@ -124,7 +124,9 @@ def test_jaccard_against_brute_force(spark, odd, empty, monkeypatch):
             rows.append((len(rows) + 100 + g, " ".join(mutant[: rng.randint(len(mutant) * 4 // 5, len(mutant))])))
     docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
     want = brute_components(rows)
-    for tile, small, heavy in ((4096, 16, 64), (8, 2, 10**9), (16, 0, 3)):
+    for tile, small, heavy, home, banded in ((4096, 16, 64, 8192, 256), (8, 2, 10**9, 8192, 256), (16, 0, 3, 20, 1)):
+        monkeypatch.setattr(jaccard, "HOME", home)
+        monkeypatch.setattr(jaccard, "BANDED", banded)
         monkeypatch.setattr(jaccard, "TILE", tile)
         monkeypatch.setattr(jaccard, "SMALL", small)
         monkeypatch.setattr(jaccard, "HEAVY", heavy)
@@ -136,6 +138,14 @@ def test_jaccard_against_brute_force(spark, odd, empty, monkeypatch):
     assert ids[4] == 1 and ids[5] == 0 and {1, 2, 3} <= set(ids) and max(ids.values()) == 1
 
 
+def test_sets_that_share_a_hash_are_told_apart(spark):
+    rows = [(1, 7, 3, 50, 1, b"a", b"", b""), (2, 8, 3, 50, 2, b"b", b"", b""), (3, 7, 3, 50, 1, b"a", b"", b""), (4, 9, 3, 51, 1, b"c", b"", b""), (5, 9, 0, None, None, None, None, None)]
+    sets = spark.createDataFrame(rows, "doc_id long, h long, n long, sid long, more long, sig binary, head binary, tail binary")
+    made, info = jaccard._identified(sets)
+    by = {r.doc_id: r.sid for r in made.collect()}
+    assert by[1] == by[3] and len({by[1], by[2], by[4]}) == 3 and by[4] == 51 and by[5] is None and info.count() == 3
+
+
 BASE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
