@@ -33,11 +33,19 @@ Group = tuple[tuple[int, ...], int]  # lengths in a sequence, how many such sequ
 def reduce_by_dominance(counts: dict[int, int], size: int = SIZE) -> tuple[list[Group], dict[int, int]]:
     """(fixed groups, what is left). A set with length a is fixed if it dominates all sets with a that fit.
 
-    {a} does if nothing fits beside it. {a, k}, k being the largest that fits beside a, does
-    if k fills the sequence, or if no two or more of the others that fit beside a have
-    together more than k: whatever stands beside a can then be swapped for k. It stays so
-    while copies of the pair are taken, so they are fixed in bulk. Passes end when one
-    fixes nothing.
+    A set dominates another if that other's lengths can be put into some of its own without
+    exceeding any: whatever stands beside a elsewhere can then be swapped for the set. With k
+    the largest length that fits beside a, and q the largest that fits beside both:
+
+    * {a} dominates if nothing fits beside a;
+    * {a, k} if k fills the sequence, or if no two or more of the lengths that fit beside a
+      have together more than k;
+    * {a, k, q} if no three others fit beside a, and no two do that are both longer than q,
+      or such two have no more than k together: of any other two the shorter goes into q and
+      the longer into k.
+
+    It stays so while copies of the set are taken, so they are fixed in bulk. Passes end when
+    one fixes nothing.
     """
     left = {k: n for k, n in counts.items() if n > 0}
     fixed: list[Group] = []
@@ -45,25 +53,37 @@ def reduce_by_dominance(counts: dict[int, int], size: int = SIZE) -> tuple[list[
     while changed:
         changed = False
         for a in sorted(left, reverse=True):
-            while left.get(a, 0):
-                room = size - a
-                beside = sorted(k for k, n in left.items() if k <= room and n > (k == a))
-                if not beside:
-                    fixed.append(((a,), left.pop(a)))
-                    changed = True
-                    break
-                k = beside[-1]
-                if k < room and 2 * beside[0] <= room and _most(beside, room) > k:
-                    break
-                n = left[a] // 2 if k == a else min(left[a], left[k])
-                fixed.append(((a, k), n))
-                for x in (a, k):
+            while left.get(a, 0) and (found := _dominating(a, left, size)):
+                n = min(left[x] // found.count(x) for x in found)
+                fixed.append((found, n))
+                for x in found:
                     left[x] -= n
                 left = {x: c for x, c in left.items() if c}
                 changed = True
     return fixed, left
 
 
+def _dominating(a: int, left: dict[int, int], size: int) -> tuple[int, ...] | None:
+    """A set with a that dominates all others with it, of one, two or three lengths."""
+    room = size - a
+    spare = {k: n - (k == a) for k, n in left.items() if k <= room and n > (k == a)}
+    if not spare:
+        return (a,)
+    beside = sorted(spare)
+    k = beside[-1]
+    if k == room or 2 * beside[0] > room or _most(beside, room) <= k:
+        return (a, k)
+    least = [x for x in beside for _ in range(min(3, spare[x]))][:3]
+    if len(least) == 3 and sum(least) <= room:
+        return None
+    spare[k] -= 1
+    q = max((x for x in beside if spare[x] and x <= room - k), default=0)
+    spare[k] += 1
+    longer = [x for x in beside if x > q]
+    pairs = [x + y for x in longer for y in longer if x <= y and x + y <= room and (x < y or spare[x] > 1)]
+    return (a, k, q) if q and all(x <= k for x in pairs) else None
+
+
 def _most(lengths: list[int], room: int) -> int:
     """The largest sum within room of two or more of the lengths, each as often as wanted."""
     one = sum(1 << k for k in lengths)
@@ -132,10 +152,12 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
 
 
 class Encoder:
-    """Token ids of the tokenizers library's byte-level BPE file.
+    """Token ids that the tokenizers library gives for a vocabulary file, with its own settings.
 
-    Its merges are run by tiktoken on the same vocabulary, which gives the same ids several
-    times as fast; what has a very long run goes to the library itself.
+    Where the file's pre-tokenisation is plain byte-level and nothing is normalised, merges
+    are run by tiktoken on the same vocabulary, which gives the same ids several times as
+    fast. What has a very long run or holds an added token's text goes to the library
+    itself, as does every text with a file of another kind.
     """
 
     def __init__(self, path: str) -> None:
@@ -146,27 +168,36 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         special = {x["content"] for x in model.get("added_tokens", ())}
-        byte = _byte_of_character()
-        ranks = {bytes(byte[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # of byte-level pre-tokenisation, a fixed value
-        self._fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._fast = None
+        if _plain(model):
+            byte = _byte_of_character()
+            ranks = {bytes(byte[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
+            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # of byte-level pre-tokenisation, a fixed value
+            self._fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._long = regex.compile(rf"\p{{L}}{{{LONG_RUN}}}|\p{{N}}{{{LONG_RUN}}}|[^\s\p{{L}}\p{{N}}]{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
+        self._special = regex.compile("|".join(map(regex.escape, sorted(special)))) if special else None
 
     @cached_property
     def _own(self):  # noqa: ANN202
         """The library's tokenizer, loaded only where it is needed."""
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(self._path)
-        own.encode_special_tokens = True
-        return own
+        return Tokenizer.from_file(self._path)
 
     def __call__(self, text: str) -> np.ndarray:
-        if len(text) >= LONG_RUN and self._long.search(text):
+        if self._fast is None or (self._special and self._special.search(text)) or (len(text) >= LONG_RUN and self._long.search(text)):
             return np.array(self._own.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self._fast.encode_ordinary(text), np.uint32)
 
 
+def _plain(file: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE without normalisation and with the usual splitting, and no added token takes more than its own text."""
+    split, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    level = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return bool(level and merges and not file.get("normalizer") and not any(x.get("normalized") and not x["content"].isascii() for x in file.get("added_tokens", ())))
+
+
 def _byte_of_character() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -217,7 +248,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", tex
     spark = docs.sparkSession
     made = materialise(pieces(docs, tokenizer or default_tokenizer(), key, text, size), "pieces")
     buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, made.count() // PER_BUCKET))
-    dealt = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    dealt = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(buckets)).cast("int"))
     sizes = sorted((r.length, r.bucket, r.n) for r in dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect())
     counts: dict[int, int] = {}
     before = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import math
 import random
 import re
@@ -16,6 +17,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from marginalia.llm import jaccard, langid, media, mixing, packing, pii, queries, scoring
 
@@ -324,8 +326,8 @@ def test_salted_rates_give_the_same(spark, odd, monkeypatch):
 
 def test_packing(spark, odd, empty):
     got = packing.pack(odd).collect()
-    encode = packing.encoder(packing.default_tokenizer())
-    rows = [(r.doc_id, np.append(encode._own.encode(r.text or "", add_special_tokens=False).ids, 2).astype("<u4")) for r in odd.collect()]
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    rows = [(r.doc_id, np.append(library.encode(r.text or "", add_special_tokens=False).ids, 2).astype("<u4")) for r in odd.collect()]
     crcs = lambda ids, cuts: [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
     want = Counter((d, c) for d, ids in rows for c in crcs(ids, [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)] if len(ids) > 1024 else [0, len(ids)]))
     assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
@@ -376,11 +378,29 @@ def optimum(counts, size):
     return best[0]
 
 
-@given(st.text(max_size=40))
+LIBRARY = Tokenizer.from_file(packing.default_tokenizer())
+
+
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from([x.content for x in LIBRARY.get_added_tokens_decoder().values()])), max_size=5).map("".join))
 @settings(max_examples=300, deadline=None)
 def test_encoder_equals_the_library(text):
     encode = packing.encoder(packing.default_tokenizer())
-    assert encode(text).tolist() == encode._own.encode(text, add_special_tokens=False).ids
+    assert encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_with_long_runs_and_other_files(tmp_path):
+    encode = packing.encoder(packing.default_tokenizer())
+    for text in ("a <|endoftext|> b", "x" * 9000, "1 " * 5000, "é" * 5000 + "<|endoftext|>"):
+        assert encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    other = json.loads(LIBRARY.to_str())
+    other["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    assert packing.Encoder(str(tmp_path / "other.json"))("Some TEXT").tolist() == LIBRARY.encode("some text", add_special_tokens=False).ids
+
+
+def test_reduction_fixes_triples():
+    fixed, left = packing.reduce_by_dominance({60: 4, 21: 4, 18: 4}, 100)
+    assert fixed == [((60, 21, 18), 4)] and not left
 
 
 def test_queries_cover_all_rows(spark, small):
