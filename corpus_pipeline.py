@@ -17,11 +17,12 @@ from marginalia.llm.common import materialise
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; lang becomes what was identified. Rejected ones, null and letterless texts included, go.
 
-    Without a labelled document there is nothing to identify by, and no document is kept.
+    Without a labelled document there is nothing to identify by, and that is an error, unless
+    there is no document at all: losing the whole corpus silently would be worse.
     """
     model = langid.learn(docs)
-    if model is None:
-        return docs.limit(0)
+    if model is None and docs.limit(1).count():
+        raise ValueError("no document has a language to learn from")
     named = langid.identify(docs, model, docs.columns)
     return named.filter("NOT rejected").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
