@@ -3,8 +3,10 @@
 A text is the average of the embeddings of its hashed byte n-grams, which don't reach
 over a word's borders; a linear layer gives a score for each language. Both are trained
 by stochastic gradient descent in numpy, on a bounded sample. The softmax's temperature
-is calibrated on a part of the sample that isn't trained on, and so is the confidence
-below which a text is rejected.
+is calibrated on a part of the sample that isn't trained on. So is the confidence below
+which a text is rejected: the least at which, of the held whole texts that are kept, no
+more than RISK are wrong, and never less than EVEN, under which a language is more
+likely wrong than right.
 """
 
 from __future__ import annotations
@@ -15,21 +17,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Rows that the classifier is fitted on, for each language at most, and characters of their texts at most (longer texts are not drawn).
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 300, 20_000
-#: More languages than this are an error.
+#: Rows that the classifier is fitted on, for each language and in all at most; of a longer text, a piece of so many characters from anywhere in it.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 300, 20_000, 20_000
+#: More languages than this are an error: a limit of the classifier, whose rows would be too few for each.
 MOST_LANGUAGES = 500
 BUCKETS, DIMS, ORDERS = 1 << 13, 16, (2, 3, 4)
 EPOCHS, RATE, BATCH = 10, 4.0, 16
 #: Of each text, as many words are a further, short text, so that the confidence in short ones is learned too.
 SNIPPETS = (1, 2, 4)
-#: Every CALIBRATION-th row of the sample calibrates; at most this share of these texts may be rejected, and the threshold is then halved.
-CALIBRATION, REJECTED = 5, 0.001
+#: Every CALIBRATION-th row of the sample calibrates; share of kept texts that may be wrong; least confidence.
+CALIBRATION, RISK, EVEN = 5, 0.01, 0.5
 UNKNOWN = "und"
 _MIX = np.uint32(0x9E3779B1)
 
@@ -84,6 +86,23 @@ def _features(texts: list[np.ndarray]) -> np.ndarray:
     return x
 
 
+class _Sparse:
+    """Features of many texts; x[rows] are those of some of them."""
+
+    def __init__(self, texts: list[np.ndarray]) -> None:
+        self.rows = []
+        for t in texts:
+            counts = ngram_counts(t)
+            at = np.flatnonzero(counts)
+            self.rows.append((at.astype(np.uint16), counts[at] / max(np.float32(1), counts.sum())))
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), BUCKETS), np.float32)
+        for k, r in enumerate(rows):
+            out[k, self.rows[r][0]] = self.rows[r][1]
+        return out
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -106,7 +125,7 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model:
             of.append(k)
     y = np.array([languages.index(labels[k]) for k in of])
     held = held[of]
-    x = _features([np.frombuffer(t.lower().encode("utf-8", "surrogatepass"), np.uint8) for t in pieces])
+    x = _Sparse([np.frombuffer(t.lower().encode("utf-8", "surrogatepass"), np.uint8) for t in pieces])
     embed = rng.uniform(-1, 1, (BUCKETS, DIMS)).astype(np.float32) / DIMS
     weights = np.zeros((DIMS, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
@@ -115,40 +134,56 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model:
     for epoch in range(EPOCHS):
         step = np.float32(RATE * (1 - epoch / EPOCHS))
         for part in np.array_split(rng.permutation(rows), max(1, len(rows) // BATCH)):
-            hidden = x[part] @ embed
+            rows_ = x[part]
+            used = np.flatnonzero(rows_.any(axis=0))
+            hidden = rows_[:, used] @ embed[used]
             error = (_softmax(hidden @ weights + bias) - target[part]) / len(part)
-            used = np.flatnonzero(x[part].any(axis=0))
             push = error @ weights.T
             weights -= step * hidden.T @ error
             bias -= step * error.sum(axis=0)
-            embed[used] -= step * len(part) * x[part][:, used].T @ push
+            embed[used] -= step * len(part) * rows_[:, used].T @ push
     table = embed @ weights
     test = held if held.any() else ~held
-    logits = x[test] @ table + bias
+    logits = np.concatenate([x[k] @ table for k in np.array_split(np.flatnonzero(test), -(-int(test.sum()) // 1024))]) + bias
     temperature = min(np.geomspace(0.05, 20, 120), key=lambda t: float(-np.log(_softmax(logits / t)[np.arange(test.sum()), y[test]] + 1e-12).mean()))
+    p = _softmax(logits / temperature)
     whole = (np.arange(len(of)) < len(texts))[test]
-    best = np.sort(_softmax(logits / temperature).max(axis=1)[whole])
-    threshold = float(best[int(REJECTED * len(best))]) / 2
-    return Model(languages, table, bias, float(temperature), max(threshold, 1 / len(languages) * 0.5))
+    return Model(languages, table, bias, float(temperature), threshold(p.max(axis=1)[whole], (p.argmax(axis=1) == y[test])[whole]))
+
+
+def threshold(confidence: np.ndarray, right: np.ndarray) -> float:
+    """The least confidence at which, of the texts that have it or more, no more than RISK, or one, are wrong; EVEN at least, and EVEN where all of them may be kept."""
+    order = np.argsort(-confidence, kind="stable")
+    few = np.cumsum(~right[order]) <= np.maximum(1, RISK * np.arange(1, len(order) + 1))
+    last = np.append(confidence[order][1:] != confidence[order][:-1], True) if len(order) else few  # equal ones are kept together
+    kept = np.flatnonzero(few & last)
+    if not len(kept):
+        return 1.0 if len(order) else EVEN
+    return EVEN if kept[-1] == len(order) - 1 else max(EVEN, float(confidence[order][kept[-1]]))
 
 
 def labelled_sample(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
-    """At most SAMPLE_PER_LANGUAGE (text, language) rows of each language, drawn evenly by a hash of the key, in its order."""
-    rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= SAMPLE_CHARS)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string"), F.lit(11)).alias("h"))
-    sizes = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    """At most SAMPLE_PER_LANGUAGE different (text, language) rows of each language, and SAMPLE_ROWS in all, drawn evenly by a hash of key and text, in its order.
+
+    A longer text than SAMPLE_CHARS is drawn like any other, and a piece from a place in it that the hash tells is learned from.
+    """
+    h = F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(11))
+    rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), h.alias("h"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    parts = [(r["lang"], min(1 << 30, int(1.5 * SAMPLE_PER_LANGUAGE / r["count"] * (1 << 30)) + 1)) for r in sizes]
-    if not parts:
+    if not sizes:
         return [], []
-    share = F.broadcast(docs.sparkSession.createDataFrame(parts, "lang string, share long"))  # at most MOST_LANGUAGES rows
-    drawn = rows.join(share, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share")).select("h", "lang", "text")
-    found: list[tuple] = sorted((r.h, r.lang, r.text) for r in drawn.limit(2 * SAMPLE_PER_LANGUAGE * len(parts)).collect())
-    kept: dict[str, list[tuple]] = {}
-    for r in found:
-        kept.setdefault(r[1], []).append(r)
-    rows_ = sorted(r for x in kept.values() for r in x[:SAMPLE_PER_LANGUAGE])
-    return [r[2] for r in rows_], [r[1] for r in rows_]
+    most = min(SAMPLE_PER_LANGUAGE, max(1, SAMPLE_ROWS // len(sizes)))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 30, int(1.5 * most / max(1, r["n"]) * (1 << 30)) + 1)) for r in sizes], "lang string, share long")
+    drawn = rows.join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share"))  # at most MOST_LANGUAGES rows are broadcast
+    length = F.length("text")
+    start = F.when(length > SAMPLE_CHARS, F.pmod(F.xxhash64("h"), length - SAMPLE_CHARS + 1)).otherwise(0).cast("int")
+    pieces = drawn.select("h", "lang", F.substring("text", start + 1, F.lit(SAMPLE_CHARS)).alias("text")).dropDuplicates(["lang", "h"])
+    first = Window.partitionBy("lang").orderBy("h", "text")  # of about 1.5 times most rows each
+    found = pieces.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most).collect()
+    kept = sorted((r.h, r.lang, r.text) for r in found)
+    return [r[2] for r in kept], [r[1] for r in kept]
 
 
 def held_out(key: str, modulus: int, remainder: int) -> Column:
@@ -156,12 +191,13 @@ def held_out(key: str, modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
     """keep plus lang_pred, score (calibrated, 0 to 1) and rejected, for each whole text; no shuffle.
 
     A text that is null or has no letter is UNKNOWN with score 0, and rejected. Others get
     a learned language, and are rejected where the score is under the model's threshold.
-    Columns of docs named like the results are replaced.
+    Columns of docs named like the results are replaced. Without a model (nothing is
+    labelled), all are UNKNOWN with score 0, and rejected.
     """
     kept = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
     rows = docs.select(*kept, F.col(text).alias("__text"))
@@ -176,10 +212,10 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
             data = np.frombuffer(lower.buffers()[2] or b"", np.uint8)
             lang, score = [], []
             for has, a, b in zip(letter, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                found = model.predict(data[a:b]) if has else (UNKNOWN, 0.0)
+                found = model.predict(data[a:b]) if has and model else (UNKNOWN, 0.0)
                 lang.append(found[0])
                 score.append(round(found[1], 9))
-            low = [s < model.threshold for s in score]
+            low = [x == UNKNOWN or s < model.threshold for x, s in zip(lang, score, strict=True)] if model else [True] * len(lang)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.bool_())], names=names)
 
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string, score double, rejected boolean"]))

@@ -26,10 +26,7 @@ def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = langid.held_out("doc_id", 4, 2)
-    model = langid.learn(docs, ~held)
-    if model is None:
-        raise ValueError("documents has no labelled rows to learn from")
-    return langid.identify(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
+    return langid.identify(docs.withColumn("held_out", held), langid.learn(docs, ~held), ["doc_id", "held_out"])
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,32 @@ def test_language(spark, odd, empty, small):
     assert langid.identify(empty, model, ["doc_id"]).count() == 0 and langid.learn(empty) is None
 
 
+def test_language_sample(spark):
+    rows = [(None, f"word{k} text", "aa", "s") for k in range(900)] + [(7, f"other{k} text", "bb", "s") for k in range(500)] + [(8, "same text", "cc", "s")] * 50
+    rows += [(k, f"{'x' * 30_000} ende {k}", "long", "s") for k in range(4)] + [(9, "1 2", "dd", "s"), (9, None, "dd", "s"), (9, "unlabelled", None, "s")]
+    docs = documents(spark, rows)
+    texts, labels = langid.labelled_sample(docs.repartition(7), F.lit(True))
+    assert Counter(labels) == {"aa": 300, "bb": 300, "cc": 1, "long": 4} and max(map(len, texts)) == langid.SAMPLE_CHARS
+    assert (texts, labels) == langid.labelled_sample(docs.repartition(3), F.lit(True))  # the same rows in any order
+    assert "long" in langid.learn(docs).languages
+
+
+def test_rejection_keeps_the_risk():
+    confidence = np.array([0.99, 0.98, 0.97, 0.8, 0.8, 0.6, 0.3])
+    assert langid.threshold(confidence, np.array([True, True, True, False, False, True, True])) == 0.97
+    assert langid.threshold(confidence, np.ones(7, bool)) == langid.EVEN
+    assert langid.threshold(confidence, np.zeros(7, bool)) == 0.99
+
+
+def test_language_query_on_empty_and_unlabelled_tables(spark, odd, empty, tmp_path):
+    for name, docs in (("empty", empty), ("unlabelled", odd.withColumn("lang", F.lit(None).cast("string")))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = queries.op3_language(spark, f"{tmp_path}/{name}").collect()
+        assert len(got) == docs.count() and all(r.lang_pred == "und" and r.score == 0 for r in got)
+    for name in ("op2_audio", "op5_packing", "op6_jaccard", "op7_pii", "op8_scoring", "op10_mixing"):
+        assert queries.QUERIES[name](spark, f"{tmp_path}/empty").count() == 0
+
+
 def brute_components(rows):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 
 
@@ -30,7 +33,26 @@ def test_empty(spark, small):
         assert stage(spark, docs, small).count() == 0, name
 
 
-def docs_extra():
-    from pyspark.sql import functions as F
+def test_unlabelled_documents_are_not_lost_silently(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    with pytest.raises(ValueError, match="no document has a language"):
+        cp.identify_language(spark, docs, small)
+
+
+def test_odd_rows_and_clashing_names(spark, small):
+    clean = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rows = [(None, "the same words again and again in this text", "en", "a", 1), (None, None, None, None, None), (-5, "", "en", "a", 0), (-6, "x" * 200_000, "en", "b", 7), (-7, "word " * 60_000, None, None, 7)]
+    rows += [(-8, "a text that stands here twice with all of its words", "en", "a", 3)] * 2
+    docs = clean.unionByName(spark.createDataFrame(rows, clean.schema))
+    for name in ("rank", "comp", "bucket", "rejected", "copy", "further", "__h", "rows"):
+        docs = docs.withColumn(name, F.lit(1))
+    seen = docs
+    for name, stage in cp.STAGES[:-1]:
+        seen = stage(spark, seen, small)
+        assert sorted(seen.columns) == sorted(docs.columns), name
+    ids = [r.doc_id for r in seen.collect()]
+    assert ids and cp.STAGES[-1][1](spark, seen, small).count() >= len(ids)
 
+
+def docs_extra():
     return F.lit(7)
