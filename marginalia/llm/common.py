@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes and rows of a slice of an Arrow batch.
 SLICE, ROWS = 2 << 20, 2000
 _OWN: dict[str, str] = {}
+#: This process, and the folders that are deleted when it ends.
+_RUN, _KEPT = uuid.uuid4().hex[:12], set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,9 +44,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back, which cuts its lineage."""
+    """Writes df as a Parquet table in the shared folder and reads it back, which cuts its lineage.
+
+    The tables of an application are in one folder, which is deleted when it ends; a result
+    that is needed longer has to be written before.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marginalia/{uuid.uuid4().hex}-{tag}"
+    folder = f"{shared_dir(spark)}/marginalia/{spark.sparkContext.applicationId}-{_RUN}"
+    if folder not in _KEPT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # no other way to any Hadoop file system from Python
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _KEPT.add(folder)
+    path = f"{folder}/{uuid.uuid4().hex}-{tag}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

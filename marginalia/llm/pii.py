@@ -3,8 +3,10 @@
 What the base patterns find are seeds. The words around the seeds are lexical patterns;
 patterns and the strings that they surround, identifier-like strings that the base
 patterns miss among them, form a graph, on which Spark scores both sides in turn: a
-pattern by the share of what it surrounds that is trusted, a string by the patterns that
+pattern by how much of what it surrounds is trusted, a string by the patterns that
 surround it. Patterns of high confidence and support then mark further identifiers.
+
+What is written between the steps holds no identifier: strings are kept as hashes.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from .common import materialise, slices
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; least confidence and least number of different trusted strings of a pattern; most patterns that are told to all tasks, more are joined.
 ROUNDS, CONFIDENT, SUPPORT, MOST_PATTERNS = 3, 0.9, 5, 100_000
+#: Rounds go on until the confident patterns stay the same, ROUNDS times at least and MOST_ROUNDS at most (scores only grow, so these are many).
+MOST_ROUNDS = 12
+#: Words of a context that are longer are told apart by a hash of the whole word.
+LONG_WORD = 40
 #: What a string that isn't a seed can be trusted at most.
 TRUST = 0.9
 
@@ -117,16 +123,24 @@ def mentions(text: str, spans: list[Span]) -> list[tuple[int, int, int, bool, li
         glued = starts[i] < a and text[starts[i] : a].strip(_TRIM) if i < len(starts) else ""
         left = [text[x:y].lower().strip(_TRIM) for x, y in words[max(0, i - 2) : i]] + ([glued.lower()] if glued else [])
         right = text[slice(*words[j])].lower().strip(_TRIM) if j < len(words) else ""
-        left = [w[:40] for w in left if w][-2:]
+        left = [_short(w) for w in left if w][-2:]
         contexts = []
         if left:
-            contexts = [f"1 {left[-1]}", f"r {left[-1]} _ {right[:40]}"] + ([f"2 {' '.join(left)}"] if len(left) == 2 else [])
+            contexts = [f"1 {left[-1]}", f"r {left[-1]} _ {_short(right)}"] + ([f"2 {' '.join(left)}"] if len(left) == 2 else [])
         out.append((kind, a, b, seed, contexts))
     return out
 
 
-_MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("surface", pa.string()), ("contexts", pa.list_(pa.string()))])
-_MENTION_SQL = "array<struct<kind:int,start:bigint,end:bigint,seed:boolean,surface:string,contexts:array<string>>>"
+def _short(word: str) -> str:
+    return word if len(word) <= LONG_WORD else f"{word[:8]}#{hashlib.sha256(word.encode('utf-8', 'surrogatepass')).hexdigest()[:24]}"
+
+
+def _hash(surface: str) -> int:
+    return int.from_bytes(hashlib.blake2b(surface.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+_MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("string", pa.int64()), ("contexts", pa.list_(pa.string()))])
+_MENTION_SQL = "array<struct<kind:int,start:bigint,end:bigint,seed:boolean,string:bigint,contexts:array<string>>>"
 
 
 def _found(column: pa.Array) -> Iterator[tuple[list[Span], list[dict]]]:
@@ -139,7 +153,7 @@ def _found(column: pa.Array) -> Iterator[tuple[list[Span], list[dict]]]:
             continue
         text = value.as_py()
         spans = base_spans(text)
-        yield spans, [{"kind": k, "start": a, "end": b, "seed": s, "surface": text[a:b], "contexts": c} for k, a, b, s, c in mentions(text, spans)]
+        yield spans, [{"kind": k, "start": a, "end": b, "seed": s, "string": _hash(text[a:b]), "contexts": c} for k, a, b, s, c in mentions(text, spans)]
 
 
 def extract(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
@@ -170,23 +184,35 @@ class Patterns:
 
 
 def bootstrap(extracted: DataFrame) -> DataFrame:
-    """Scores patterns and strings on their graph for ROUNDS rounds and returns all confident patterns (context, kind).
+    """Scores patterns and strings on their graph in rounds and returns all confident patterns (context, kind).
+
+    A pattern's confidence for a kind is the trust in the strings of that kind that it
+    surrounds, over their number and that of its strings of other kinds or none. Strings of
+    the kind that nothing is known of yet don't count against it, or nothing new could be
+    found, but they may not outnumber the trusted ones.
 
     Edges are distinct (context, string, kind); all rounds aggregate them by one side and
     join the few scored rows of the other, so a context that a third of all mentions share
     is pre-aggregated before each shuffle.
     """
-    each = extracted.select(F.explode("mentions").alias("m")).select("m.*").select("kind", "seed", F.xxhash64("surface").alias("string"), F.explode("contexts").alias("context"))
+    each = extracted.select(F.explode("mentions").alias("m")).select("m.*").select("kind", "seed", "string", F.explode("contexts").alias("context"))
     edges = materialise(each.groupBy("context", "string", "kind").agg(F.max("seed").alias("seed")), "edges")
     size = edges.groupBy("context").agg(F.count("*").alias("size"))
-    trusted = edges.filter("seed AND kind >= 0").select("string", "kind").distinct().withColumn("trust", F.lit(1.0))
-    confident = None
-    for _ in range(ROUNDS):
-        score = edges.filter("kind >= 0").join(trusted, ["string", "kind"]).groupBy("context", "kind").agg(F.sum("trust").alias("trust"), F.count("*").alias("support"))
-        confident = materialise(score.filter(F.col("support") >= SUPPORT).join(size, "context").withColumn("confidence", F.col("trust") / F.col("size")).filter(F.col("confidence") >= CONFIDENT), "patterns")
+    own = edges.filter("kind >= 0")
+    like = own.groupBy("context", "kind").agg(F.count("*").alias("alike"))
+    seeds = own.filter("seed").select("string", "kind").distinct().withColumn("trust", F.lit(1.0))
+    trusted, confident, before = seeds, None, -1
+    for n in range(MOST_ROUNDS):
+        score = own.join(trusted, ["string", "kind"]).groupBy("context", "kind").agg(F.sum("trust").alias("trust"), F.count("*").alias("support"))
+        scored = score.filter(F.col("support") >= SUPPORT).join(like, ["context", "kind"]).join(size, "context").filter(F.col("alike") <= 2 * F.col("support"))
+        confidence = F.col("trust") / (F.col("support") + F.col("size") - F.col("alike"))
+        confident = materialise(scored.withColumn("confidence", confidence).filter(F.col("confidence") >= CONFIDENT), "patterns")
+        now = confident.count()
+        if now == before and n >= ROUNDS or not now:
+            break
+        before = now
         doubt = F.exp(F.sum(F.log(1 - TRUST * F.col("confidence"))))
-        found = edges.filter("kind >= 0 AND NOT seed").join(confident.select("context", "kind", "confidence"), ["context", "kind"]).groupBy("string", "kind").agg((1 - doubt).alias("trust"))
-        seeds = edges.filter("seed AND kind >= 0").select("string", "kind").distinct().withColumn("trust", F.lit(1.0))
+        found = own.filter("NOT seed").join(confident.select("context", "kind", "confidence"), ["context", "kind"]).groupBy("string", "kind").agg((1 - doubt).alias("trust"))
         trusted = materialise(seeds.unionByName(found).groupBy("string", "kind").agg(F.max("trust").alias("trust")), "trusted")
     return confident.select("context", "kind")
 
