@@ -156,8 +156,19 @@ def read_turn(formatted: str) -> tuple[str, str]:
     return unescape(m[1]), unescape(m[2])
 
 
+def read_turns(joined: str) -> tuple[list[tuple[str, str]], str]:
+    """The (role, text) of all whole turns that a conversation's formatted text starts with, and what is left."""
+    out, at = [], 0
+    while m := _CHUNK.match(joined, at):
+        out.append((unescape(m[1]), unescape(m[2])))
+        at = m.end()
+    if joined[at : at + len(TURN)] != TURN[: len(joined) - at]:
+        raise ValueError("no turn starts here")
+    return out, joined[at:]
+
+
 def conversation_digests(formatted: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Reads formatted turns back and digests each conversation in the order of turn.
+    """Joins formatted turns to conversations, finds the turns in what is joined, and digests each conversation in the order of turn.
 
     Ties in turn are ordered by ord, then by the formatted text. A null conversation id
     is a conversation. Turns without a layout are left out. The digest of a
@@ -170,17 +181,19 @@ def conversation_digests(formatted: DataFrame, conv: str = "conv_id", turn: str
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: list | None = None
+        state, joined = None, ""
         out: list[list] = []
         for batch in slices(batches):
             for conv_id, chunk, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if state is None or state[0] != conv_id:
                     if state:
                         out.append(state)
-                    state = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = read_turn(chunk)
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                    state, joined = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], ""
+                joined += chunk  # what isn't a whole turn yet stays for the next
+                turns, joined = read_turns(joined)
+                for role, text in turns:
+                    state[1] += 1
+                    state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 loss = unescape(chunk[start:end])
                 state[3] += len(loss)
                 state[4].update(loss.encode("utf-8", "surrogatepass"))

@@ -34,7 +34,9 @@ _HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 def wav(payload: bytes) -> bytes:
     """A RIFF/WAVE file of mono unsigned 8-bit samples, each a byte of the payload; RIFF pads an odd size."""
     n, pad = len(payload), len(payload) & 1
-    return _HEADER.pack(b"RIFF", (36 + n + pad) & 0xFFFFFFFF, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", n & 0xFFFFFFFF) + payload + b"\0" * pad
+    if 36 + n + pad >= 1 << 32:
+        raise ValueError("a RIFF file holds less than 4 GiB")
+    return _HEADER.pack(b"RIFF", 36 + n + pad, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", n) + payload + b"\0" * pad
 
 
 def wav_samples(media: bytes) -> bytes:

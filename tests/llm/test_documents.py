@@ -69,6 +69,35 @@ def test_resampling_keeps_a_tone_and_removes_what_would_alias():
     assert len(media.resample(low, 3, 2)) == 24000 and np.abs(media.resample(low, 3, 2)[500:-500]).max() == pytest.approx(1, abs=0.02)
 
 
+def test_resampling_against_a_direct_sum():
+    x = np.random.default_rng(2).normal(size=301)
+    for up, down in ((media.UP, media.DOWN), (3, 2), (2, 3)):
+        taps = media._lowpass(up, down).astype(float)
+        wide = np.zeros(len(x) * up)
+        wide[::up] = x
+        full = np.convolve(wide, taps)[(len(taps) - 1) // 2 :]
+        want = full[: len(wide) : down]
+        got = media.resample(x.astype(np.float32), up, down)
+        n = min(len(got), len(want))
+        assert abs(len(got) - len(want)) <= 1 and np.allclose(got[:n], want[:n], atol=1e-4)
+
+
+def test_log_mel_against_a_direct_transform():
+    rate, x = 8000, np.random.default_rng(3).normal(size=700).astype(np.float32)
+    got, energy = media.log_mel(x, rate)
+    n, hz = media.WINDOW, lambda m: 700 * (10 ** (m / 2595) - 1)
+    mels = np.linspace(2595 * math.log10(1 + 60 / 700), 2595 * math.log10(1 + rate / 2 / 700), media.BANDS + 2)
+    for f in range(len(got)):
+        part = np.array([(x[f * media.HOP + i] if f * media.HOP + i < len(x) else 0.0) * (0.5 - 0.5 * math.cos(2 * math.pi * i / n)) for i in range(n)])
+        power = [abs(sum(part * np.exp(-2j * np.pi * k * np.arange(n) / n))) ** 2 for k in range(n // 2 + 1)]
+        for b in range(media.BANDS):
+            low, mid, high = (hz(m) for m in mels[b : b + 3])
+            weight = [max(0.0, min((k * rate / n - low) / (mid - low), (high - k * rate / n) / (high - mid))) for k in range(n // 2 + 1)]
+            assert got[f, b] == pytest.approx(math.log(sum(w * p for w, p in zip(weight, power, strict=True)) + 1e-6), abs=2e-3)
+        assert energy[f] == pytest.approx(math.log((part**2).sum() + 1e-6), abs=1e-3)
+    assert len(got) == 5
+
+
 def test_hysteresis():
     energy = np.array([0, 0, 5, 3, 3, 0, 0, 3, 0], float)
     mean, dev = energy.mean(), energy.std()

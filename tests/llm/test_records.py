@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import json
 import math
+import uuid
 
 import numpy as np
 import pytest
@@ -63,6 +66,16 @@ def test_conversations(spark, small):
         assert got[k].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
 
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "<s>x"]), st.text(alphabet="</s>[INST]\\\\ ab\n", max_size=30)), max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_turns_are_found_in_a_whole_conversation(turns):
+    joined = "".join(f"{chat.TURN}{chat.escape(r)}{chat.HEAD}{chat.escape(t)}{chat.TAIL}" for r, t in turns)
+    assert chat.read_turns(joined) == (turns, "")
+    assert chat.read_turns(joined + chat.TURN[:2])[0] == turns
+    with pytest.raises(ValueError, match="no turn"):
+        chat.read_turns(joined + "junk")
+
+
 PAGES = "page_id long, url string, html string, digest string, refers_to long, __salt int"
 
 
@@ -91,6 +104,42 @@ def test_reader_finds_damage():
             list(warc.read_archive(bad))
 
 
+def member(fields, block, digests=True, line=b""):
+    """A record as other tools write it: sha1 in base32, UUID ids."""
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    head = {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(fields))}>", "WARC-Date": "2020-01-01T00:00:00Z", **fields, **({"WARC-Block-Digest": sha1(block)} if digests else {}), "Content-Length": str(len(block))}
+    return gzip.compress(b"WARC/1.0\r\n" + line + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n")
+
+
+def test_reader_of_standard_archives(spark, tmp_path):
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    body = b"<html>" + b"x" * 300_000
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    coded = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (body[:1000], body[1000:])) + b"0\r\n\r\n"
+    archive = b"".join([
+        member({"WARC-Type": "warcinfo", "Content-Type": "application/warc-fields"}, b"software: some\r\nformat: WARC File Format 1.0\r\n"),
+        member({"WARC-Type": "request", "WARC-Target-URI": "http://a/é?x=1", "Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        member({"WARC-Type": "response", "WARC-Target-URI": "http://a/é?x=1", "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": sha1(body)}, http + body),
+        member({"WARC-Type": "response", "WARC-Target-URI": "http://b/", "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": sha1(body)}, chunked + coded),
+        member({"WARC-Type": "metadata", "Content-Type": "application/warc-fields"}, b"", digests=False),
+        member({"WARC-Type": "revisit", "WARC-Target-URI": "http://a/", "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": sha1(body)}, http),
+        member({"WARC-Type": "resource", "WARC-Target-URI": "file://a", "Content-Type": "text/plain"}, b"plain text", line=b"X-Long: one\r\n two\r\n"),
+    ])
+    (tmp_path / "one.warc.gz").write_bytes(archive)
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    (tmp_path / "other.txt").write_bytes(b"no archive")
+    got = warc.read_warc_files(spark, str(tmp_path)).collect()
+    assert [r.record_type for r in got] == ["warcinfo", "request", "response", "response", "metadata", "revisit", "resource"]
+    assert all(r.page_id is None and r.record_id.startswith("<urn:uuid:") for r in got)
+    assert bytes(got[2].payload) == body and got[2].payload_digest == hashlib.sha256(body).hexdigest() and got[2].url == "http://a/é?x=1"
+    assert bytes(got[3].payload) == coded and bytes(got[6].payload) == b"plain text" and got[5].payload is None and got[5].payload_digest == sha1(body)
+    assert [r.payload_bytes for r in got] == [46, 0, len(body), len(coded), 0, None, 10]
+    bad = member({"WARC-Type": "response", "Content-Type": "application/http", "WARC-Payload-Digest": sha1(b"other")}, http + body)
+    with pytest.raises(warc.WarcError, match="payload"):
+        list(warc.read_archive(bad))
+
+
 def brute(rows, least=0.9):
     x = [np.array(v, float) if v and None not in v and np.isfinite(np.array(v, float)).all() and any(v) else None for _, v in rows]
     root = list(range(len(rows)))
