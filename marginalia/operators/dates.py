@@ -66,11 +66,13 @@ def ranges(spans: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def enumerations(spans: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, end, values): runs of two or more spans, separators between them, whose values rise; a break in any starts a new run."""
+    """(doc_id, start, end, values): runs of two or more spans, separators between them, of one style (figures, Roman or names) and with values that rise; a break in any starts a new run."""
     held = words(tokens, SEPARATORS).withColumn("sep", F.lit(True))
     w = Window.partitionBy("doc_id").orderBy("start")
     marked = spans.join(held, (spans.doc_id == held.doc_id) & (spans.start - 1 == held.at), "left").select(spans["*"], "sep")
-    goes = (F.lag("end").over(w) == F.col("start") - 1) & F.col("sep") & (F.lag("value").over(w) < F.col("value"))
+    style = F.when(F.col("said").rlike("[0-9]$"), 1).when(is_roman(F.element_at(F.split("said", " "), -1)), 2).otherwise(3) if "said" in spans.columns else F.lit(0)
+    marked = marked.withColumn("__style", style)
+    goes = (F.lag("end").over(w) == F.col("start") - 1) & F.col("sep") & (F.lag("value").over(w) < F.col("value")) & (F.lag("__style").over(w) == F.col("__style"))
     run = marked.withColumn("__new", F.when(F.coalesce(goes, F.lit(False)), 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = run.groupBy("doc_id", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list("value")).alias("values"))
     return out.filter(F.size("values") > 1).drop("__run")
@@ -92,20 +94,111 @@ def triples(pair: DataFrame, third: DataFrame, tokens: DataFrame) -> DataFrame:
     return whole.filter(fits).select("doc_id", "start", "end", F.col("a.a").alias("p1"), F.col("a.b").alias("p2"), F.col("b").alias("p3"))
 
 
-ORDERS = ("dmy", "mdy", "ymd", "ydm")
+#: Orders of a full date's parts; where two fit the same span, the first wins.
+ORDERS = ("dmy", "mdy", "ymd", "ydm", "myd", "dym")
+#: Tokens after the first one that a full date may have, ordinal endings and apostrophes left out.
+REACH = 6
 
 
-def dates(tokens: DataFrame, orders: tuple[str, ...] = ORDERS, doc_year: int = 2025) -> DataFrame:
-    """(doc_id, start, end, value yyyy-MM-dd, parts): full dates of all part orders. Of equal spans the first order wins; dates that aren't in the calendar are dropped."""
-    by = {k: parts(tokens, k, doc_year) for k in "dmy"}
-    out = None
+def classified(tokens: DataFrame, doc_year: int = 2025) -> DataFrame:
+    """(doc_id, at, x): each token as a struct x of start, end, tok, d, m, y, named, and at, the structs of the next REACH ones.
+
+    An ordinal ending belongs to its number and an apostrophe to the year of two digits after
+    it, so they are no tokens of their own. named says of a month that it isn't in figures, R
+    for a Roman and N for a name. One shuffle and one sort by document serve both windows.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    near = tokens.select("doc_id", "pos", "tok", F.lag("tok").over(w).alias("prev"), F.lead("tok").over(w).alias("next"))
+    short, tok = F.col("tok").rlike("^[0-9]{1,2}$"), F.col("tok")
+    ending = F.coalesce(F.lower("tok").isin(*ORDINALS) & F.col("prev").rlike("^[0-9]{1,2}$"), F.lit(False))
+    mark = F.coalesce((tok == "'") & F.col("next").rlike("^[0-9]{2}$"), F.lit(False))
+    after = F.coalesce(F.lower("next").isin(*ORDINALS) & short, F.lit(False))
+    named = F.when(tok.rlike("^[0-9]"), None).when(is_roman(tok), "R").otherwise("N")
+    x = F.struct(
+        (F.col("pos") - F.coalesce((F.col("prev") == "'") & short, F.lit(False)).cast("int")).alias("start"), (F.col("pos") + 1 + after.cast("int")).alias("end"), tok.alias("tok"),
+        day_value(tok).alias("d"), month_value(tok).alias("m"), year_value(tok, doc_year, F.coalesce(F.col("prev") == "'", F.lit(False))).alias("y"), named.alias("named"),
+    )
+    kept = near.filter(~ending & ~mark).select("doc_id", "pos", x.alias("x"))
+    return kept.select("doc_id", "x", F.array(*(F.lead("x", k).over(w) for k in range(1, REACH + 1))).alias("at")).filter("x.d IS NOT NULL OR x.m IS NOT NULL OR x.y IS NOT NULL")
+
+
+def _token(k: int) -> Column:
+    return F.col("x") if k == 0 else F.col("at")[k - 1]
+
+
+def _bridged(first: int, second: int) -> tuple[Column, Column | None]:
+    """Whether the token between two parts, if there is one, may stand there; and that token."""
+    if second == first + 1:
+        return F.lit(True), None
+    tok = _token(first + 1)["tok"]
+    return tok.isin(*BRIDGES), tok
+
+
+def _candidate(ok: Column, order: str, rank: int, end: Column, least: list[Column], most: list[Column] | None = None) -> Column:
+    """A struct of a date whose parts are least, as year, month and day, and of a range up to most; null unless ok."""
+    value = F.concat_ws("-", *least)
+    return F.when(ok, F.struct(end.alias("end"), F.lit(rank).alias("rank"), F.lit(order).alias("parts"), value.alias("value"), (F.concat_ws("-", *most) if most else F.lit(None).cast("string")).alias("value_max"), F.length(least[0]).alias("__len")))
+
+
+def _full(orders: tuple[str, ...]) -> list[Column]:
+    """Candidates of all orders, with no, one or two bridging tokens, two being equal."""
+    out = []
     for rank, o in enumerate(orders):
-        t = triples(pairs(by[o[0]], by[o[1]], tokens), by[o[2]], tokens)
-        value = F.concat_ws("-", *(F.col(f"p{o.index(k) + 1}") for k in "ymd"))
-        t = t.select("doc_id", "start", "end", value.alias("value"), F.lit(o).alias("parts"), F.lit(rank).alias("__rank")).filter(F.try_to_timestamp("value", F.lit("yyyy-MM-dd")).isNotNull())
-        out = t if out is None else out.unionByName(t)
-    best = out.groupBy("doc_id", "start", "end").agg(F.min_by(F.struct("value", "parts"), "__rank").alias("b"))
-    return best.select("doc_id", "start", "end", "b.value", "b.parts")
+        for one in (0, 1):
+            for two in (0, 1):
+                at = (0, 1 + one, 2 + one + two)
+                (ok1, b1), (ok2, b2) = _bridged(at[0], at[1]), _bridged(at[1], at[2])
+                parts_ = {k: _token(i)[k] for k, i in zip(o, at, strict=True)}
+                ok = ok1 & ok2 & (b1 == b2 if one and two else F.lit(True))
+                for v in parts_.values():
+                    ok = ok & v.isNotNull()
+                out.append(_candidate(ok, o, rank, _token(at[2])["end"], [parts_[k] for k in "ymd"]))
+    return out
+
+
+def _ranged(orders: tuple[str, ...]) -> list[Column]:
+    """Candidates of ranges of days in one month, and over two months of one style, with a named month and a year after them; ranks come before those of single days."""
+    out = []
+    between = lambda k: F.lower(_token(k)["tok"]).isin(*RANGES)
+    named = lambda k: _token(k)["m"].isNotNull() & _token(k)["named"].isNotNull()
+    for o in ("dmy", "mdy"):
+        if o not in orders:
+            continue
+        for one in (0, 1):
+            for two in (0, 1):
+                d, m = (0, 3 + one) if o == "dmy" else (1 + one, 0)
+                y = 4 + one + two
+                last = m if o == "dmy" else d + 2
+                (ok1, b1), (ok2, b2) = _bridged(d + 2 if o == "dmy" else m, m if o == "dmy" else d), _bridged(last, y)
+                low, high, month, year = _token(d)["d"], _token(d + 2)["d"], _token(m)["m"], _token(y)["y"]
+                fits = b1 == b2 if one and two and o == "dmy" else F.lit(True)
+                out.append(_candidate(ok1 & ok2 & fits & between(d + 1) & (low < high) & named(m) & year.isNotNull(), o, -1, _token(y)["end"], [year, month, low], [year, month, high]))
+        for two in (0, 1):
+            d1, m1, d2, m2 = (0, 1, 3, 4) if o == "dmy" else (1, 0, 4, 3)
+            ok, _ = _bridged(4, 5 + two)
+            style = named(m1) & named(m2) & (_token(m1)["named"] == _token(m2)["named"]) & (_token(m1)["m"] < _token(m2)["m"])
+            year = _token(5 + two)["y"]
+            parts_ = [_token(d1)["d"], _token(d2)["d"], year]
+            for v in parts_:
+                ok = ok & v.isNotNull()
+            out.append(_candidate(ok & between(2) & style, o, -2, _token(5 + two)["end"], [year, _token(m1)["m"], parts_[0]], [year, _token(m2)["m"], parts_[1]]))
+    return out
+
+
+def dates(tokens: DataFrame, orders: tuple[str, ...] = ORDERS, doc_year: int = 2025) -> DataFrame:
+    """(doc_id, start, end, value yyyy-MM-dd, value_max, parts, year_len): full dates of all part orders, and ranges of days with their last day in value_max.
+
+    Of equal spans the first order wins, and a range wins over the day that ends it; dates that aren't in the calendar are
+    dropped. All orders are read off one window of classified tokens, without a join.
+    """
+    real = lambda v: F.try_to_timestamp(v, F.lit("yyyy-MM-dd")).isNotNull()
+    every = F.filter(F.array(*_ranged(orders), *_full(orders)), lambda c: c.isNotNull())
+    some = classified(tokens, doc_year).select("doc_id", F.col("x.start").alias("start"), every.alias("c")).filter(F.size("c") > 0)
+    valid = some.withColumn("c", F.filter("c", lambda c: real(c["value"]) & (c["value_max"].isNull() | real(c["value_max"]))))
+    best = F.filter("c", lambda c: ~F.exists("c", lambda o: (o["end"] == c["end"]) & (o["rank"] < c["rank"])))
+    found = valid.select("doc_id", "start", F.explode(best).alias("c")).select("doc_id", "start", "c.end", "c.value", "c.value_max", "c.parts", F.col("c.__len").alias("year_len"))
+    ranged = F.max("value_max").over(Window.partitionBy("doc_id", "end"))
+    return found.withColumn("__r", ranged).filter("__r IS NULL OR value_max IS NOT NULL").drop("__r")
 
 
 def resolve(found: DataFrame) -> DataFrame:
@@ -115,13 +208,20 @@ def resolve(found: DataFrame) -> DataFrame:
     return found.join(o, cond, "left_anti")
 
 
+def resolve_by_year(found: DataFrame) -> DataFrame:
+    """Spans (doc_id, start, end, year_len, ...) without repeated ones, and without those that overlap one with a longer year; where years are equally long both stay."""
+    one = found.dropDuplicates(["doc_id", "start", "end"])
+    o = one.select(F.col("doc_id").alias("__d"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("year_len").alias("__y"))
+    return one.join(o, (F.col("doc_id") == F.col("__d")) & (F.col("start") < F.col("__e")) & (F.col("__s") < F.col("end")) & (F.col("__y") > F.col("year_len")), "left_anti")
+
+
 def partial(tokens: DataFrame, order: str, doc_year: int = 2025) -> DataFrame:
     """Two-part dates dm, md, my or ym; a month in figures is not taken, and a bridge only with a Roman month."""
     by = {k: parts(tokens, k, doc_year) for k in order}
     p = pairs(by[order[0]], by[order[1]], tokens)
     said = F.col("said_a") if order[0] == "m" else F.col("said_b")
     value = F.concat_ws("-", *(F.col("a") if order[0] == k else F.col("b") for k in "ymd" if k in order))
-    return p.filter(~said.rlike("^[0-9]") & ((F.col("bridge") == "") | is_roman(said))).select("doc_id", "start", "end", value.alias("value"))
+    return p.filter(~said.rlike("^[0-9]") & ((F.col("bridge") == "") | is_roman(said))).select("doc_id", "start", "end", value.alias("value"), said.alias("said"))
 
 
 def shared(enumeration: DataFrame, tail: DataFrame) -> DataFrame:
@@ -148,6 +248,14 @@ def year_list(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)), lambda y: F.concat(F.substring(first, F.lit(1), F.lit(4) - F.length(y)), y))
 
 
+def year_range(c: Column) -> Column:
+    """struct(value_min, value_max) of a range of years; a shorter last one is completed with the beginning of the first. Null unless they rise."""
+    pattern = r"^\s*([12][0-9]{3})\s*[-–]\s*([0-9]{1,4})\s*$"
+    first, last = F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)
+    whole = F.concat(F.substring(first, F.lit(1), F.lit(4) - F.length(last)), last)
+    return F.when((first != "") & (first < whole), F.struct(first.alias("value_min"), whole.alias("value_max")))
+
+
 def without_numbers(spans: DataFrame, tokens: DataFrame, units: tuple[str, ...]) -> DataFrame:
     """Without single numbers of fewer than four digits, and without spans that a unit follows."""
     after = tokens.filter(F.lower("tok").isin(*units)).select("doc_id", F.col("pos").alias("end"))
