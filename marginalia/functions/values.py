@@ -52,9 +52,10 @@ MARKS = "\\u00A8\\u00B0\\u00B4\\u00B8\\u02C7\\u02D8-\\u02DB"
 
 def normal_spaces(c: Column) -> Column:
     """Blanks normalised: one after , ; . and :, none before them and inside brackets, none double, no invisible ones and lone marks."""
-    plain = F.regexp_replace(F.regexp_replace(c, f"[{WIDE}]", " "), f"[{THIN}{MARKS}]", "")
+    plain = F.regexp_replace(F.regexp_replace(c, f"[{WIDE}]", " "), f"[{THIN}]", "")
     spaced = F.regexp_replace(F.regexp_replace(plain, "[,;.:]", "$0 "), "\\s{2,}", " ")
-    return F.regexp_replace(F.regexp_replace(spaced, "([(\\[])\\s+", "$1"), "\\s+([)\\],;.:])", "$1")
+    closed = F.regexp_replace(F.regexp_replace(spaced, "([(\\[])\\s+", "$1"), "\\s+([)\\],;.:])", "$1")
+    return F.regexp_replace(closed, f"[{MARKS}]", "")  # marks last, so blanks around one stay
 
 
 def pattern_replace(c: Column, pattern: str, replacement: str) -> Column:
@@ -73,8 +74,12 @@ def let(c: Column, f) -> Column:
     return F.transform(F.array(c), f)[0]
 
 
-def normalise(key: Column, name: str, value: Column, by_key: dict[str, dict[str, str]], by_value: dict[str, dict[str, str]], characters: list[tuple[str, str]], patterns: list[tuple[str, str]], passes: int = 4) -> Column:
-    """A field's value by precedence: a replacement for the key, one for the value, else characters, blanks, and patterns, the first that matches in each of a bounded number of passes."""
+#: Passes over the patterns of a field, after which a value that still changes is an error.
+PASSES = 64
+
+
+def normalise(key: Column, name: str, value: Column, by_key: dict[str, dict[str, str]], by_value: dict[str, dict[str, str]], characters: list[tuple[str, str]], patterns: list[tuple[str, str]], passes: int = PASSES) -> Column:
+    """A field's value by precedence: a replacement for the key, one for the value, else characters, blanks, and patterns, the first that matches in each pass, until nothing changes or a value comes back. More than PASSES changes are an error."""
     out = value
     for pattern, replacement in characters:
         out = F.regexp_replace(out, pattern, replacement)
@@ -86,8 +91,14 @@ def normalise(key: Column, name: str, value: Column, by_key: dict[str, dict[str,
             step = F.when(pattern_replace(x, pattern, replacement) != x, pattern_replace(x, pattern, replacement)).otherwise(step)
         return step
 
-    for _ in range(passes):
-        out = let(out, first_match)
+    def step(seen: Column, _: Column) -> Column:  # the values so far, the last one twice when it is done
+        last = F.element_at(seen, -1)
+        done = (F.size(seen) > 1) & (F.array_position(seen, last) < F.size(seen))
+        return F.when(done, seen).otherwise(F.concat(seen, F.array(first_match(last))))
+
+    if patterns:
+        seen = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.array(out), step)
+        out = let(seen, lambda x: F.when(F.element_at(x, -1).isNull() | (F.array_position(x, F.element_at(x, -1)) < F.size(x)), F.element_at(x, -1)).otherwise(F.raise_error(F.lit("patterns change a value without end")).cast("string")))
     out = normal_spaces(out)
     for known, replacement in by_value.get(name, {}).items():
         out = F.when(value == known, replacement).otherwise(out)
@@ -102,9 +113,13 @@ def repair_mojibake(c: Column) -> Column:
     return F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
 
 
+#: Letters that count as one in fuzzy keys, p as b, g and k as c, t as d, j and y as i, z as s.
+ALIKE = ("pgktjyz", "bccdiis")
+
+
 def fuzzy_key(c: Column) -> Column:
     """Letters only, similar sounding ones as one, runs collapsed."""
     from ..operators.tokens import fold_accents
 
     letters = F.regexp_replace(F.lower(fold_accents(c)), "[^a-z]", "")
-    return F.regexp_replace(F.translate(letters, "pgktjyz", "bccdiis"), "(.)\\1+", "$1")
+    return F.regexp_replace(F.translate(letters, *ALIKE), "(.)\\1+", "$1")

@@ -75,9 +75,9 @@ def from_lines(lines: DataFrame) -> DataFrame:
     return parts.select(F.col("p")[0].alias("term"), F.col("p")[1].cast("long").alias("n"), F.when(F.col("p")[2] != "", F.str_to_map(F.col("p")[2], F.lit(" "), F.lit(":"))).alias("successors"))
 
 
-def closure(edges: DataFrame, depth: int = 16) -> DataFrame:
-    """(short, form, dist): what each term abbreviates directly or over others, by edges (short, form); cycles end at depth."""
-    found = paths(edges.select(F.col("short").alias("desc"), F.col("form").alias("anc")), depth)
+def closure(edges: DataFrame) -> DataFrame:
+    """(short, form, dist): what each term abbreviates directly or over others, however many, by edges (short, form)."""
+    found = paths(edges.select(F.col("short").alias("desc"), F.col("form").alias("anc")))
     return found.select(F.col("desc").alias("short"), F.col("anc").alias("form"), "dist")
 
 

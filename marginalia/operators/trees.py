@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import taxa as tx
 from ..sources.files import shared_path
 
-#: Ranks in a taxonomy are fewer, so a longer path is a cycle.
-DEPTH = 64
 
+def paths(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(desc, anc, dist): all paths over edges (desc, anc), or those up to a length, each pair with its shortest; no pair of a record with itself.
 
-def paths(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(desc, anc, dist): all paths over edges (desc, anc) up to a length, each pair with its shortest; no pair of a record with itself.
+    Only shortest paths are kept and a round that finds no new one is the last, so cycles end too.
 
     Lengths double: after k rounds all paths up to 2**k are known, and a round joins those
     of exactly that length with all. Each round is a table in the shared folder, so lineage
@@ -34,10 +33,11 @@ def paths(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     known = stored(edges.filter("desc <> anc").select("desc", "anc").distinct().withColumn("dist", F.lit(1)))
     step = 1
-    while step < depth:
+    while depth is None or step < depth:
         full = known.filter(F.col("dist") == step).select("desc", F.col("anc").alias("via"))
         far = full.join(known.select(F.col("desc").alias("via"), "anc", "dist"), "via").filter("desc <> anc").select("desc", "anc", (F.col("dist") + step).alias("dist"))
-        new = stored(far.filter(F.col("dist") <= depth))
+        far = far.filter(F.col("dist") <= depth) if depth is not None else far
+        new = stored(far.join(known.select("desc", "anc"), ["desc", "anc"], "left_anti").distinct())
         if not new.limit(1).count():
             break
         known = stored(known.unionByName(new).groupBy("desc", "anc").agg(F.min("dist").alias("dist")))
@@ -46,7 +46,7 @@ def paths(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def closure(records: DataFrame) -> DataFrame:
-    """(anc, desc, dist): all ancestors of each record, itself at distance 0 included. Roots have a null parent; a cycle ends after DEPTH steps."""
+    """(anc, desc, dist): all ancestors of each record, itself at distance 0 included. Roots have a null parent; of a cycle, all are each other's ancestors."""
     own = records.select(F.col("id").alias("anc"), F.col("id").alias("desc"), F.lit(0).alias("dist"))
     return paths(records.filter("parent IS NOT NULL").select(F.col("id").alias("desc"), F.col("parent").alias("anc"))).select("anc", "desc", "dist").unionByName(own)
 
@@ -107,11 +107,41 @@ def family(records: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def dense_ids(tree: DataFrame, records: DataFrame, cluster: Column) -> DataFrame:
-    """(id, cluster, number): numbers without gaps in each cluster, parents before children, siblings by epithet; a window per cluster."""
+    """(id, number): numbers without gaps in each cluster, parents before children, siblings by epithet.
+
+    Records are sorted by ranges over all tasks, and each task numbers its own from where
+    the ones before it end, so a cluster of nearly all records is no window of one task.
+    """
+    spark = records.sparkSession
     names = records.select(F.col("id").alias("anc"), F.coalesce("epithet", F.lit("")).alias("e"))
     path = tree.join(names, "anc").groupBy(F.col("desc").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("d"), "e", F.col("anc").cast("string").alias("a")))).alias("p"))
-    keyed = records.withColumn("cluster", cluster).join(path, "id").select("id", "cluster", F.transform("p", lambda x: F.struct(x["e"], x["a"])).alias("path"))
-    return keyed.select("id", "cluster", (F.row_number().over(Window.partitionBy("cluster").orderBy(F.size("path"), "path")) - 1).alias("number"))
+    keyed = records.withColumn("cluster", cluster).join(path, "id").select("id", "cluster", F.size("p").alias("level"), F.transform("p", lambda x: F.struct(x["e"], x["a"])).alias("path"))
+    keys = ["cluster", "level", "path", "id"]
+    numbered = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "cluster", F.monotonically_increasing_id().alias("at"))
+    folder = shared_path(spark, "sorted")
+    numbered.write.parquet(folder)
+    numbered = spark.read.schema(numbered.schema).parquet(folder).withColumn("task", F.shiftright("at", 33))
+    counts = numbered.groupBy("cluster", "task").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # a row for each task and cluster
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("cluster").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("cluster").alias("__c"), F.col("task").alias("__t"), "first", before.alias("before"))
+    return numbered.join(starts, (F.col("task") == F.col("__t")) & F.col("cluster").eqNullSafe(F.col("__c"))).select("id", "cluster", (F.col("before") + F.col("at") - F.col("first")).cast("int").alias("number"))
+
+
+def descendants(records: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, dist): what is beneath the roots (id), found level by level; each level is a table in the shared folder, and a record once found isn't followed again."""
+    spark = records.sparkSession
+    children = records.filter("parent IS NOT NULL").select("id", "parent")
+    level, out, dist = roots.select(F.col("id").alias("root"), "id"), None, 0
+    while True:
+        dist += 1
+        found = level.select("root", F.col("id").alias("parent")).join(children, "parent").select("root", "id").filter("id <> root").distinct()
+        found = found.join(out.select("root", "id"), ["root", "id"], "left_anti") if out is not None else found
+        folder = shared_path(spark, "level")
+        found.withColumn("dist", F.lit(dist)).write.parquet(folder)
+        level = spark.read.schema("root string, id string, dist int" if dict(roots.dtypes)["id"] == "string" else "root long, id long, dist int").parquet(folder)
+        if not level.limit(1).count():
+            return out if out is not None else level
+        out = level if out is None else out.unionByName(level)
 
 
 def assign_cluster(tree: DataFrame, records: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import taxa as tx
+from ..operators import repair as rp
 from ..operators import trees as tr
 from ..session import table
 
@@ -80,7 +81,36 @@ def split_species(s, d):
     return tree(s, d).filter("rank = 'species'").select("id", two[0].alias("species"), F.when(F.size(two) > 1, F.element_at(two, -1)).alias("subspecies"))
 
 
+#: A flora in SQL that both engines read: by order, a species, a subspecies without its species, one under the species before, one that bears its species' name, its child of the same rank, a species of two words.
+FLORA = """SELECT 'n' || n_nationkey AS id, CAST(NULL AS VARCHAR(20)) AS parent, 'family' AS rank, 'Fam' || n_nationkey AS epithet, CAST(NULL AS VARCHAR(60)) AS prefix, CAST(NULL AS VARCHAR(60)) AS species, CAST(NULL AS VARCHAR(60)) AS below FROM {nation}
+UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'genus', 'Gen' || (c_custkey % 40), CAST(NULL AS VARCHAR(60)), CAST(NULL AS VARCHAR(60)), CAST(NULL AS VARCHAR(60)) FROM {customer}
+UNION ALL SELECT 'o' || o_orderkey, CASE WHEN o_orderkey % 6 IN (2, 4) THEN 'o' || (o_orderkey - CASE o_orderkey % 6 WHEN 2 THEN 2 ELSE 1 END) ELSE 'c' || o_custkey END, CASE WHEN o_orderkey % 6 IN (0, 5) THEN 'species' ELSE 'subSpecies' END,
+CASE o_orderkey % 6 WHEN 0 THEN 'sp' || (o_orderkey % 12) WHEN 5 THEN 'sp' || (o_orderkey % 5 * 6) || (CASE o_orderkey % 4 WHEN 1 THEN ' var. v' ELSE ' f. v' END) || (o_orderkey % 3) WHEN 3 THEN 'nom' || (o_orderkey % 4) ELSE 'ssp' || (o_orderkey % 7) END,
+'Gen' || (o_custkey % 40), CASE o_orderkey % 6 WHEN 1 THEN 'sp' || (o_orderkey % 2 * 6) WHEN 2 THEN 'sp' || (o_orderkey % 12) WHEN 3 THEN 'nom' || (o_orderkey % 5) WHEN 4 THEN 'nom' || (o_orderkey % 5) END,
+CASE WHEN o_orderkey % 6 = 3 THEN 'nom' || (o_orderkey % 4) WHEN o_orderkey % 6 IN (1, 2, 4) THEN 'ssp' || (o_orderkey % 7) END FROM {orders}"""
+FL = "l AS (" + FLORA.format(nation="nation", customer="customer", orders="orders") + ")"
+RANKED = "list_position(['" + "', '".join(tx.NAMES) + "'], {0}.rank)"
+#: Fit of each record: its parent's rank is found, equal, or above genus-level for what is below species.
+FIT = f"f AS (SELECT l.*, CASE WHEN l.parent IS NULL THEN 'root' WHEN p.id IS NULL THEN 'missing' WHEN {RANKED.format('l')} < {RANKED.format('p')} THEN 'inverted' WHEN l.rank = p.rank THEN 'duplicate' WHEN l.rank = 'subSpecies' AND p.rank <> 'species' THEN 'orphan' ELSE 'child' END AS fit FROM l LEFT JOIN l p ON p.id = l.parent)"
+#: What is found for an orphan subspecies: the first species of its name in its genus.
+HIT = "h AS (SELECT f.id, min(s.id) AS found FROM f JOIN f s ON s.parent = f.parent AND s.rank = 'species' AND s.epithet = f.species WHERE f.fit = 'orphan' GROUP BY 1)"
+
+
+def flora(s, d):
+    return s.sql(FLORA, **{n: table(s, d, n) for n in ("nation", "customer", "orders")}).withColumn("valid", F.lit(None).cast("string")).withColumn("name", F.lit(None).cast("string")).withColumn("genus", F.lit(None).cast("string"))
+
+
+def attached(s, d):
+    return rp.reattached(rp.fitted(flora(s, d)))
+
+
 QUERIES = {
+    "e12_fits": (lambda s, d: rp.fitted(flora(s, d)).select("id", "fit", "earmarked"), f"WITH {FL}, {FIT} SELECT id, fit, id IN (SELECT parent FROM f WHERE fit = 'duplicate' AND rank = 'subSpecies') AS earmarked FROM f"),
+    "e13_reattached": (lambda s, d: attached(s, d).select("id", "parent"), f"WITH {FL}, {FIT}, {HIT} SELECT f.id, CASE WHEN fit = 'missing' THEN NULL ELSE coalesce(found, parent) END AS parent FROM f LEFT JOIN h ON h.id = f.id"),
+    "e14_promoted": (lambda s, d: rp.promoted(attached(s, d)).select("id", "rank", "below"), f"WITH {FL}, {FIT}, {HIT}, g AS (SELECT f.*, f.rank = 'subSpecies' AND f.species = f.below AND f.fit = 'orphan' AND f.id NOT IN (SELECT id FROM h) AND f.id IN (SELECT parent FROM f WHERE fit = 'duplicate') AS up FROM f) SELECT id, CASE WHEN up THEN 'species' ELSE rank END AS rank, CASE WHEN NOT up THEN below END AS below FROM g"),
+    "e15_split": (lambda s, d: rp.split_species(flora(s, d)).select("id", "parent", "rank", "epithet", "prefix"), f"WITH {FL}, w AS (SELECT id, parent, split_part(epithet, ' ', 1) AS one, split_part(epithet, ' ', 2) AS mark, split_part(epithet, ' ', 3) AS last FROM l WHERE rank = 'species' AND epithet LIKE '% %'), h AS (SELECT w.id, one, mark, last, min(s.id) AS found FROM w JOIN l s ON s.parent = w.parent AND s.rank = 'species' AND s.epithet = one GROUP BY ALL) SELECT l.id, coalesce(found, parent) AS parent, CASE mark WHEN 'var.' THEN 'variety' WHEN 'f.' THEN 'form' ELSE rank END AS rank, coalesce(last, epithet) AS epithet, CASE WHEN found IS NULL THEN prefix ELSE prefix || ' ' || one END AS prefix FROM l LEFT JOIN h ON h.id = l.id"),
+    "e16_rehung": (lambda s, d: rp.rehung(flora(s, d).withColumn("prefix", F.concat_ws(" ", "prefix", "species"))).select("id", "parent"), f"WITH {FL}, {FIT}, {HIT} SELECT l.id, coalesce(found, parent) AS parent FROM l LEFT JOIN h ON h.id = l.id"),
+    "e16_plain_prefixes": (lambda s, d: rp.plain_prefixes(flora(s, d)).select("id", "prefix"), f"WITH {FL} SELECT l.id, CASE WHEN l.rank IN ('family', 'genus') OR l.prefix = p.epithet OR (p.rank = 'subSpecies' AND p.prefix = l.prefix) THEN NULL ELSE l.prefix END AS prefix FROM l LEFT JOIN l p ON p.id = l.parent"),
     "e_closure": (lambda s, d: close(s, d).withColumnRenamed("desc", "descendant"), f"WITH RECURSIVE {CL} SELECT anc, descendant, dist FROM c"),
     "e5_clean_rows": (lambda s, d: tree(s, d).select("id", F.when(C("epithet") == "incert", None).otherwise(C("parent")).alias("parent"), F.when(C("epithet") == "incert", "REMOVED").otherwise(C("rank")).alias("rank"), F.regexp_replace("epithet", "[^A-Za-z ]", "").alias("epithet")), f"WITH {T} SELECT id, CASE WHEN epithet <> 'incert' THEN parent END AS parent, CASE WHEN epithet = 'incert' THEN 'REMOVED' ELSE rank END AS rank, regexp_replace(epithet, '[^A-Za-z ]', '', 'g') AS epithet FROM t"),
     "e6_problems": (lambda s, d: tr.problems(tree(s, d), [("digit in epithet", C("epithet").rlike("[0-9]")), ("placeholder", C("epithet") == "incert"), ("no parent", C("parent").isNull() & (C("rank") != "kingdom"))]), f"WITH {T} SELECT p AS problem, count(*) AS n FROM (SELECT unnest([CASE WHEN regexp_matches(epithet, '[0-9]') THEN 'digit in epithet' END, CASE WHEN epithet = 'incert' THEN 'placeholder' END, CASE WHEN parent IS NULL AND rank <> 'kingdom' THEN 'no parent' END]) AS p FROM t) WHERE p IS NOT NULL GROUP BY 1"),
@@ -109,7 +139,7 @@ QUERIES = {
     "c2_find": (lambda s, d: tr.find(tr.postings(tree(s, d)), tree(s, d), "Genus1", "genus", "species", True).select("id", "rank"), f"WITH {T} SELECT id, rank FROM t WHERE starts_with(lower(regexp_replace(epithet, '[^A-Za-z0-9-]', '', 'g')), 'genus1') AND regexp_matches(epithet, '^[A-Z]') AND rank IN ('genus', 'species')"),
     "c3_search": (lambda s, d: index(s, d).filter(C("term").startswith("re")).select("term", "id").distinct(), f"WITH {IDX} SELECT DISTINCT term, id FROM x WHERE term LIKE 're%'"),
     "c4_family": (lambda s, d: tr.family(tree(s, d), synonyms(s, d)).select("id", F.array_join("children", ",").alias("children"), F.array_join("synonyms", ",").alias("synonyms")), f"WITH {T}, k AS (SELECT parent AS id, string_agg(id, ',' ORDER BY id) AS children FROM t WHERE parent IS NOT NULL GROUP BY 1), y AS (SELECT 'o' || (p_partkey % 700) AS id, string_agg('p' || p_partkey, ',' ORDER BY 'p' || p_partkey) AS synonyms FROM part GROUP BY 1) SELECT t.id, children, synonyms FROM t LEFT JOIN k USING (id) LEFT JOIN y ON y.id = t.id"),
-    "c6_descendants": (lambda s, d: close(s, d).filter("anc = 'r1' AND dist > 0").join(tree(s, d).filter("rank = 'species'"), C("desc") == C("id")).select("id"), f"WITH RECURSIVE {CL} SELECT id FROM c JOIN t ON id = descendant WHERE anc = 'r1' AND dist > 0 AND rank = 'species'"),
+    "c6_descendants": (lambda s, d: tr.descendants(tree(s, d), tree(s, d).filter("id = 'r1'").select("id")).select("id").join(tree(s, d).filter("rank = 'species'").select("id"), "id", "left_semi"), f"WITH RECURSIVE {CL} SELECT id FROM c JOIN t ON id = descendant WHERE anc = 'r1' AND dist > 0 AND rank = 'species'"),
     "c7_higher_taxonomy": (lambda s, d: tr.higher_taxonomy(close(s, d), tree(s, d)).select("id", C("higher")["kingdom"].alias("kingdom"), C("higher")["family"].alias("family"), F.size("higher").alias("n")), f"WITH RECURSIVE {CL} SELECT descendant AS id, max(epithet) FILTER (WHERE rank = 'kingdom') AS kingdom, max(epithet) FILTER (WHERE rank = 'family') AS family, count(*)::INT AS n FROM c JOIN t ON id = anc WHERE dist > 0 AND rank IN {PRIMARY} GROUP BY 1"),
     "c8_names": (lambda s, d: synonyms(s, d).select("id", F.replace(F.concat_ws(" ", F.lit("Genus (A)"), F.when(F.length("epithet") > 9, F.lit("(B)")), "epithet"), F.lit(") ("), F.lit(", ")).alias("name")), "SELECT 'p' || p_partkey AS id, replace(concat_ws(' ', 'Genus (A)', CASE WHEN length(p_name) > 9 THEN '(B)' END, p_name), ') (', ', ') AS name FROM part"),
     "c10_prefix_strict": (lambda s, d: tr.prefix_matches(close(s, d), tree(s, d), ["Nation3", "Genus7"], lenient=False), f"WITH {T} SELECT o.id FROM t o JOIN t g ON g.id = o.parent JOIN t f ON f.id = g.parent WHERE g.epithet = 'Genus7' AND f.epithet = 'Nation3'"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import refs, taxa
-from marginalia.operators import abbrev, dates, layout, names, records, tables, tokens, trees, votes
+from marginalia.operators import abbrev, dates, layout, names, records, repair, tables, tokens, trees, votes
 from marginalia.sources import files
 from marginalia.streaming import requests
 
@@ -146,3 +146,69 @@ def test_abbreviations_with_a_repeated_key(spark):
     cells = spark.createDataFrame([(1, r, c, t) for r, x in enumerate(rows) for c, t in enumerate(x)], "table_id int, r int, c int, text string")
     got = sorted((r.r, r.key, r.values) for r in tables.abbreviations(cells).select("r", "key", F.col("values")["No."].alias("values")).collect())
     assert got == [(1, "Abc", "1"), (2, "Abc", "2"), (3, "Def", "3")]
+
+
+FLORA = "id string, parent string, valid string, rank string, epithet string, prefix string, name string, genus string, species string, below string"
+
+
+def flora(spark, rows):
+    return spark.createDataFrame([tuple(r.get(k) for k in ("id", "parent", "valid", "rank", "epithet", "prefix", "name", "genus", "species", "below")) for r in rows], FLORA)
+
+
+def test_repair_of_parents(spark):
+    rows = [
+        dict(id="f", parent="k", rank="family", epithet="Formicidae"), dict(id="k", rank="kingdom", epithet="Animalia"), dict(id="o", parent="k", rank="order", epithet="Hymenoptera"),
+        dict(id="sf", parent="o", rank="subFamily", epithet="Myrmicinae", name="Myrmicinae Lepeletier"), dict(id="fs", valid="f", rank="family", epithet="Myrmicidae"),
+        dict(id="g", parent="f", rank="genus", epithet="Myrmica"), dict(id="gs", valid="g", rank="genus", epithet="Manica"),
+        dict(id="sg", parent="f", rank="subGenus", epithet="Oreo", name="Manica (Oreo) Sm.", genus="Manica", below="Oreo"), dict(id="sx", parent="f", rank="subGenus", epithet="Aus", name="Nowhere (Aus)"),
+        dict(id="s", parent="gone1", rank="species", epithet="rubra", prefix="Myrmica"), dict(id="ss", parent="s", rank="subSpecies", epithet="alpina", prefix="Myrmica rubra"),
+        dict(id="nt", parent="g", rank="subSpecies", epithet="ruga", prefix="Myrmica ruga", genus="Myrmica", species="ruga", below="ruga"), dict(id="ch", parent="nt", rank="subSpecies", epithet="minor"),
+        dict(id="inv", parent="s", rank="genus", epithet="Xus"), dict(id="lost", parent="nobody", rank="species", epithet="x"), dict(id="sy", parent="gs", rank="species", epithet="y"), dict(id="un", parent="g", rank="species", epithet="sp_incert"),
+    ]
+    removed = spark.createDataFrame([("gone1", "gone2"), ("gone2", "g"), ("loop", "loop")], "id string, target string")
+    fit = repair.fitted(flora(spark, rows), removed)
+    told = {r.id: (r.fit, r.parent, r.earmarked) for r in fit.collect()}
+    assert told == {
+        "k": ("root", None, False), "f": ("child", "k", False), "o": ("child", "k", False), "sf": ("orphan", None, False), "fs": ("root", None, False), "g": ("child", "f", False), "gs": ("root", None, False),
+        "sg": ("orphan", None, False), "sx": ("orphan", None, False), "s": ("child", "g", False), "ss": ("child", "s", False), "nt": ("orphan", None, True), "ch": ("duplicate", "nt", False),
+        "inv": ("inverted", "s", False), "lost": ("missing", None, False), "sy": ("synonym parent", "gs", False), "un": ("uncertain", "g", False),
+    }
+    held = repair.reattached(fit)
+    by = {r.id: r for r in held.collect()}
+    assert (by["sg"].parent, by["gs"].parent, by["gs"].valid) == ("gs", "f", None)  # a synonym becomes a genus again
+    assert by["sx"].parent is None and by["nt"].parent == "g"
+    assert by["sf"].parent is None  # the order has no family of that name beneath it
+    up = {r.id: (r.rank, r.below, r.prefix) for r in repair.promoted(held).collect()}
+    assert up["nt"] == ("species", None, "Myrmica") and up["ch"][0] == "subSpecies"
+    plain = {r.id: r.prefix for r in repair.plain_prefixes(held).collect()}
+    assert plain["s"] is None and plain["ss"] is None and plain["nt"] == "Myrmica ruga"
+
+
+def test_split_and_rehung_species(spark):
+    rows = [
+        dict(id="g", rank="genus", epithet="Abies"), dict(id="sg", parent="g", rank="subGenus", epithet="Pseudo"), dict(id="a", parent="sg", rank="species", epithet="alba", prefix="Abies"), dict(id="b", valid="a", rank="species", epithet="pecta"),
+        dict(id="v", parent="g", rank="species", epithet="alba var. nana", prefix="Abies"), dict(id="w", parent="g", rank="species", epithet="pecta minor", prefix="Abies"), dict(id="n", parent="g", rank="species", epithet="no such", prefix="Abies"),
+        dict(id="r", parent="g", rank="variety", epithet="tenuis", prefix="Abies alba"),
+    ]
+    got = {r.id: (r.parent, r.valid, r.rank, r.epithet, r.prefix) for r in repair.split_species(flora(spark, rows)).collect()}
+    assert got["v"] == ("a", None, "variety", "nana", "Abies alba") and got["w"] == ("b", None, "subSpecies", "minor", "Abies pecta") and got["n"] == ("g", None, "species", "no such", "Abies")
+    assert got["a"][0] == "g" and got["b"][:2] == ("g", None)
+    assert {r.id: r.parent for r in repair.rehung(flora(spark, rows)).collect()}["r"] == "a"
+
+
+def test_ancestry_of_long_chains_and_cycles(spark):
+    rows = [(k, k - 1 if k else None) for k in range(150)] + [(500, 501), (501, 502), (502, 500), (600, 600)]
+    tree = trees.closure(spark.createDataFrame(rows, "id long, parent long"))
+    dist = {(r.desc, r.anc): r.dist for r in tree.collect()}
+    assert dist[149, 0] == 149 and dist[500, 500] == 0 and dist[500, 502] == 2 and (600, 600) in dist and len(dist) == 150 * 151 // 2 + 9 + 1
+
+
+def test_patterns_go_on_until_nothing_changes(spark):
+    from marginalia.functions import values
+
+    v = lambda text, patterns: value(spark, values.normalise(F.lit("k"), "f", F.lit(text), {}, {}, [], patterns))
+    assert v("aaaaaaaab", [("aa", "$_a_$")]) == "ab"  # seven changes
+    assert v("x", [("x", "y"), ("y", "x")]) in ("x", "y")  # a loop ends
+    with pytest.raises(Exception, match="without end"):
+        v("x", [("x", "$_xx_$")])
+    assert value(spark, values.normal_spaces(F.lit("a ´ b ( c )"))) == "a  b (c)"
