@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes and rows of a slice of an Arrow batch.
-SLICE, ROWS = 2 << 20, 2000
+SLICE, ROWS = 1 << 19, 1000
 _OWN: dict[str, str] = {}
 #: This process, and the folders that are deleted when it ends.
 _RUN, _KEPT = uuid.uuid4().hex[:12], set()
