@@ -18,13 +18,13 @@ def fuzzy_keys(names: DataFrame) -> DataFrame:
 
 
 def country_names(df: DataFrame, text: str, names: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """df with country: the name that equals the text but for case, or but for accents, or by its fuzzy key; else the text itself. names is a small dimension."""
+    """df with country: the name that equals the text but for case, or but for accents, or by its fuzzy key; else the text itself. Which side is broadcast, if any, is left to AQE, which knows their sizes."""
     exact = names.select(F.lower("name").alias("__k"), F.col("name").alias("__exact")).dropDuplicates(["__k"])
     plain = names.select(F.lower(fold_accents(F.col("name"))).alias("__k"), F.col("name").alias("__plain")).dropDuplicates(["__k"])
-    out = df.join(F.broadcast(exact), F.lower(text) == F.col("__k"), "left").drop("__k")
-    out = out.join(F.broadcast(plain), F.lower(fold_accents(F.col(text))) == F.col("__k"), "left").drop("__k")
+    out = df.join(exact, F.lower(text) == F.col("__k"), "left").drop("__k")
+    out = out.join(plain, F.lower(fold_accents(F.col(text))) == F.col("__k"), "left").drop("__k")
     if fuzzy:
-        out = out.join(F.broadcast(fuzzy_keys(names)), fuzzy_key(F.col(text)) == F.col("fuzzy"), "left").withColumnRenamed("name", "__fuzzy").drop("fuzzy")
+        out = out.join(fuzzy_keys(names), fuzzy_key(F.col(text)) == F.col("fuzzy"), "left").withColumnRenamed("name", "__fuzzy").drop("fuzzy")
     return out.withColumn("country", F.coalesce("__exact", "__plain", *(["__fuzzy"] if fuzzy else []), text)).drop("__exact", "__plain", "__fuzzy")
 
 

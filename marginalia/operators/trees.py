@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import taxa as tx
 from ..sources.files import shared_path
+from .ordering import numbered
 
 
 def paths(edges: DataFrame, depth: int | None = None) -> DataFrame:
@@ -109,22 +110,12 @@ def family(records: DataFrame, synonyms: DataFrame) -> DataFrame:
 def dense_ids(tree: DataFrame, records: DataFrame, cluster: Column) -> DataFrame:
     """(id, number): numbers without gaps in each cluster, parents before children, siblings by epithet.
 
-    Records are sorted by ranges over all tasks, and each task numbers its own from where
-    the ones before it end, so a cluster of nearly all records is no window of one task.
+    Sorted by ranges over all tasks, so a cluster of nearly all records is no window of one task.
     """
-    spark = records.sparkSession
     names = records.select(F.col("id").alias("anc"), F.coalesce("epithet", F.lit("")).alias("e"))
     path = tree.join(names, "anc").groupBy(F.col("desc").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("d"), "e", F.col("anc").cast("string").alias("a")))).alias("p"))
     keyed = records.withColumn("cluster", cluster).join(path, "id").select("id", "cluster", F.size("p").alias("level"), F.transform("p", lambda x: F.struct(x["e"], x["a"])).alias("path"))
-    keys = ["cluster", "level", "path", "id"]
-    numbered = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "cluster", F.monotonically_increasing_id().alias("at"))
-    folder = shared_path(spark, "sorted")
-    numbered.write.parquet(folder)
-    numbered = spark.read.schema(numbered.schema).parquet(folder).withColumn("task", F.shiftright("at", 33))
-    counts = numbered.groupBy("cluster", "task").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # a row for each task and cluster
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("cluster").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("cluster").alias("__c"), F.col("task").alias("__t"), "first", before.alias("before"))
-    return numbered.join(starts, (F.col("task") == F.col("__t")) & F.col("cluster").eqNullSafe(F.col("__c"))).select("id", "cluster", (F.col("before") + F.col("at") - F.col("first")).cast("int").alias("number"))
+    return numbered(keyed, ["level", "path", "id"], "cluster").select("id", "cluster", F.col("number").cast("int").alias("number"))
 
 
 def descendants(records: DataFrame, roots: DataFrame) -> DataFrame:
@@ -146,7 +137,7 @@ def descendants(records: DataFrame, roots: DataFrame) -> DataFrame:
 
 def assign_cluster(tree: DataFrame, records: DataFrame, clusters: DataFrame) -> DataFrame:
     """(id, cluster): of clusters (anc, cluster), that of the nearest ancestor that has one; else "other"."""
-    near = tree.join(F.broadcast(clusters), "anc").groupBy(F.col("desc").alias("id")).agg(F.min_by("cluster", "dist").alias("cluster"))
+    near = tree.join(clusters, "anc").groupBy(F.col("desc").alias("id")).agg(F.min_by("cluster", "dist").alias("cluster"))
     return records.select("id").join(near, "id", "left").select("id", F.coalesce("cluster", F.lit("other")).alias("cluster"))
 
 

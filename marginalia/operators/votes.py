@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def support(votes: DataFrame) -> DataFrame:
     """(request, param, value, n, reached_at): distinct users of each value and when the last of them first voted for it."""
@@ -58,14 +60,14 @@ def next_request(requests: DataFrame, answered: DataFrame, users: DataFrame) ->
     found by comparing their places in the list of requests with their own numbering, so
     users and requests are never paired.
     """
-    places = requests.select("request", F.row_number().over(Window.orderBy("request")).alias("place"))  # the list of requests is a small dimension
-    mine = answered.groupBy("user", "request").agg(F.bool_and("cancelled").alias("cancelled")).join(F.broadcast(places), "request")
-    numbered = mine.withColumn("k", F.row_number().over(Window.partitionBy("user").orderBy("place")))
-    state = numbered.groupBy("user").agg(F.min(F.when(F.col("k") != F.col("place"), F.col("k"))).alias("gap"), F.count("*").alias("n"), F.min(F.when(F.col("cancelled"), F.col("place"))).alias("late"))
+    places = numbered(requests.select("request"), ["request"]).select("request", (F.col("number") + 1).cast("int").alias("place"))
+    mine = answered.groupBy("user", "request").agg(F.bool_and("cancelled").alias("cancelled")).join(places, "request")
+    own = mine.withColumn("k", F.row_number().over(Window.partitionBy("user").orderBy("place")))
+    state = own.groupBy("user").agg(F.min(F.when(F.col("k") != F.col("place"), F.col("k"))).alias("gap"), F.count("*").alias("n"), F.min(F.when(F.col("cancelled"), F.col("place"))).alias("late"))
     whole = places.agg(F.count("*").alias("n")).first()["n"]
     after = F.when(F.coalesce(F.col("n"), F.lit(0)) < whole, F.coalesce(F.col("n"), F.lit(0)) + 1)
     choice = users.join(state, "user", "left").select("user", F.coalesce("gap", after, "late").cast("int").alias("place"))
-    return choice.join(F.broadcast(places), "place").select("user", "request")
+    return choice.join(places, "place").select("user", "request")
 
 
 def quiz_scores(answers: DataFrame, score: int, penalty: int) -> DataFrame:
