@@ -58,6 +58,30 @@ def subtree_sizes(tree: DataFrame, marked: Column | None = None) -> DataFrame:
     return tree.groupBy(F.col("anc").alias("id")).agg(count.alias("size"))
 
 
+def subtree_sizes_with_synonyms(tree: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(id, size): how many records each record's subtree has, their synonyms (id, valid) counted too."""
+    own = synonyms.groupBy(F.col("valid").alias("desc")).agg(F.count("*").alias("n"))
+    return tree.join(own, "desc", "left").groupBy(F.col("anc").alias("id")).agg(F.sum(1 + F.coalesce("n", F.lit(0))).alias("size"))
+
+
+def complete(tree: DataFrame, records: DataFrame, top: str = "kingdom") -> DataFrame:
+    """(id, complete): whether the ranks on the way up, the own one included, have the primary rank of each group among them, and the top rank."""
+    group = F.lit(None).cast("string")
+    for rank, of, _ in tx.RANKS:
+        group = F.when(F.col("rank") == rank, of).otherwise(group)
+    ranks = records.select(F.col("id").alias("anc"), "rank", group.alias("group"))
+    sets = tree.join(ranks, "anc").groupBy(F.col("desc").alias("id")).agg(F.collect_set("rank").alias("ranks"), F.collect_set("group").alias("groups"))
+    return sets.select("id", (F.size(F.array_except("groups", "ranks")) == 0).alias("whole"), F.array_contains("ranks", top).alias("rooted")).select("id", (F.col("whole") & F.col("rooted")).alias("complete"))
+
+
+def primary_children(tree: DataFrame, records: DataFrame) -> DataFrame:
+    """(id, child): records of primary ranks, registered with every ancestor up to their nearest one of a primary rank, or up to the root without one."""
+    primary = records.filter(tx.is_primary(F.col("rank"))).select("id")
+    up = tree.filter("dist > 0").join(primary.withColumnRenamed("id", "desc"), "desc", "left_semi")
+    nearest = up.join(primary.withColumnRenamed("id", "anc"), "anc", "left_semi").groupBy("desc").agg(F.min("dist").alias("last"))
+    return up.join(nearest, "desc", "left").filter("last IS NULL OR dist <= last").select(F.col("anc").alias("id"), F.col("desc").alias("child"))
+
+
 def detached(tree: DataFrame, records: DataFrame, root_rank: str) -> DataFrame:
     """(attached, n): how many records reach one of the root rank, and how many don't."""
     roots = records.filter(F.col("rank") == root_rank).select(F.col("id").alias("anc"), F.lit(True).alias("__root"))
@@ -174,8 +198,16 @@ def tile_ranges(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("hi", F.lead("lo").over(w)).withColumn("overlaps", F.coalesce(F.lag("last").over(w) >= F.col("lo"), F.lit(False)))
 
 
-def find(index: DataFrame, records: DataFrame, query: str, from_rank: str, to_rank: str, prefix: bool) -> DataFrame:
-    """Records whose epithet is, or begins with, the query, with a rank in the window; a capital in the query asks for capitalised epithets."""
+def find(index: DataFrame, records: DataFrame, query: str, from_rank: str, to_rank: str, prefix: bool, case_sensitive: bool = False, synonyms: bool = True) -> DataFrame:
+    """Records whose epithet is, or begins with, the query, with a rank in the window; a capital in the query asks for capitalised epithets.
+
+    case_sensitive asks for the same letters in the epithet itself; without synonyms, records
+    with a valid one are left out.
+    """
+    if case_sensitive:
+        records = records.filter(tx.matches(F.col("epithet"), F.lit(query), prefix, True))
+    if not synonyms and "valid" in records.columns:
+        records = records.filter("valid IS NULL")
     q = query.lower()
     hit = index.filter((F.col("kind") == "E") & (F.col("cap") == F.lit(query[:1].isupper())) & (F.col("term").startswith(q) if prefix else F.col("term") == q)).select("id").distinct()
     inside = tx.level(F.col("rank")).between(tx.NAMES.index(from_rank) + 1, tx.NAMES.index(to_rank) + 1)
@@ -192,6 +224,35 @@ def prefix_matches(tree: DataFrame, records: DataFrame, words: list[str], lenien
     return line.filter((F.size("line") >= len(wanted)) & ok).select("id")
 
 
+MODES = ("strict", "intermediate", "lenient")
+
+
+def epithet_prefix_matches(tree: DataFrame, records: DataFrame, words: list[str], mode: str, prefix: bool = False, case_sensitive: bool = False) -> DataFrame:
+    """(id): records whose ancestors bear the words, the last one first on the way up.
+
+    An ancestor that doesn't bear the next word ends the search in strict mode, in
+    intermediate mode if its rank is primary, and in any mode from genus on; otherwise it is
+    passed over. Below species, one of the words has to be the species', unless lenient.
+    """
+    if mode not in MODES:
+        raise ValueError(mode)
+    genus, species = tx.NAMES.index("genus") + 1, tx.NAMES.index("species") + 1
+    names = records.select(F.col("id").alias("anc"), F.coalesce("epithet", F.lit("")).alias("e"), tx.level(F.col("rank")).alias("level"), tx.is_primary(F.col("rank")).alias("primary"))
+    line = tree.filter("dist > 0").join(names, "anc").groupBy(F.col("desc").alias("id")).agg(F.array_sort(F.collect_list(F.struct("dist", "e", "level", "primary"))).alias("line"))
+    wanted = F.array(*map(F.lit, reversed(words)))
+
+    def step(s, a):  # noqa: ANN001, ANN202
+        hit = tx.matches(a["e"], F.try_element_at(wanted, s["k"] + 1), prefix, case_sensitive)
+        stop = F.lit(True) if mode == "strict" else (a["level"] <= genus) | (a["primary"] if mode == "intermediate" else F.lit(False))
+        going = s["ok"] & (s["k"] < len(words))
+        return F.struct(F.when(going & hit, s["k"] + 1).otherwise(s["k"]).alias("k"), (s["ok"] & (~going | hit | ~stop)).alias("ok"), (s["species"] | (going & hit & (a["level"] == species))).alias("species"))
+
+    end = F.aggregate("line", F.struct(F.lit(0).alias("k"), F.lit(True).alias("ok"), F.lit(False).alias("species")), step)
+    told = records.select("id", tx.level(F.col("rank")).alias("own")).join(line, "id").select("id", "own", end.alias("s"))
+    need = F.lit(True) if mode == "lenient" else (F.col("own") <= species) | F.col("s.species")
+    return told.filter(F.col("s.ok") & (F.col("s.k") == len(words)) & need).select("id")
+
+
 def problems(rows: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
     """(problem, n): how many rows have each problem."""
     return rows.select(F.explode(F.filter(F.array(*(F.when(c, n) for n, c in checks)), lambda x: x.isNotNull())).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
