@@ -6,6 +6,9 @@ half-open token positions. Both stay partitioned by the document's key.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,34 @@ def dictionary_spans(df: DataFrame, dictionary: DataFrame, size: int, key: str =
     return grams.join(dictionary.select(fold(F.col("term")).alias("term")).distinct(), "term", "left_semi").drop("term")
 
 
+def windows_up_to(df: DataFrame, pattern: str, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, start, end, value): every window of 1 to most tokens whose text, joined by blanks, matches the pattern."""
+    toks = df.select(key, token_array(F.col(text)).alias("t")).filter(F.size("t") > 0)
+    return _windows(toks, list(range(1, most + 1)), key, lambda value: value.rlike(pattern))
+
+
+def _windows(toks: DataFrame, sizes: list[int], key: str, wanted) -> DataFrame:  # noqa: ANN001
+    one = lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i: F.struct(i.cast("long").alias("start"), (i + n).cast("long").alias("end"), F.array_join(F.slice("t", i + 1, F.lit(n)), " ").alias("value"))))
+    every = F.flatten(F.filter(F.array(*(one(n) for n in sizes)), lambda x: x.isNotNull()))
+    return toks.select(key, F.explode(F.filter(every, lambda x: wanted(x["value"]))).alias("w")).select(key, "w.start", "w.end", "w.value")
+
+
+def dictionary_matches(df: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text", case_sensitive: bool = False) -> DataFrame:
+    """(key, start, end, value): windows whose joined text is an entry of dictionary (term), entries being of any number of tokens.
+
+    Windows are of the numbers of tokens that entries have, a few; blanks and punctuation of
+    an entry are read as those of a text.
+    """
+    fold = (lambda c: c) if case_sensitive else F.lower
+    terms = dictionary.select(token_array(F.col("term")).alias("t")).filter(F.size("t") > 0)
+    sizes = sorted(r.n for r in terms.select(F.size("t").alias("n")).distinct().collect())
+    toks = df.select(key, token_array(F.col(text)).alias("t")).filter(F.size("t") > 0)
+    if not sizes:
+        return _windows(toks, [1], key, lambda v: F.lit(False))
+    grams = _windows(toks, sizes, key, lambda v: F.lit(True)).withColumn("term", fold(F.col("value")))
+    return grams.join(terms.select(fold(F.array_join("t", " ")).alias("term")).distinct(), "term", "left_semi").drop("term")
+
+
 def adjacent(left: DataFrame, right: DataFrame, key: str = "doc_id", gap: int = 0) -> DataFrame:
     """Pairs of spans of which right starts exactly gap tokens after left ends; columns of left, and right's with suffix _r."""
     other = right.select(F.col(key), (F.col("start") - gap).alias("end"), *(F.col(c).alias(f"{c}_r") for c in right.columns if c != key))
@@ -62,6 +93,13 @@ def fold_accents(text: Column) -> Column:
     return F.translate(text, ACCENTED, PLAIN)
 
 
+@F.pandas_udf("string")
+def fold_marks(text: pd.Series) -> pd.Series:
+    """Letters without their diacritical marks, in any script that decomposes them; Spark has no Unicode normalisation of its own."""
+    fold = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", fold(t)))
+
+
 def islands(df: DataFrame, keys: list[str], order: str, breaks: Column, name: str = "island") -> DataFrame:
     """Numbers runs of rows: a new one starts in each row in which breaks holds. One window over keys."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -182,6 +182,12 @@ def postings(records: DataFrame, text: str = "epithet") -> DataFrame:
     return whole.unionByName(part.filter(F.col("term") != "")).filter("term <> ''")
 
 
+def postings_with_prefixes(records: DataFrame) -> DataFrame:
+    """(term, kind, cap, id): as postings(), of records (id, valid, epithet, prefix); but words of kind P are those of synonyms' prefixes only."""
+    whole = postings(records, "epithet").filter("kind = 'E'")
+    return whole.unionByName(postings(records.filter("valid IS NOT NULL AND prefix IS NOT NULL"), "prefix").filter("kind = 'P'"))
+
+
 def prefix_counts(terms: DataFrame, least: int, longest: int = 6) -> DataFrame:
     """(prefix, n): prefixes of terms with their counts; one is extended only while it has at least so many terms."""
     out, live = None, terms

@@ -73,6 +73,12 @@ def stops(spark, sf):
     return ts.stop_words(c)
 
 
+def mixed_terms(spark, sf):
+    """The first one to three tokens of each item."""
+    t = table(spark, sf, "benchmark").select("item_id", tk.token_array(F.col("text")).alias("t")).filter(F.size("t") >= 3)
+    return t.select(F.array_join(F.slice("t", F.lit(1), (F.col("item_id") % 3 + 1).cast("int")), " ").alias("term"))
+
+
 def first_terms(spark, sf):
     grams = tk.window_spans(table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), "", 2).filter("start = 0")
     return grams.select(F.lower("value").alias("term")).distinct()
@@ -87,6 +93,9 @@ QUERIES = {
     "k1_tokenise": (lambda s, d: tk.tokens(docs(s, d)), f"WITH {SQL_TOKENS} SELECT doc_id, pos::INT AS pos, tok FROM tok"),
     "k2_window_matches": (lambda s, d: tk.window_spans(docs(s, d), r"^\p{Lu}\p{Ll}+ \p{Ll}+$", 2), f"WITH {SQL_TOKENS}, w AS (SELECT doc_id, pos AS start, pos + 2 AS \"end\", tok || ' ' || lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS value FROM tok) SELECT * FROM w WHERE regexp_matches(value, '^\\p{{Lu}}\\p{{Ll}}+ \\p{{Ll}}+$')"),
     "k3_dictionary_matches": (lambda s, d: tk.dictionary_spans(docs(s, d), first_terms(s, d), 2), f"WITH {SQL_TOKENS}, b AS (SELECT DISTINCT lower(x[1] || ' ' || x[2]) AS term FROM (SELECT regexp_extract_all(text, '{TOK}') AS x FROM benchmark) WHERE len(x) > 1), w AS (SELECT doc_id, pos AS start, pos + 2 AS \"end\", tok || ' ' || lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS value FROM tok) SELECT * FROM w WHERE lower(value) IN (FROM b)"),
+    "k2_windows_up_to": (lambda s, d: tk.windows_up_to(docs(s, d), r"^\p{Lu}\p{Ll}+( \p{Ll}+){0,2}$", 3), f"WITH {SQL_TOKENS}, n AS (SELECT doc_id, pos, tok, lead(tok) OVER o AS b, lead(tok, 2) OVER o AS c FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY pos)), w AS (SELECT doc_id, pos AS start, pos + 1 AS \"end\", tok AS value FROM n UNION ALL SELECT doc_id, pos, pos + 2, tok || ' ' || b FROM n WHERE b IS NOT NULL UNION ALL SELECT doc_id, pos, pos + 3, tok || ' ' || b || ' ' || c FROM n WHERE c IS NOT NULL) SELECT * FROM w WHERE regexp_matches(value, '^\\p{{Lu}}\\p{{Ll}}+( \\p{{Ll}}+){{0,2}}$')"),
+    "k3_mixed_lengths": (lambda s, d: tk.dictionary_matches(docs(s, d), mixed_terms(s, d)), f"WITH {SQL_TOKENS}, b AS (SELECT DISTINCT lower(array_to_string(x[1:1 + item_id % 3], ' ')) AS term FROM (SELECT item_id, regexp_extract_all(text, '{TOK}') AS x FROM benchmark) WHERE len(x) >= 3), n AS (SELECT doc_id, pos, tok, lead(tok) OVER o AS b, lead(tok, 2) OVER o AS c FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY pos)), w AS (SELECT doc_id, pos AS start, pos + 1 AS \"end\", tok AS value FROM n UNION ALL SELECT doc_id, pos, pos + 2, tok || ' ' || b FROM n WHERE b IS NOT NULL UNION ALL SELECT doc_id, pos, pos + 3, tok || ' ' || b || ' ' || c FROM n WHERE c IS NOT NULL) SELECT * FROM w WHERE lower(value) IN (FROM b)"),
+    "k10_fold_marks": (lambda s, d: docs(s, d).select("doc_id", tk.fold_marks(F.concat(F.col("text"), F.lit(" ǖ ș Ḁ e\u0301"))).alias("folded")), "SELECT doc_id, strip_accents(text || ' ǖ ș Ḁ e\u0301') AS folded FROM documents"),
     "k4_span_pattern": (lambda s, d: tk.adjacent(spans(s, d, CAP), spans(s, d, LOW), gap=1).join(spans(s, d, "^,$").select("doc_id", F.col("start").alias("end")), ["doc_id", "end"], "left_semi").select("doc_id", "start", F.col("end_r").alias("end"), F.concat_ws(", ", "value", "value_r").alias("value")), f"WITH {SQL_TOKENS}, w AS (SELECT doc_id, pos, tok, lead(tok) OVER o AS b, lead(tok, 2) OVER o AS c FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, pos AS start, pos + 3 AS \"end\", tok || ', ' || c AS value FROM w WHERE regexp_matches(tok, '^\\p{{Lu}}\\p{{Ll}}+$') AND b = ',' AND regexp_matches(c, '^\\p{{Ll}}+$')"),
     "k5_drop_contained": (lambda s, d: tk.drop_contained(tk.window_spans(docs(s, d), r"^\p{Lu}+ ?$", 1).unionByName(tk.window_spans(docs(s, d), r"^\p{Lu}+ [^ ]+$", 2))).select("doc_id", "start", "end"), f"WITH {SQL_TOKENS}, w AS (SELECT doc_id, pos AS start, pos + 1 AS e FROM tok WHERE regexp_matches(tok, '^\\p{{Lu}}+$') UNION ALL SELECT doc_id, pos, pos + 2 FROM (SELECT *, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM tok) WHERE regexp_matches(tok, '^\\p{{Lu}}+$') AND n IS NOT NULL) SELECT doc_id, start, e AS \"end\" FROM w WHERE NOT EXISTS (SELECT 1 FROM w v WHERE v.doc_id = w.doc_id AND v.start <= w.start AND v.e >= w.e AND (v.start, v.e) <> (w.start, w.e))"),
     "k6_overlaps": (lambda s, d: _overlaps(s, d), "WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS a, o_orderdate::DATE + 30 AS b FROM orders) SELECT x.o_orderkey AS k, y.o_orderkey AS l FROM o x JOIN o y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.a < y.b AND y.a < x.b"),

@@ -113,6 +113,7 @@ QUERIES = {
     "e20_complete": (lambda s, d: tr.complete(close(s, d), tree(s, d)), f"WITH RECURSIVE {CL}, k AS (SELECT descendant AS id, list(DISTINCT rank) AS r, list(DISTINCT CASE WHEN rank = 'subFamily' THEN 'family' ELSE rank END) AS g FROM c JOIN t ON t.id = anc GROUP BY 1) SELECT id, list_has_all(r, g) AND list_contains(r, 'kingdom') AS complete FROM k"),
     "e21_primary_children": (lambda s, d: tr.primary_children(close(s, d), tree(s, d)), f"WITH RECURSIVE {CL}, a AS (SELECT c.anc, c.descendant, dist, rank IN {PRIMARY} AS pri FROM c JOIN t ON t.id = anc WHERE dist > 0 AND descendant IN (SELECT id FROM t WHERE rank IN {PRIMARY})), m AS (SELECT *, min(CASE WHEN pri THEN dist END) OVER (PARTITION BY descendant) AS last FROM a) SELECT anc AS id, descendant AS child FROM m WHERE last IS NULL OR dist <= last"),
     "e23_sizes_with_synonyms": (lambda s, d: tr.subtree_sizes_with_synonyms(close(s, d), synonyms(s, d)), f"WITH RECURSIVE {CL}, y AS (SELECT 'o' || (p_partkey % 700) AS descendant, count(*) AS n FROM part GROUP BY 1) SELECT anc AS id, sum(1 + coalesce(n, 0))::BIGINT AS size FROM c LEFT JOIN y USING (descendant) GROUP BY 1"),
+    "e27_synonym_prefixes": (lambda s, d: tr.postings_with_prefixes(table(s, d, "part").select(C("p_partkey").alias("id"), F.when(C("p_partkey") % 3 == 0, C("p_partkey") - 1).alias("valid"), C("p_type").alias("epithet"), F.concat(C("p_name"), F.lit(" subsp. ab")).alias("prefix"))), "SELECT regexp_replace(lower(p_type), '[^a-z0-9-]', '', 'g') AS term, 'E' AS kind, regexp_matches(p_type, '^[A-Z]') AS cap, p_partkey AS id FROM part UNION ALL SELECT term, 'P', false, id FROM (SELECT unnest(str_split(p_name, ' ')) AS term, p_partkey AS id FROM part WHERE p_partkey % 3 = 0) WHERE length(term) >= 3"),
     "e12_fits": (lambda s, d: rp.fitted(flora(s, d)).select("id", "fit", "earmarked"), f"WITH {FL}, {FIT} SELECT id, fit, id IN (SELECT parent FROM f WHERE fit = 'duplicate' AND rank = 'subSpecies') AS earmarked FROM f"),
     "e13_reattached": (lambda s, d: attached(s, d).select("id", "parent"), f"WITH {FL}, {FIT}, {HIT} SELECT f.id, CASE WHEN fit = 'missing' THEN NULL ELSE coalesce(found, parent) END AS parent FROM f LEFT JOIN h ON h.id = f.id"),
     "e14_promoted": (lambda s, d: rp.promoted(attached(s, d)).select("id", "rank", "below"), f"WITH {FL}, {FIT}, {HIT}, g AS (SELECT f.*, f.rank = 'subSpecies' AND f.species = f.below AND f.fit = 'orphan' AND f.id NOT IN (SELECT id FROM h) AND f.id IN (SELECT parent FROM f WHERE fit = 'duplicate') AS up FROM f) SELECT id, CASE WHEN up THEN 'species' ELSE rank END AS rank, CASE WHEN NOT up THEN below END AS below FROM g"),
