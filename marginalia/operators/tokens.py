@@ -93,11 +93,18 @@ def fold_accents(text: Column) -> Column:
     return F.translate(text, ACCENTED, PLAIN)
 
 
-@F.pandas_udf("string")
-def fold_marks(text: pd.Series) -> pd.Series:
+def fold_marks(text: Column) -> Column:
     """Letters without their diacritical marks, in any script that decomposes them; Spark has no Unicode normalisation of its own."""
-    fold = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", fold(t)))
+
+    def fold(t: str | None) -> str | None:
+        if t is None or t.isascii():
+            return t
+        return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
+
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(fold)
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def islands(df: DataFrame, keys: list[str], order: str, breaks: Column, name: str = "island") -> DataFrame:
