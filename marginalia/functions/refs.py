@@ -111,6 +111,10 @@ def xml_escape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
 
 
+def xml_unescape(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(F.replace(c, F.lit("&quot;"), F.lit('"')), F.lit("&gt;"), F.lit(">")), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
+
+
 def element(name: str, c: Column) -> Column:
     """An XML element, nothing for null."""
     return F.coalesce(F.concat(F.lit(f"<{name}>"), xml_escape(c), F.lit(f"</{name}>")), F.lit(""))

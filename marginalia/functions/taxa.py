@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import refs
+
 #: Ranks in their order, with group and epithet template; a short system of our own choice of common ranks.
 RANKS = (
     ("kingdom", "kingdom", "@"), ("phylum", "phylum", "@"), ("class", "class", "@"), ("order", "order", "@"), ("family", "family", "@"), ("subFamily", "family", "@"),
@@ -12,6 +14,10 @@ RANKS = (
     ("species", "species", "@"), ("subSpecies", "species", "subsp. @"), ("variety", "species", "var. @"), ("form", "species", "f. @"),
 )
 NAMES = [r[0] for r in RANKS]
+#: XML elements of ranks in the classic and the simple form, where they differ from dwcranks: and the rank; name spaces.
+CLASSIC = {"kingdom": "Kingdom", "phylum": "Phylum", "class": "Class", "order": "Order", "family": "Family", "genus": "Genus", "species": "Species", "subSpecies": "Subspecies"}
+SIMPLE = {"kingdom": "kingdom", "phylum": "phylum", "class": "class", "order": "order", "family": "family", "genus": "genus", "subGenus": "subgenus", "species": "speciesEpithet"}
+CLASSIC_SPACE, SIMPLE_SPACE, RANK_SPACE = "http://digir.net/schema/conceptual/darwin/2003/1.0", "http://rs.tdwg.org/dwc/terms/", "http://rs.tdwg.org/UBIF/2006/Schema/1.1"
 #: Fixed value: digits of the catalogue's identifiers.
 BASE29 = "23456789BCDFGHJKLMNPQRSTVWXYZ"
 
@@ -120,3 +126,25 @@ def segment_name(c: Column) -> Column:
     one = r"^(\p{Lu}[\p{Ll}-]+)(?: (.*))?$"
     two = c.rlike(pattern)
     return F.struct(F.when(two, F.trim(F.regexp_extract(c, pattern, 1))).otherwise("").alias("prefix"), F.when(two, F.regexp_extract(c, pattern, 2)).otherwise(F.regexp_extract(c, one, 1)).alias("epithet"), F.when(two, F.regexp_extract(c, pattern, 3)).otherwise(F.regexp_extract(c, one, 2)).alias("authority"))
+
+
+def _other(rank: str) -> str:
+    return rank.lower() + ("Epithet" if NAMES.index(rank) >= NAMES.index("species") else "")
+
+
+def to_dwc(epithets: Column, authority: Column, simple: bool = False) -> Column:
+    """A name as XML with an element for each rank, then its rank and authority; classic or simple elements."""
+    own, space = (SIMPLE, SIMPLE_SPACE) if simple else (CLASSIC, CLASSIC_SPACE)
+    rank = most_significant_rank(epithets)
+    each = [refs.element(f"dwc:{own[n]}" if n in own else f"dwcranks:{_other(n)}", F.try_element_at(epithets, F.lit(n))) for n in NAMES]
+    end = F.when(rank.isNotNull(), F.concat(refs.element("dwc:taxonRank", F.lower(rank)), refs.element("dwc:scientificNameAuthorship", authority))).otherwise("")
+    return F.concat(F.lit(f'<taxonomicName xmlns:dwc="{space}" xmlns:dwcranks="{RANK_SPACE}">'), *each, end, F.lit("</taxonomicName>"))
+
+
+def from_dwc(xml: Column) -> Column:
+    """struct(epithets, authority) of such XML, whichever form its elements have; of repeated elements the first."""
+    pattern = F.lit(r"<(?:\w+:)?(\w+)>([^<]*)</")
+    names, values = F.regexp_extract_all(xml, pattern, F.lit(1)), F.regexp_extract_all(xml, pattern, F.lit(2))
+    get = lambda e: F.when(F.array_contains(names, e), refs.xml_unescape(F.get(values, F.array_position(names, e).cast("int") - 1)))
+    found = [F.coalesce(*(get(e) for e in dict.fromkeys(x for x in (CLASSIC.get(n), SIMPLE.get(n), _other(n)) if x))) for n in NAMES]
+    return F.struct(F.map_filter(F.map_from_arrays(F.array(*map(F.lit, NAMES)), F.array(*found)), lambda _, v: v.isNotNull()).alias("epithets"), get("scientificNameAuthorship").alias("authority"))

@@ -165,6 +165,43 @@ def assign_cluster(tree: DataFrame, records: DataFrame, clusters: DataFrame) ->
     return records.select("id").join(near, "id", "left").select("id", F.coalesce("cluster", F.lit("other")).alias("cluster"))
 
 
+def _upper(records: DataFrame, last: str) -> DataFrame:
+    """(id, rank, epithet): the records of primary ranks down to last; few, as there are few such names."""
+    return records.filter(tx.is_primary(F.col("rank")) & (tx.level(F.col("rank")) <= tx.NAMES.index(last) + 1)).select("id", "rank", "epithet")
+
+
+def kingdom_paths(tree: DataFrame, records: DataFrame, last: str = "family") -> DataFrame:
+    """(id, path) of the records of primary ranks down to last: their primary ancestors' epithets from the top, "<rank>" for a rank left out between, then Zzz, joined by dots."""
+    upper = _upper(records, last)
+    ranks = [n for n, g, _ in tx.RANKS if n == g][: [n for n, g, _ in tx.RANKS if n == g].index(last) + 1]
+    lines = tree.join(upper.select(F.col("id").alias("anc"), "rank", "epithet"), "anc").join(upper.select(F.col("id").alias("desc"), F.col("rank").alias("own")), "desc")
+    of = lines.groupBy(F.col("desc").alias("id"), "own").agg(*(F.min_by(F.when(F.col("rank") == n, F.col("epithet")), F.when(F.col("rank") == n, F.col("dist"))).alias(f"at_{n}") for n in ranks))
+    seen, parts = F.lit(False), []
+    for k, n in enumerate(ranks):
+        within = F.lit(k) < F.array_position(F.array(*map(F.lit, ranks)), F.col("own"))
+        parts.append(F.when(within, F.coalesce(F.col(f"at_{n}"), F.when(seen, f"<{n}>"))))
+        seen = seen | F.col(f"at_{n}").isNotNull()
+    return of.select("id", F.concat_ws(".", *parts, F.lit("Zzz")).alias("path"))
+
+
+def assign_cluster_by_path(tree: DataFrame, records: DataFrame, clusters: DataFrame, last: str = "family") -> DataFrame:
+    """(id, cluster): of configured clusters (path, cluster), that of the longest path on the way down to the record; else "other"."""
+    return assign_cluster(tree, records, kingdom_paths(tree, records, last).join(clusters, "path").select(F.col("id").alias("anc"), "cluster"))
+
+
+def size_report(tree: DataFrame, records: DataFrame, least: int = 100_000, last: str = "family") -> DataFrame:
+    """(id, path, size): where to cut a catalogue, from kingdoms down. A record of at least so many is followed by its primary children, unless one of them is smaller than that but more than half of it."""
+    upper = _upper(records, last)
+    sized = upper.join(subtree_sizes(tree), "id").select("id", "rank", "size")
+    parents = primary_parent(tree, records).join(sized, "id").select("primary_parent", F.col("size").alias("child"))
+    heavy = parents.join(sized.select(F.col("id").alias("primary_parent"), "size"), "primary_parent").filter((F.col("child") < least) & (F.col("size") < 2 * F.col("child"))).select(F.col("primary_parent").alias("id")).distinct()
+    opened = sized.filter(F.col("size") >= least).join(heavy, "id", "left_anti").select(F.col("id").alias("anc"), F.lit(True).alias("open"))
+    above = tree.filter("dist > 0").join(upper.select(F.col("id").alias("anc"), "rank"), "anc").join(upper.select(F.col("id").alias("desc")), "desc").join(opened, "anc", "left")
+    shut = above.groupBy(F.col("desc").alias("id")).agg(F.count(F.when(F.col("open").isNull(), 1)).alias("shut"), F.max((F.col("rank") == "kingdom").cast("int")).alias("rooted"))
+    kept = sized.join(shut, "id", "left").filter((F.col("rank") == "kingdom") | ((F.col("shut") == 0) & (F.col("rooted") == 1)))
+    return kept.join(kingdom_paths(tree, records, last), "id").select("id", "path", "size")
+
+
 def redirect(removed: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, target): each id's replacement, followed over chains of removed (id, target), self-loops ignored; null if a chain ends in nothing."""
     links = removed.filter("target IS NULL OR target <> id").select("id", F.col("target").alias("parent"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import refs as r
+from ..operators import markup as mk
 from ..operators import records as rec
 from ..operators import tokens as tk
 from ..session import table
@@ -111,10 +112,51 @@ def finder(s, d):
     return j.filter(ok).select("id", F.array_join(name, " & ").alias("author"), r.period_end(C("x.publicationDate")).alias("date"), F.regexp_extract("x.publishedIn", r"^(.*) \((.*)\)$", 1).alias("journal"), F.regexp_extract("x.publishedIn", r"^(.*) \((.*)\)$", 2).alias("series"))
 
 
+#: Records as XML in Spark's SQL: persons as elements, repeated or an attribute, old names, typed parts.
+GENERIC_XML = """concat('<bibRef', CASE WHEN id % 4 = 0 THEN concat(' author="', concat_ws(' &amp; ', author, author2), '"') ELSE '' END, '>',
+CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('<author repeatedAuthors="', concat_ws(' &amp; ', author, author2), '"/>') ELSE concat(coalesce(concat('<author affiliation="Museum">', author, '</author>'), ''), coalesce(concat('<author>', author2, '</author>'), '')) END,
+'<title>', replace(replace(title, '<', '&lt;'), '>', '&gt;'), '</title>', coalesce(concat('<year>', year, '</year>'), ''), coalesce(CASE WHEN id % 2 = 0 THEN concat('<pageData>', pagination, '</pageData>') ELSE concat('<pagination>', pagination, '</pagination>') END, ''),
+coalesce(concat('<hostTitle>', volume_title, '</hostTitle>'), ''), coalesce(concat('<part>', volume, '</part>'), ''), coalesce(concat('<part type="issue">', issue, '</part>'), ''),
+'<journalOrPublisher>', CASE WHEN id % 3 = 0 THEN 'The Journal' ELSE 'Berlin: The Press' END, '</journalOrPublisher>', coalesce(concat('<ID type="DOI">', doi, '</ID>'), ''), '</bibRef>')"""
+#: What each of these records holds, told from the columns.
+HELD = f"""WITH {R}, g AS (SELECT *, coalesce(volume, issue) AS num, CASE WHEN id % 3 = 0 THEN 'The Journal' ELSE 'Berlin: The Press' END AS jop FROM r)
+SELECT id, concat_ws(' & ', author, author2) AS authors, CASE WHEN id % 4 > 1 AND author IS NOT NULL THEN 'Museum' END AS affiliation, title, year, pagination, volume_title AS volumetitle, volume, issue, doi,
+CASE WHEN num IS NOT NULL THEN jop END AS journal, CASE WHEN num IS NULL THEN CASE WHEN id % 3 = 0 THEN 'The Journal' ELSE 'The Press' END END AS publisher, CASE WHEN num IS NULL AND id % 3 > 0 THEN 'Berlin' END AS location FROM g"""
+
+
+def generic(s, d):
+    return mk.from_generic(records(s, d).select("id", F.expr(GENERIC_XML).alias("xml")), "xml")
+
+
+def held(rows):
+    """The columns of a record."""
+    x = C("record")
+    return rows.select("id", F.array_join(F.transform(x["authors"], lambda a: a["name"]), " & ").alias("authors"), F.get(x["authors"], F.lit(0))["details"]["affiliation"].alias("affiliation"), *(x["fields"][n].alias(n.lower()) for n in ("title", "year", "pagination", "volumeTitle", "volume", "issue", "journal", "publisher", "location")), x["ids"]["DOI"].alias("doi"))
+
+
+def through_attributes(s, d):
+    m = generic(s, d).select("id", mk.to_attributes(C("record"), "bib:", F.create_map(*map(F.lit, ("bib:old", "1", "own", "2")))).alias("m"))
+    return held(mk.from_attributes(m.filter("m['own'] = '2' AND m['bib:old'] IS NULL"), "m", "bib:"))
+
+
+def through_mods(s, d):
+    return held(mk.from_mods(generic(s, d).select("id", mk.to_mods(C("record")).alias("mods")), "mods"))
+
+
+def told(s, d):
+    a = generic(s, d).select("id", mk.document_attributes(C("record")).alias("a"))
+    return a.select("id", *(C("a")[n].alias(n.lower().replace("-", "_")) for n in ("docAuthor", "docTitle", "docDate", "docOrigin", "pageNumber", "lastPageNumber", "ID-DOI")))
+
+
 RULES = '<types><type name="url" strictness="9"><require any="doi"/></type></types>'
 
 QUERIES = {
     "b1_from_xml": (lambda s, d: xml(s, d).select("id", F.xpath("xml", F.lit("bibRef/author/text()")).alias("a"), F.xpath_string("xml", F.lit("bibRef/title")).alias("title"), F.xpath_string("xml", F.lit("bibRef/pagination")).alias("pages")).select("id", F.array_join("a", " & ").alias("authors"), "title", "pages"), f"WITH {R} SELECT id, array_to_string({SQL_AUTHORS}, ' & ') AS authors, title, coalesce(pagination, '') AS pages FROM r"),
+    "b1_generic_xml": (lambda s, d: held(generic(s, d)), HELD),
+    "b3_attributes_round_trip": (through_attributes, HELD),
+    "b4_b6_mods_round_trip": (through_mods, HELD),
+    "b24_told_of_documents": (told, f"WITH h AS ({HELD}) SELECT id, CASE WHEN authors <> '' THEN authors END AS docauthor, title AS doctitle, year AS docdate, CASE WHEN pagination IS NOT NULL OR volumetitle IS NOT NULL THEN coalesce(journal || ' ' || coalesce(volume, issue), volumetitle, location || ': ' || publisher, publisher) END AS docorigin, split_part(pagination, '-', 1) AS pagenumber, CASE WHEN pagination LIKE '%-%' THEN split_part(pagination, '-', 2) END AS lastpagenumber, doi AS id_doi FROM h"),
+    "b26_clean_mods": (lambda s, d: records(s, d).select("id", mk.clean_mods(F.concat(F.lit('<mods:mods><page n="'), "id", F.lit('"><mods:title>A <b>'), F.coalesce("year", F.lit("")), F.lit("</b> B</mods:title></page></mods:mods>"))).alias("mods")), f"WITH {R} SELECT id, '<mods:mods xmlns:mods=\"{mk.MODS}\"><mods:title>A ' || coalesce(year, '') || ' B</mods:title></mods:mods>' AS mods FROM r"),
     "b2_journal_or_publisher": (lambda s, d: raw(s, d).select("id", r.journal_or_publisher(C("jop"), C("id") % 4 == 0).alias("x")).select("id", "x.*"), f"WITH {W} SELECT id, CASE WHEN id % 4 = 0 THEN jop END AS journal, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 3 = 0 THEN split_part(jop, ': ', 2) WHEN id % 3 = 1 THEN 'Press' ELSE jop END AS publisher, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 3 = 0 THEN 'Berlin' WHEN id % 3 = 1 THEN split_part(jop, ', ', 2) END AS location FROM w"),
     "b3_prefixed_attributes": (lambda s, d: records(s, d).select("id", rec.with_prefix(F.create_map(*(x for n in ("year", "journal", "volume") for x in (F.lit(n), C(n)))), "bib-").alias("m")).select("id", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"), F.element_at(rec.without_prefix(C("m"), "bib-"), "journal").alias("journal")), f"WITH {R} SELECT id, array_to_string(list_filter([CASE WHEN journal IS NOT NULL THEN 'bib-journal' END, CASE WHEN volume IS NOT NULL THEN 'bib-volume' END, CASE WHEN year IS NOT NULL THEN 'bib-year' END], lambda x: x IS NOT NULL), ',') AS keys, journal FROM r"),
     "b4_mods_pages": (lambda s, d: records(s, d).select("id", F.concat(F.lit("<mods><part><extent><start>"), F.split("pagination", "-")[0], F.lit("</start><end>"), F.element_at(F.split("pagination", "-"), -1), F.lit("</end></extent></part></mods>")).alias("m")).select("id", F.expr("xpath_int(m, 'mods/part/extent/start')").alias("first"), F.expr("xpath_int(m, 'mods/part/extent/end')").alias("last")), f"WITH {R} SELECT id, split_part(pagination, '-', 1)::INT AS first, list_extract(str_split(pagination, '-'), -1)::INT AS last FROM r"),

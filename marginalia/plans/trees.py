@@ -102,11 +102,18 @@ def flora(s, d):
     return s.sql(FLORA, **{n: table(s, d, n) for n in ("nation", "customer", "orders")}).withColumn("valid", F.lit(None).cast("string")).withColumn("name", F.lit(None).cast("string")).withColumn("genus", F.lit(None).cast("string"))
 
 
+#: Paths of configured clusters: a region, a nation of another one, and a region that holds it.
+PATHS = [("AMERICA.Zzz", "A"), ("AMERICA.<phylum>.<class>.<order>.Nation3.Zzz", "B"), ("EUROPE.Zzz", "C")]
+
+
 def attached(s, d):
     return rp.reattached(rp.fitted(flora(s, d)))
 
 
 QUERIES = {
+    "e24_clusters_by_path": (lambda s, d: tr.assign_cluster_by_path(close(s, d), tree(s, d), s.createDataFrame(PATHS, "path string, cluster string")), f"WITH RECURSIVE {CL}, k AS (SELECT descendant AS id, max(CASE anc WHEN 'r1' THEN 'A' WHEN 'n3' THEN 'B' WHEN 'r3' THEN 'C' END) AS cluster FROM c WHERE anc IN ('r1', 'n3', 'r3') GROUP BY 1) SELECT t.id, coalesce(cluster, 'other') AS cluster FROM t LEFT JOIN k ON k.id = t.id"),
+    "e24_kingdom_paths": (lambda s, d: tr.kingdom_paths(close(s, d), tree(s, d)), f"WITH {T} SELECT id, epithet || '.Zzz' AS path FROM t WHERE rank = 'kingdom' UNION ALL SELECT f.id, k.epithet || '.<phylum>.<class>.<order>.' || f.epithet || '.Zzz' FROM t f JOIN t k ON k.id = f.parent WHERE f.rank = 'family'"),
+    "e26_cuts": (lambda s, d: tr.size_report(close(s, d), tree(s, d), 3000), f"WITH RECURSIVE {CL}, z AS (SELECT t.*, n FROM t JOIN (SELECT anc, count(*) AS n FROM c GROUP BY 1) ON anc = id), o AS (SELECT id, epithet FROM z k WHERE rank = 'kingdom' AND n >= 3000 AND NOT EXISTS (SELECT 1 FROM z f WHERE f.parent = k.id AND f.n < 3000 AND k.n < 2 * f.n)) SELECT id, epithet || '.Zzz' AS path, n AS size FROM z WHERE rank = 'kingdom' UNION ALL SELECT z.id, o.epithet || '.<phylum>.<class>.<order>.' || z.epithet || '.Zzz', n FROM z JOIN o ON o.id = z.parent WHERE rank = 'family'"),
     "c2_find_case": (lambda s, d: tr.find(tr.postings(tree(s, d)), tree(s, d).withColumn("valid", F.when(C("rank") == "species", "x")), "Genus1", "genus", "species", True, case_sensitive=True, synonyms=False).select("id"), f"WITH {T} SELECT id FROM t WHERE starts_with(epithet, 'Genus1') AND rank = 'genus'"),
     "c10_modes": (lambda s, d: functools.reduce(lambda a, m: a.join(tr.epithet_prefix_matches(tr.closure(flora(s, d)), flora(s, d), ["Gen7"], m).withColumn(m, F.lit(True)), "id", "left"), tr.MODES, flora(s, d).select("id")).filter("lenient"), f"WITH {FL}, j AS (SELECT l.id, l.rank, p.epithet AS pe, p.rank AS pr, g.epithet AS ge FROM l JOIN l p ON p.id = l.parent LEFT JOIN l g ON g.id = p.parent), k AS (SELECT id, CASE WHEN pe = 'Gen7' AND rank = 'species' THEN true END AS s, pe = 'Gen7' OR pr IN ('species', 'subSpecies') AND ge = 'Gen7' AS lenient FROM j) SELECT id, s AS strict, s AS intermediate, lenient FROM k WHERE lenient"),
     "c10_species_needed": (lambda s, d: tr.epithet_prefix_matches(tr.closure(flora(s, d)), flora(s, d), ["Gen", "SP"], "intermediate", prefix=True), f"WITH {FL} SELECT l.id FROM l JOIN l p ON p.id = l.parent WHERE p.rank = 'species' AND l.rank = 'subSpecies'"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import taxa as x
 from ..functions import values as v
 from ..operators import geo
+from ..operators import markup as mk
 from ..session import table
 
 C = F.col
@@ -71,6 +72,21 @@ def cleaned(s, d):
 
 SEG = "CASE p_size % 4 WHEN 0 THEN 'Abies' WHEN 1 THEN 'Abies ' || split_part(p_name, ' ', 1) || ' Mill.' WHEN 2 THEN 'Abies alba var. ' || split_part(p_name, ' ', 2) || ' (L.) Mill.' ELSE 'Abies L.' END"
 
+def dwc(s, d):
+    xml = F.when(C("id") % 2 == 0, x.to_dwc(C("e"), C("authority"), simple=True)).otherwise(x.to_dwc(C("e"), C("authority")))
+    back = taxa(s, d).select("id", xml.alias("xml")).withColumn("n", x.from_dwc(C("xml")))
+    return back.select("id", *(C("n")["epithets"][r].alias(r.lower()) for r in ("genus", "subGenus", "species", "subSpecies", "variety")), C("n")["authority"].alias("authority"), F.nullif(F.regexp_extract("xml", "<(dwc:[sS]pecies\\w*)>", 1), F.lit("")).alias("element"))
+
+
+def tagged_names(s, d):
+    """Names tagged in text: some attributes are stated, the rest is told by the text."""
+    more = F.create_map(F.lit("hybrid"), F.when(C("hybrid"), "x"), F.lit("authorityName"), F.when(C("id") % 3 == 0, "Stated"), F.lit("authorityYear"), F.when(C("id") % 5 == 0, "1888"))
+    attributes = F.map_concat("e", F.map_filter(more, lambda _, y: y.isNotNull()))
+    text = F.concat_ws(" ", "genus", "subgenus", "species", "subspecies", "variety", "authority")
+    n = mk.names_from_attributes(taxa(s, d).select("id", attributes.alias("a"), text.alias("t")), "a", "t").select("id", "name.*")
+    return n.select("id", C("epithets")[x.most_significant_rank(C("epithets"))].alias("epithet"), "hybrid", "name", "year", "base_name", "base_year")
+
+
 QUERIES = {
     "m1_coercions": (lambda s, d: events(s, d).select("event_id", v.number_to_boolean(C("value") - 20).alias("positive"), v.string_to_boolean(F.when(C("event_type") != "view", C("event_type")).otherwise("")).alias("some"), F.floor(F.when(F.isnan(v.string_to_number(F.get_json_object("props", "$.k"))), -1).otherwise(v.string_to_number(F.get_json_object("props", "$.k")))).alias("k"), F.isnan(v.string_to_number(C("event_type"))).alias("nan"), v.array_to_string(F.split("event_type", "i")).alias("first"), v.map_to_number(F.create_map(F.lit("a"), C("value"))).alias("n")), "SELECT event_id, value - 20 > 0 AS positive, event_type <> 'view' AS some, json_extract(props, '$.k')::BIGINT AS k, true AS nan, split_part(event_type, 'i', 1) AS first, 1.0::DOUBLE AS n FROM events"),
     "m2_arrays_maps": (lambda s, d: events(s, d).withColumn("m", F.create_map(F.lit("type"), C("event_type"))).select("event_id", v.put(C("m"), F.lit("type"), F.lit("x"))["type"].alias("set"), v.put(C("m"), F.lit("type"), F.lit("x"), overwrite=False)["type"].alias("kept"), F.size(v.put(C("m"), F.lit("user"), F.lit("u"))).alias("n"), F.array_join(F.array_remove(F.array(F.lit("view"), C("event_type")), "view"), ",").alias("rest"), F.array_join(F.array_union(F.array(F.lit("view")), F.array("event_type")), ",").alias("both")), "SELECT event_id, 'x' AS \"set\", event_type AS kept, 2 AS n, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS rest, CASE WHEN event_type = 'view' THEN 'view' ELSE 'view,' || event_type END AS both FROM events"),
@@ -90,6 +106,8 @@ QUERIES = {
     "x6_parse_authority": (lambda s, d: taxa(s, d).select("id", x.parse_authority(x.split_authority(C("authority"))["basionym"]).alias("a")).select("id", "a.*"), f"WITH {T} SELECT id, CASE WHEN authority <> 'Miller, 2013' THEN 'Clement' END AS name, CASE WHEN authority <> 'Miller, 2013' THEN 1924 END AS year FROM t"),
     "x7_verbatim_authority": (lambda s, d: taxa(s, d).filter("species IS NOT NULL").select("id", x.verbatim_authority(F.concat_ws(" ", "genus", "species", "authority"), C("species")).alias("authority")), f"WITH {T} SELECT id, authority FROM t WHERE species IS NOT NULL"),
     "x8_show_authority": (lambda s, d: taxa(s, d).select("id", x.show_authority(F.when(C("hybrid"), "Clement"), F.lit("Miller")).alias("a")), f"WITH {T} SELECT id, CASE WHEN hybrid THEN '(Clement) Miller' ELSE 'Miller' END AS a FROM t"),
+    "x9_dwc_round_trip": (dwc, f"WITH {T} SELECT id, genus, subgenus, species, subspecies, variety, authority, CASE WHEN species IS NULL THEN NULL WHEN id % 2 = 0 THEN 'dwc:speciesEpithet' ELSE 'dwc:Species' END AS element FROM t"),
+    "x10_tagged_names": (tagged_names, f"WITH {T}, k AS (SELECT *, authority LIKE '%Miller%' AS m, CASE WHEN id % 5 = 0 THEN 1888 END AS y FROM t) SELECT id, coalesce(variety, subspecies, species, subgenus, genus) AS epithet, hybrid AND species IS NOT NULL AND coalesce(subspecies, variety) IS NULL AS hybrid, CASE WHEN id % 3 = 0 THEN 'Stated' WHEN m THEN 'Miller' END AS name, CASE WHEN id % 3 > 0 AND m THEN 2013 ELSE y END AS year, CASE WHEN authority LIKE '%Clement%' THEN 'Clement' END AS base_name, CASE WHEN authority LIKE '%Clement%' THEN 1924 END AS base_year FROM k"),
     "x9_dwc_xml": (lambda s, d: taxa(s, d).select("id", F.concat(F.lit("<t><genus>"), "genus", F.lit("</genus>"), F.coalesce(F.concat(F.lit("<specificEpithet>"), "species", F.lit("</specificEpithet>")), F.lit("")), F.lit("</t>")).alias("x")).select("id", "x", F.expr("xpath_string(x, 't/genus')").alias("genus"), F.expr("xpath_string(x, 't/specificEpithet')").alias("species")), f"WITH {T} SELECT id, '<t><genus>' || genus || '</genus>' || coalesce('<specificEpithet>' || species || '</specificEpithet>', '') || '</t>' AS x, genus, coalesce(species, '') AS species FROM t"),
     "x10_from_attributes": (lambda s, d: taxa(s, d).select("id", F.coalesce("species", F.lower(F.substring("genus", 1, 4))).alias("epithet"), x.name_string(C("e")).alias("name")), f"WITH {T} SELECT id, coalesce(species, lower(substr(genus, 1, 4))) AS epithet, {SQL_NAME.format(h='false')} AS name FROM t"),
     "e1_normalise": (cleaned, f"SELECT p_partkey, CASE WHEN p_partkey = 7 THEN 'seven' WHEN p_name LIKE 'small %' THEN 'tiny' ELSE replace({CLEAN}, 'red', 'rubra') END AS value FROM part"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import refs, taxa
-from marginalia.operators import abbrev, dates, layout, names, records, repair, tables, tokens, trees, votes
+from marginalia.operators import abbrev, dates, layout, markup, names, records, repair, tables, tokens, trees, votes
 from marginalia.sources import files
 from marginalia.streaming import requests
 
@@ -212,3 +212,57 @@ def test_patterns_go_on_until_nothing_changes(spark):
     with pytest.raises(Exception, match="without end"):
         v("x", [("x", "$_xx_$")])
     assert value(spark, values.normal_spaces(F.lit("a ´ b ( c )"))) == "a  b (c)"
+
+
+GENERIC = """<bibRef editor="E, F &amp; G, H"><author affiliation="Bern">Doe, J.</author><author repeatedAuthors="Roe, K. &amp; Poe, L."/><title>On &lt;x&gt;
+ y</title><pageData>12-19</pageData><part>3</part><part type="issue">4</part><journalOrPublisher>Zoo: Press</journalOrPublisher><ID type="DOI">10.1/x</ID><ID>no</ID></bibRef>"""
+
+
+def test_records_in_and_out_of_markup(spark):
+    given = spark.createDataFrame([(1, GENERIC), (2, '<bibRef author="A, B &amp; C, D" title="T" type="book" journalOrPublisher="Press, Berlin"/>'), (3, "<bad"), (4, None)], "id int, xml string")
+    rows = markup.from_generic(given, "xml")
+    old = F.create_map(*map(F.lit, ("bib-old", "1", "own", "2")))
+    rows = markup.from_attributes(rows.withColumn("m", markup.to_attributes(F.col("record"), "bib-", old)), "m", "bib-", "back")
+    got = {r.id: r for r in markup.from_mods(rows.withColumn("mods", markup.to_mods(F.col("record"))), "mods", "again").collect()}
+    one = got[1].record
+    assert [(a.name, a.details) for a in one.authors] == [("Doe, J.", {"affiliation": "Bern"}), ("Roe, K.", {}), ("Poe, L.", {})]
+    assert one.fields == {"title": "On <x> y", "journal": "Zoo: Press", "pagination": "12-19", "volume": "3", "issue": "4"}
+    assert (one.editors, one.ids, one.type) == (["E, F", "G, H"], {"DOI": "10.1/x"}, None)
+    assert got[2].record.fields == {"title": "T", "publisher": "Press", "location": "Berlin"}
+    assert got[1].m["bib-author-affiliation"] == "Bern &&&  &&& "
+    for r in got.values():
+        assert r.back == r.record == r.again
+        assert r.m["own"] == "2" and "bib-old" not in r.m
+    assert got[3].record.authors == [] and got[4].record.fields == {}
+
+
+def test_mods_of_other_tools(spark):
+    xml = """<mods xmlns="http://www.loc.gov/mods/v3"><titleInfo><title>A title</title></titleInfo><name><role><roleTerm type="text">Author</roleTerm></role><namePart>Doe, J.</namePart><nameIdentifier type="ORCID">0-1</nameIdentifier></name>
+    <classification>Journal Article</classification><relatedItem type="host"><titleInfo><title>Zoo</title></titleInfo><part><detail type="volume"><number>7</number></detail><detail type="title"><title>Papers</title></detail><extent unit="page"><start>5</start><end>5</end></extent><date>1999</date></part></relatedItem></mods>"""
+    r = markup.from_mods(spark.createDataFrame([(xml,)], "xml string"), "xml").first().record
+    assert r.fields == {"title": "A title", "journal": "Zoo", "volume": "7", "volumeTitle": "Papers", "pagination": "5", "year": "1999"}
+    assert [(a.name, a.details) for a in r.authors] == [("Doe, J.", {"ORCID": "0-1"})] and r.type == "journal article"
+
+
+def test_names_in_and_out_of_markup(spark):
+    e = F.create_map(*map(F.lit, ("genus", "Poa", "section", "Ochlopoa", "species", "annua", "form", "a & b")))
+    for simple in (False, True):
+        n = value(spark, taxa.from_dwc(taxa.to_dwc(e, F.lit("(L.) Doe"), simple)))
+        assert (n.epithets, n.authority) == ({"genus": "Poa", "section": "Ochlopoa", "species": "annua", "form": "a & b"}, "(L.) Doe")
+    assert value(spark, taxa.from_dwc(F.lit("<x><y>1</y></x>"))).epithets == {}
+
+
+def test_cuts_and_clusters_by_path(spark):
+    rows = [("k", None, "kingdom", "Kin"), ("p1", "k", "phylum", "One"), ("p2", "k", "phylum", "Two"), ("f1", "p1", "family", "Fa"), ("f2", "k", "family", "Fb"), *((f"s{i}", "f1", "species", "s") for i in range(6)), *((f"t{i}", "p2", "species", "t") for i in range(5))]
+    t = spark.createDataFrame(rows, "id string, parent string, rank string, epithet string")
+    c = trees.closure(t)
+    paths = {r.id: r.path for r in trees.kingdom_paths(c, t).collect()}
+    assert paths == {"k": "Kin.Zzz", "p1": "Kin.One.Zzz", "p2": "Kin.Two.Zzz", "f1": "Kin.One.<class>.<order>.Fa.Zzz", "f2": "Kin.<phylum>.<class>.<order>.Fb.Zzz"}
+    sizes = {r.id: r.size for r in trees.size_report(c, t, 7).collect()}
+    assert sizes == {"k": 16, "p1": 8, "p2": 6, "f2": 1, "f1": 7}
+    assert set(r.id for r in trees.size_report(c, t, 17).collect()) == {"k"}
+    heavy = t.filter("id not like 't%'")
+    assert set(r.id for r in trees.size_report(trees.closure(heavy), heavy, 9).collect()) == {"k"}
+    clusters = spark.createDataFrame([("Kin.Zzz", "A"), ("Kin.One.Zzz", "B")], "path string, cluster string")
+    got = {r.id: r.cluster for r in trees.assign_cluster_by_path(c, t, clusters).collect()}
+    assert (got["k"], got["f1"], got["s0"], got["t0"]) == ("A", "B", "B", "A")
