@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, embeddings, jaccard, langid, media, mixing, negatives, packing, pii, scoring, warc
+from . import align, chat, embeddings, jaccard, langid, media, mixing, negatives, packing, pii, rules, scoring, warc
 from .common import table
 
 
@@ -67,10 +67,15 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", own), F.col("vec_id") % 50 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat": op1_chat, "op2_audio": op2_audio, "op3_language": op3_language, "op4_warc": op4_warc, "op5_packing": op5_packing, "op6_jaccard": op6_jaccard, "op7_pii": op7_pii, "op8_scoring": op8_scoring, "op9_embeddings": op9_embeddings, "op10_mixing": op10_mixing, "op11_align": op11_align, "op12_negatives": op12_negatives}
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat": op1_chat, "op2_audio": op2_audio, "op3_language": op3_language, "op4_warc": op4_warc, "op5_packing": op5_packing, "op6_jaccard": op6_jaccard, "op7_pii": op7_pii, "op8_scoring": op8_scoring, "op9_embeddings": op9_embeddings, "op10_mixing": op10_mixing, "op11_align": op11_align, "op12_negatives": op12_negatives, "op13_rules": op13_rules}
 ORACLES: dict[str, str] = {
     "op10_mixing": mixing.ORACLE,
     "op12_negatives": negatives.ORACLE,
+    "op13_rules": rules.oracle(),
     "op4_warc": """
 WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, url, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
