@@ -31,6 +31,8 @@ LOW, HIGH = 50, 95
 BLOCK, BLOCK_BYTES = 1 << 15, 1 << 24
 #: Anchors and candidates of a product; the first products of a task are smaller, until its lists are full.
 ROWS, FIRST, COLUMNS = 512, 256, 4096
+#: The largest double below 2^63.
+_LARGEST = 2.0**63 - 1024
 
 
 @dataclass
@@ -131,9 +133,11 @@ def _negatives(candidates: DataFrame, block: _Block, most: int, low: int, high:
         b = shared.value
         n, k = b.scores.shape
         some = ~np.isnan(b.scores)
-        whole = np.where(some, b.scores, 0).astype(np.int64)
-        # low * positive <= 100 * score <= high * positive, for whole scores
-        least, largest = np.where(some, -(-low * whole // 100), 1).astype(float), np.where(some, high * whole // 100, 0).astype(float)
+        exact = np.abs(b.scores) < 2**53
+        whole = np.where(exact, b.scores, 0).astype(np.int64)
+        # low * positive <= 100 * score <= high * positive, for whole scores; without a positive nothing fits
+        least = np.where(exact, -(-low * whole // 100), np.where(some, b.scores * (low / 100), np.inf))
+        largest = np.where(exact, high * whole // 100, np.where(some, b.scores * (high / 100), -np.inf))
         best = _Best(n * k, most)
         for _, ident, label, x in _chunks(batches, b.x.shape[1], scale):
             for lo in range(0, n, ROWS):
@@ -143,7 +147,7 @@ def _negatives(candidates: DataFrame, block: _Block, most: int, low: int, high:
                 for p in range(k):
                     at = np.arange(lo, min(lo + ROWS, n)) * k + p
                     bound = np.maximum(least[part, p], best.score[at, -1])
-                    u, v = np.nonzero((score >= bound[:, None]) & (score <= largest[part, p][:, None]))
+                    u, v = np.nonzero((score >= bound[:, None]) & (score <= largest[part, p][:, None]) & (score > -np.inf))
                     if len(u):
                         best.add(at[u], score[u, v], ident[v])
         yield _told(best)
@@ -151,6 +155,11 @@ def _negatives(candidates: DataFrame, block: _Block, most: int, low: int, high:
     return _merge(candidates.mapInArrow(run, "list int, score double, id long"), most)
 
 
+def _long(score: str) -> Column:
+    """A double as a long, at whose ends it ends."""
+    return F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), score)).cast("long")
+
+
 def _told(best: _Best) -> pa.RecordBatch:
     at, rank = np.nonzero(best.score > -np.inf)
     return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(best.score[at, rank]), pa.array(best.id[at, rank])], names=["list", "score", "id"])
@@ -232,7 +241,7 @@ def _triples(candidates: DataFrame, block: _Block, ids: np.ndarray, positives: i
     names = spark.createDataFrame(pa.table({"list": (at * positives + rank).astype(np.int32), "anchor_id": ids[at], "positive_id": own[at, rank], "positive_score": told.column("score").to_numpy()}))
     mined = _negatives(candidates, block, negatives, *window, scale).join(F.broadcast(names), "list")  # as many rows as the block has positives
     return materialise(
-        mined.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), F.col("positive_score").cast("long").alias("positive_score"), F.col("score").cast("long").alias("negative_score")),
+        mined.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), _long("positive_score").alias("positive_score"), _long("score").alias("negative_score")),
         "triples",
     )
 
