@@ -23,16 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, slices
-from .packing import Encoder, _byte_of_character
+from .packing import LONG_RUN, Encoder, _byte_of_character
 
 #: So many of the most frequent pairs of ids, at most, are told to all tasks (16 bytes each); texts' other links are joined with their counts.
 TOLD = 1 << 20
 #: Tokens of a slice of texts that are aligned together.
-TOKENS = 1 << 18
+TOKENS = 1 << 16
 
 
 class _Plain(Encoder):
-    """An encoder to which the texts of added tokens are plain text."""
+    """An encoder to which the texts of added tokens are plain text; cut says whether the last text was encoded piece by piece of its own bytes."""
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
@@ -46,6 +46,10 @@ class _Plain(Encoder):
         made.encode_special_tokens = True
         return made
 
+    def __call__(self, text: str) -> np.ndarray:
+        self.cut = self._fast is not None and (len(text) < LONG_RUN or not self._long.search(text))
+        return self._fast.encode_to_numpy(text, disallowed_special=()) if self.cut else np.array(self._own.encode(text, add_special_tokens=False).ids, np.uint32)
+
 
 class Tokenizers:
     """Ids of texts in two vocabularies, A of a byte-level tokenizers file and B of a sentencepiece model, and the bytes of their tokens."""
@@ -62,6 +66,7 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.length_a, self.length_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.digits = _digits(max(len(self.bytes_a), len(self.bytes_b)))
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(A's ids, B's ids) of each text with a space before it; none of both where a text is empty or either doesn't spell it exactly."""
@@ -72,11 +77,18 @@ class Tokenizers:
                 out.append(none)
                 continue
             raw, a = (" " + text).encode(), self.a(" " + text)
-            same = b"".join([self.bytes_b[i] for i in b]) == raw and a.max(initial=0) < len(self.bytes_a) and b"".join([self.bytes_a[i] for i in a]) == raw
+            same = b"".join(map(self.bytes_b.__getitem__, b)) == raw and a.max(initial=0) < len(self.bytes_a) and self._spells(a, raw)
             out.append((a, np.array(b, np.uint32)) if same else none)
         return out
 
 
+    def _spells(self, a: np.ndarray, raw: bytes) -> bool:
+        """Whether A's tokens spell raw. The fast encoder's are pieces of it in order, so it is enough that none is missing."""
+        if self.a.cut:
+            return int(self.length_a[a].sum()) == len(raw)
+        return b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw
+
+
 @lru_cache(maxsize=2)
 def tokenizers(a: str, b: str) -> Tokenizers:
     return Tokenizers(a, b)
@@ -117,7 +129,18 @@ def overlaps(length_a: np.ndarray, length_b: np.ndarray) -> Alignment:
     return Alignment(first, end, group_b[first], group_b)
 
 
-def spell(a: np.ndarray, b: np.ndarray, found: Alignment, texts_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the numbers below n, their decimal digits and a place for a mark behind them, and which of these count."""
+    width = len(str(n))
+    powers = 10 ** np.arange(width - 1, -1, -1)
+    table = np.zeros((n, width + 1), np.uint8)
+    table[:, :width] = np.arange(n)[:, None] // powers % 10 + ord("0")
+    keep = np.ones(table.shape, bool)
+    keep[:, : width - 1] = np.arange(n)[:, None] >= powers[:-1]
+    return table, keep
+
+
+def spell(a: np.ndarray, b: np.ndarray, found: Alignment, texts_b: np.ndarray, digits: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, ends): `a1,a2|b1;a3|b2,b3` of each text, laid end to end, and where each text's ends. texts_b: the text of each token of B, in order."""
     groups = int(found.group_b[-1]) + 1
     n_a, n_b = np.bincount(found.group_a, minlength=groups), np.bincount(found.group_b, minlength=groups)
@@ -128,15 +151,10 @@ def spell(a: np.ndarray, b: np.ndarray, found: Alignment, texts_b: np.ndarray) -
     mark[np.cumsum(n_a) + np.cumsum(n_b) - n_b - 1] = ord("|")
     ends = np.cumsum(n_a) + np.cumsum(n_b) - 1  # the last token of each group
     mark[ends] = ord(";")
-    digits = len(str(int(ids.max())))
-    powers = 10 ** np.arange(digits - 1, -1, -1)
-    table = np.empty((len(ids), digits + 1), np.uint8)
-    table[:, :digits] = ids[:, None] // powers % 10 + ord("0")
-    table[:, digits] = mark
-    keep = np.ones(table.shape, bool)
-    keep[:, : digits - 1] = ids[:, None] >= powers[:-1]
+    table, keep = digits[0][ids], digits[1][ids]
+    table[:, -1] = mark
     last = place_b[np.flatnonzero(np.append(texts_b[1:] != texts_b[:-1], True))]  # the last token of each text: nothing behind it
-    keep[last, digits] = False
+    keep[last, -1] = False
     return table[keep], np.cumsum(keep.sum(axis=1))[last]
 
 
@@ -255,12 +273,11 @@ def summaries(tokens: DataFrame, counts: DataFrame, a: str | None = None, b: str
             codes, text = x.a[u].astype(np.int64) << 32 | x.b[v], x.text_a[u]
             at = np.minimum(np.searchsorted(known, codes), max(0, len(known) - 1))
             hit = known[at] == codes if len(known) else np.zeros(len(codes), bool)
-            sums = np.zeros((2, x.rows), np.int64)
-            np.add.at(sums[0], text[hit], best[at[hit]])
-            np.add.at(sums[1], text[hit], n[at[hit]])
+            cuts = np.searchsorted(text, np.arange(x.rows + 1))  # links are in the texts' order
+            sums = [np.diff(np.append(0, np.cumsum(np.where(hit, of[at], 0) if len(known) else np.zeros(len(codes), np.int64)))[cuts]) for of in (best.astype(np.int64), n)]
             digests, start = [""] * x.rows, 0
             if len(x.b):
-                spelled, ends = spell(x.a, x.b, x.found, x.text_b)
+                spelled, ends = spell(x.a, x.b, x.found, x.text_b, both.digits)
                 for row, end in zip(np.unique(x.text_b).tolist(), ends.tolist(), strict=True):
                     digests[row] = hashlib.sha256(spelled[start:end]).hexdigest()
                     start = end

@@ -1,6 +1,6 @@
 """An exact Jaccard join of documents on word shingles.
 
-Sets are held as sorted arrays of 48-bit hashes. Two linked sets share a shingle in
+Sets are held as sorted arrays of 64-bit hashes. Two linked sets share a shingle in
 their prefixes (the first quarter of each in one global order), and their sizes are in
 one size band or in adjacent ones, so candidates meet in tiles of (prefix shingle, size
 band). Inside a tile, hashed bitmap signatures are compared bit by bit: the number of
@@ -28,7 +28,6 @@ from .graph import components
 WORDS = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-_MASK = np.uint64((1 << 48) - 1)
 #: Signatures have a power of two of bits in this range, four times the set's size or more; the larger of two is folded.
 LEAST_BITS, MOST_BITS = 128, 16384
 #: A shingle that so many prefixes share comes last in the global order; at most HEAVY_MOST of them, the most frequent.
@@ -56,31 +55,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]  # A-Z count as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_P = 0x100000001B3 | 1
 _POSITION = _mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
-
-
-class _Powers:
-    """Powers of _P and of its inverse modulo 2**64, grown as needed."""
-
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(cls.up) < n:
-            k = len(cls.up)
-            cls.up = np.concatenate([cls.up, cls.up * np.uint64(pow(_P, k, 1 << 64))])
-            cls.down = np.concatenate([cls.down, cls.down * np.uint64(pow(_P, -k, 1 << 64))])
-        return cls.up[:n], cls.down[:n]
+_LANE = 8
+_REST = np.array([(1 << 64) - 1, *((1 << 8 * k) - 1 for k in range(1, _LANE))], np.uint64)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts in one byte array, text k between offsets k and k + 1: each word's 64-bit hash, and how many words come before each offset."""
+    """Of texts in one byte array, text k between offsets k and k + 1: each word's 64-bit hash, and how many words come before each offset.
+
+    A word is cut into lanes of eight bytes. What a lane adds is a mix of its bytes and its place,
+    without any algebraic relation between lanes, so words of whatever pattern or length differ.
+    """
     n = len(data)
     inside = np.zeros(n + 2, bool)
     np.logical_not(_SPACE[data], out=inside[1:-1])
@@ -88,12 +77,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     edge[offsets + 1] = True  # a text starts
     start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge[1:]))
     end = np.flatnonzero(inside[:-1] & (~inside[1:] | edge[1:]))
-    up, down = _Powers.of(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    hashed = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _BASE)
-    return hashed, np.searchsorted(start, offsets)
+    size = end - start
+    lanes = -(-size // _LANE)
+    first = np.cumsum(lanes) - lanes
+    within = np.arange(int(lanes.sum())) - np.repeat(first, lanes)
+    padded = np.zeros(n + _LANE, np.uint8)
+    padded[:n] = _LOWER[data]
+    value = np.ndarray(n + 1, "<u8", padded.data, strides=(1,))[np.repeat(start, lanes) + _LANE * within]
+    value[first + lanes - 1] &= _REST[size % _LANE]
+    value = _mix(value ^ _mix((within + 1).astype(np.uint64) * _BASE))
+    total = np.add.reduceat(value, first) if len(first) else value
+    return _mix(total + size.astype(np.uint64) * _BASE), np.searchsorted(start, offsets)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -104,7 +98,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         mixed = np.zeros(count, np.uint64)
         for j in range(WORDS):
             mixed += hashed[j : j + count] * _POSITION[j]
-        mixed = _mix(mixed) & _MASK
+        mixed = _mix(mixed)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= WORDS:
@@ -112,21 +106,18 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
             out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
         elif b > a:
             short = np.array([b - a], np.uint64) * _BASE + (hashed[a:b] * _POSITION[: b - a]).sum(keepdims=True)
-            out.append(_mix(short) & _MASK)
+            out.append(_mix(short))
         else:
             out.append(np.empty(0, np.uint64))
     return out
 
 
 def pack(x: np.ndarray) -> bytes:
-    """48-bit numbers, six bytes each."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return x.astype("<u8").tobytes()
 
 
 def unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
+    return np.frombuffer(b, "<u8")
 
 
 def prefix_length(n: int) -> int:
@@ -199,7 +190,7 @@ def _heavy(sets: DataFrame) -> np.ndarray:
 
     distinct = sets.filter("head IS NOT NULL").select("head").mapInArrow(run, "tok long, n long")
     found = distinct.groupBy("tok").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY).orderBy(F.desc("n"), "tok").limit(HEAVY_MOST)
-    return np.sort(np.array([r.tok for r in found.collect()], np.uint64))
+    return np.sort(np.array([r.tok for r in found.collect()], np.int64).view(np.uint64))
 
 
 def _entries(sets: DataFrame, heavy: np.ndarray) -> DataFrame:

@@ -20,12 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialise, slices
 
-#: Rows that the classifier is fitted on, for each language and in all at most; of a longer text, a piece of so many characters from anywhere in it.
-SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 300, 20_000, 20_000
-#: More languages than this are an error: a limit of the classifier, whose rows would be too few for each.
-MOST_LANGUAGES = 500
+#: Rows that the classifier is fitted on, for each language and in all at most, but one of each language at least.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 300, 20_000
 BUCKETS, DIMS, ORDERS = 1 << 13, 16, (2, 3, 4)
 EPOCHS, RATE, BATCH = 10, 4.0, 16
 #: Of each text, as many words are a further, short text, so that the confidence in short ones is learned too.
@@ -86,15 +84,14 @@ def _features(texts: list[np.ndarray]) -> np.ndarray:
     return x
 
 
+Counts = tuple[np.ndarray, np.ndarray]  # buckets that n-grams of a text fall into, rising, and how many do
+
+
 class _Sparse:
     """Features of many texts; x[rows] are those of some of them."""
 
-    def __init__(self, texts: list[np.ndarray]) -> None:
-        self.rows = []
-        for t in texts:
-            counts = ngram_counts(t)
-            at = np.flatnonzero(counts)
-            self.rows.append((at.astype(np.uint16), counts[at] / max(np.float32(1), counts.sum())))
+    def __init__(self, texts: list[Counts]) -> None:
+        self.rows = [(at, n / max(np.float32(1), n.sum(dtype=np.float32))) for at, n in texts]
 
     def __getitem__(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros((len(rows), BUCKETS), np.float32)
@@ -103,41 +100,58 @@ class _Sparse:
         return out
 
 
+@dataclass(frozen=True)
+class Example:
+    """A labelled text: n-gram counts of the whole text, and of a few words of it, if these have a letter."""
+
+    lang: str
+    whole: Counts
+    short: Counts | None
+
+
+def _counted(text: str) -> Counts:
+    counts = ngram_counts(np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8))
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16), counts[at]
+
+
+def example(text: str, lang: str, h: int) -> Example:
+    """The example of a whole text; its hash h says which words are the short one."""
+    words, draw = text.split(), h % (1 << 62)
+    n = SNIPPETS[draw % len(SNIPPETS)]
+    short = words[draw // len(SNIPPETS) % max(1, len(words)) :][:n]
+    return Example(lang, _counted(text), _counted(" ".join(short)) if any(c.isalpha() for w in short for c in w) else None)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 5) -> Model:
-    """Fits a model; the same rows in the same order give the same model. Raises ValueError without rows."""
-    if not texts:
+def train(examples: list[Example], seed: int = 5) -> Model:
+    """Fits a model; the same examples in the same order give the same model. Raises ValueError without any."""
+    if not examples:
         raise ValueError("no labelled texts to learn from")
-    languages = tuple(sorted(set(labels)))
+    languages = tuple(sorted({e.lang for e in examples}))
+    place = {k: i for i, k in enumerate(languages)}
     rng = np.random.default_rng(seed)
-    own = np.arange(len(texts))
-    held = own % CALIBRATION == CALIBRATION - 1
-    pieces, of = list(texts), list(own)
-    for k, t in enumerate(texts):
-        words = t.split()
-        at, n = int(rng.integers(max(1, len(words)))), SNIPPETS[k % len(SNIPPETS)]
-        if any(c.isalpha() for w in words[at : at + n] for c in w):
-            pieces.append(" ".join(words[at : at + n]))
-            of.append(k)
-    y = np.array([languages.index(labels[k]) for k in of])
-    held = held[of]
-    x = _Sparse([np.frombuffer(t.lower().encode("utf-8", "surrogatepass"), np.uint8) for t in pieces])
+    of = np.array([*range(len(examples)), *(k for k, e in enumerate(examples) if e.short)])
+    x = _Sparse([*(e.whole for e in examples), *(e.short for e in examples if e.short)])
+    y = np.array([place[examples[k].lang] for k in of])
+    held = of % CALIBRATION == CALIBRATION - 1
     embed = rng.uniform(-1, 1, (BUCKETS, DIMS)).astype(np.float32) / DIMS
     weights = np.zeros((DIMS, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
     rows = np.flatnonzero(~held) if (~held).any() else np.arange(len(y))
-    target = np.eye(len(languages), dtype=np.float32)[y]
     for epoch in range(EPOCHS):
         step = np.float32(RATE * (1 - epoch / EPOCHS))
         for part in np.array_split(rng.permutation(rows), max(1, len(rows) // BATCH)):
             rows_ = x[part]
             used = np.flatnonzero(rows_.any(axis=0))
             hidden = rows_[:, used] @ embed[used]
-            error = (_softmax(hidden @ weights + bias) - target[part]) / len(part)
+            error = _softmax(hidden @ weights + bias)
+            error[np.arange(len(part)), y[part]] -= 1
+            error /= len(part)
             push = error @ weights.T
             weights -= step * hidden.T @ error
             bias -= step * error.sum(axis=0)
@@ -147,7 +161,7 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model:
     logits = np.concatenate([x[k] @ table for k in np.array_split(np.flatnonzero(test), -(-int(test.sum()) // 1024))]) + bias
     temperature = min(np.geomspace(0.05, 20, 120), key=lambda t: float(-np.log(_softmax(logits / t)[np.arange(test.sum()), y[test]] + 1e-12).mean()))
     p = _softmax(logits / temperature)
-    whole = (np.arange(len(of)) < len(texts))[test]
+    whole = (np.arange(len(of)) < len(examples))[test]
     return Model(languages, table, bias, float(temperature), threshold(p.max(axis=1)[whole], (p.argmax(axis=1) == y[test])[whole]))
 
 
@@ -162,28 +176,39 @@ def threshold(confidence: np.ndarray, right: np.ndarray) -> float:
     return EVEN if kept[-1] == len(order) - 1 else max(EVEN, float(confidence[order][kept[-1]]))
 
 
-def labelled_sample(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
-    """At most SAMPLE_PER_LANGUAGE different (text, language) rows of each language, and SAMPLE_ROWS in all, drawn evenly by a hash of key and text, in its order.
+_COUNTS = "at array<int>, n array<float>, short_at array<int>, short_n array<float>"
+
+
+def labelled_sample(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[Example]:
+    """At most SAMPLE_PER_LANGUAGE different (text, language) rows of each language, and SAMPLE_ROWS in all if there aren't more languages, drawn evenly by a hash of key and text, in its order.
 
-    A longer text than SAMPLE_CHARS is drawn like any other, and a piece from a place in it that the hash tells is learned from.
+    N-grams of whole texts are counted in the tasks that draw them, and only counts travel: a row
+    has at most BUCKETS of them, however long its text is.
     """
     h = F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(11))
     rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), h.alias("h"))
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sizes:
-        return [], []
-    most = min(SAMPLE_PER_LANGUAGE, max(1, SAMPLE_ROWS // len(sizes)))
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 30, int(1.5 * most / max(1, r["n"]) * (1 << 30)) + 1)) for r in sizes], "lang string, share long")
-    drawn = rows.join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share"))  # at most MOST_LANGUAGES rows are broadcast
-    length = F.length("text")
-    start = F.when(length > SAMPLE_CHARS, F.pmod(F.xxhash64("h"), length - SAMPLE_CHARS + 1)).otherwise(0).cast("int")
-    pieces = drawn.select("h", "lang", F.substring("text", start + 1, F.lit(SAMPLE_CHARS)).alias("text")).dropDuplicates(["lang", "h"])
-    first = Window.partitionBy("lang").orderBy("h", "text")  # of about 1.5 times most rows each
-    found = pieces.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most).collect()
-    kept = sorted((r.h, r.lang, r.text) for r in found)
-    return [r[2] for r in kept], [r[1] for r in kept]
+    sizes = materialise(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("size")), "languages")
+    languages = sizes.count()
+    if not languages:
+        return []
+    most = min(SAMPLE_PER_LANGUAGE, max(1, SAMPLE_ROWS // languages))
+    share = F.least(F.lit(1 << 30), (F.lit(3 * most << 29) / F.greatest(F.lit(1), "size")).cast("long") + 8)
+    drawn = rows.join(sizes.select("lang", share.alias("share")), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share")).select("h", "lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [example(t, la, k) for k, la, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            none = np.empty(0, np.uint16), np.empty(0, np.float32)
+            lists = [[pa.array(np.asarray(c), t) for c in column] for column, t in zip(zip(*((*e.whole, *(e.short or none)) for e in found), strict=True), (pa.int32(), pa.float32()) * 2, strict=True)]
+            packed = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.concat_arrays(c)) for c in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], names=["h", "lang", "at", "n", "short_at", "short_n"])
+
+    counted = drawn.mapInArrow(run, f"h long, lang string, {_COUNTS}").dropDuplicates(["lang", "h"])
+    first = Window.partitionBy("lang").orderBy("h")  # of about 1.5 times most rows each
+    found = counted.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most).toArrow()
+    columns = [found.column(c) for c in ("h", "lang", "at", "n", "short_at", "short_n")]
+    made = [(k, la, tuple(x.values.to_numpy() for x in (a, n)), tuple(x.values.to_numpy() for x in (b, m))) for k, la, a, n, b, m in zip(columns[0].to_pylist(), columns[1].to_pylist(), *columns[2:], strict=True)]
+    return [Example(la, whole, short if len(short[0]) else None) for _, la, whole, short in sorted(made, key=lambda r: (r[0], r[1]))]
 
 
 def held_out(key: str, modulus: int, remainder: int) -> Column:
@@ -223,5 +248,5 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str =
 
 def learn(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """A model of the labelled rows that usable admits; None if there are none."""
-    texts, labels = labelled_sample(docs, F.lit(True) if usable is None else usable, key, text, lang)
-    return train(texts, labels) if texts else None
+    examples = labelled_sample(docs, F.lit(True) if usable is None else usable, key, text, lang)
+    return train(examples) if examples else None

@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from .common import materialise, slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; least confidence and least number of different trusted strings of a pattern; most patterns that are told to all tasks, more are joined.
-ROUNDS, CONFIDENT, SUPPORT, MOST_PATTERNS = 3, 0.9, 5, 100_000
-#: Rounds go on until the confident patterns stay the same, ROUNDS times at least and MOST_ROUNDS at most (scores only grow, so these are many).
-MOST_ROUNDS = 12
+#: Least confidence and least number of different trusted strings of a pattern; most patterns that are told to all tasks, more are joined.
+CONFIDENT, SUPPORT, MOST_PATTERNS = 0.9, 5, 100_000
+#: Rounds go on until no confident pattern is new and no confidence grows by more than this. Scores only grow, so that comes.
+GROWTH = 1e-6
 #: Words of a context that are longer are told apart by a hash of the whole word.
 LONG_WORD = 40
 #: What a string that isn't a seed can be trusted at most.
@@ -201,20 +201,22 @@ def bootstrap(extracted: DataFrame) -> DataFrame:
     own = edges.filter("kind >= 0")
     like = own.groupBy("context", "kind").agg(F.count("*").alias("alike"))
     seeds = own.filter("seed").select("string", "kind").distinct().withColumn("trust", F.lit(1.0))
-    trusted, confident, before = seeds, None, -1
-    for n in range(MOST_ROUNDS):
+    trusted, before = seeds, None
+    while True:
         score = own.join(trusted, ["string", "kind"]).groupBy("context", "kind").agg(F.sum("trust").alias("trust"), F.count("*").alias("support"))
         scored = score.filter(F.col("support") >= SUPPORT).join(like, ["context", "kind"]).join(size, "context").filter(F.col("alike") <= 2 * F.col("support"))
         confidence = F.col("trust") / (F.col("support") + F.col("size") - F.col("alike"))
         confident = materialise(scored.withColumn("confidence", confidence).filter(F.col("confidence") >= CONFIDENT), "patterns")
-        now = confident.count()
-        if now == before and n >= ROUNDS or not now:
-            break
-        before = now
+        more = confident
+        if before is not None:
+            was = before.select("context", "kind", F.col("confidence").alias("was"))
+            more = confident.join(was, ["context", "kind"], "left").filter(F.col("was").isNull() | (F.col("confidence") > F.col("was") + GROWTH))
+        if not more.limit(1).count():
+            return confident.select("context", "kind")
+        before = confident
         doubt = F.exp(F.sum(F.log(1 - TRUST * F.col("confidence"))))
         found = own.filter("NOT seed").join(confident.select("context", "kind", "confidence"), ["context", "kind"]).groupBy("string", "kind").agg((1 - doubt).alias("trust"))
         trusted = materialise(seeds.unionByName(found).groupBy("string", "kind").agg(F.max("trust").alias("trust")), "trusted")
-    return confident.select("context", "kind")
 
 
 def told_patterns(patterns: DataFrame) -> Patterns | None:

@@ -124,12 +124,22 @@ def test_language_sample(spark):
     rows = [(None, f"word{k} text", "aa", "s") for k in range(900)] + [(7, f"other{k} text", "bb", "s") for k in range(500)] + [(8, "same text", "cc", "s")] * 50
     rows += [(k, f"{'x' * 30_000} ende {k}", "long", "s") for k in range(4)] + [(9, "1 2", "dd", "s"), (9, None, "dd", "s"), (9, "unlabelled", None, "s")]
     docs = documents(spark, rows)
-    texts, labels = langid.labelled_sample(docs.repartition(7), F.lit(True))
-    assert Counter(labels) == {"aa": 300, "bb": 300, "cc": 1, "long": 4} and max(map(len, texts)) == langid.SAMPLE_CHARS
-    assert (texts, labels) == langid.labelled_sample(docs.repartition(3), F.lit(True))  # the same rows in any order
+    told = lambda x: [(e.lang, *(c.tolist() for c in (*e.whole, *(e.short or ())))) for e in x]
+    found = langid.labelled_sample(docs.repartition(7), F.lit(True))
+    assert Counter(e.lang for e in found) == {"aa": 300, "bb": 300, "cc": 1, "long": 4}
+    assert told(found) == told(langid.labelled_sample(docs.repartition(3), F.lit(True)))  # the same rows in any order
+    whole = {tuple(langid.ngram_counts(np.frombuffer(t.encode(), np.uint8)).nonzero()[0].tolist()): langid.ngram_counts(np.frombuffer(t.encode(), np.uint8)).sum() for _, t, la, _ in rows if la == "long"}
+    assert {tuple(e.whole[0].tolist()): e.whole[1].sum() for e in found if e.lang == "long"} == whole and min(whole.values()) > 89_000
     assert "long" in langid.learn(docs).languages
 
 
+def test_more_languages_than_rows_of_the_sample(spark, monkeypatch):
+    docs = documents(spark, [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} text", f"lang{k}", "s") for k in range(600)])
+    assert len(langid.learn(docs).languages) == 600
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 50)
+    assert len(langid.labelled_sample(docs, F.lit(True))) == 600
+
+
 def test_rejection_keeps_the_risk():
     confidence = np.array([0.99, 0.98, 0.97, 0.8, 0.8, 0.6, 0.3])
     assert langid.threshold(confidence, np.array([True, True, True, False, False, True, True])) == 0.97
@@ -170,6 +180,24 @@ def brute_components(rows):
     return Counter((d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
+def thue_morse():
+    """Words that polynomials modulo a power of two give one hash, whatever their base: they and their complements."""
+    t = "a"
+    for _ in range(12):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return [x.translate(str.maketrans("ab", ab)) for x in (t, t[:1024]) for ab in ("ab", "ba")]
+
+
+def test_word_hashes_are_of_whole_words():
+    said = ["a", "b", "ab", "ba", "abcdefgh", "abcdefgha", "abcdefghabcdefgh", "bbcdefghabcdefgh", "abcdefghbbcdefgh", "x" * 16, "x" * 24, "\0", "\0\0", "a\0", *thue_morse()]
+    data = np.frombuffer(" ".join(said).encode(), np.uint8)
+    hashed, _ = jaccard.words(data, np.array([0, len(data)]))
+    assert len(hashed) == len(set(hashed.tolist())) == len(said)
+    alone = [jaccard.words(np.frombuffer(w.upper().encode(), np.uint8), np.array([0, len(w)]))[0][0] for w in said]
+    assert alone == hashed.tolist()
+    assert [len(x) for x in jaccard.words(np.empty(0, np.uint8), np.zeros(3, np.int64))] == [0, 3]
+
+
 def test_jaccard_against_brute_force(spark, odd, empty, monkeypatch):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 4)))
@@ -179,6 +207,7 @@ def test_jaccard_against_brute_force(spark, odd, empty, monkeypatch):
         for _ in range(25):
             mutant = [word() if rng.random() < 0.03 else w for w in base]
             rows.append((len(rows) + 100 + g, " ".join(mutant[: rng.randint(len(mutant) * 4 // 5, len(mutant))])))
+    rows += [(300 + k, t) for k, t in enumerate(thue_morse())]
     docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
     want = brute_components(rows)
     for tile, small, heavy, home, banded in ((4096, 16, 64, 8192, 256), (8, 2, 10**9, 8192, 256), (16, 0, 3, 20, 1)):
@@ -280,10 +309,10 @@ def test_patterns_beyond_those_told_are_joined(spark, odd, empty, monkeypatch):
 
 def test_scores(spark, odd, empty):
     held = langid.held_out("doc_id", 7, 2)
+    is_held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     docs = odd.unionByName(documents(spark, [(k, f"the cat and the dog number {k % 9} ran home", "en", "a") for k in range(100, 260)]))
     got = scoring.score(docs, held).collect()
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
-    is_held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) + [0]
     counts = Counter(x for d, t in rows if not is_held(d) for x in tokens(t))
     n, v = sum(counts.values()), len(counts)
@@ -297,6 +326,13 @@ def test_scores(spark, odd, empty):
     assert {r.score for r in got if r.doc_id in (4, 5)}.__len__() == 1
 
 
+def test_words_of_like_patterns_are_different_tokens(spark):
+    held = langid.held_out("doc_id", 7, 2)
+    is_held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    got = scoring.score(documents(spark, [(k, thue_morse()[is_held(k)], "en", "a") for k in range(40)]), held).collect()
+    assert {(r.held_out, r.n_known) for r in got} == {(False, 2), (True, 1)}
+
+
 @pytest.mark.parametrize("n", [20, 800, 5000])
 def test_scoring_counts_every_training_text(spark, n):
     rng = random.Random(n)
@@ -366,6 +402,42 @@ def test_scores_of_what_is_joined(spark, odd, empty, monkeypatch):
     assert scoring.score(odd, F.lit(True)).agg(F.max("train_tokens")).first()[0] == 0
 
 
+def test_pattern_scores_against_brute_force(spark):
+    """Rounds over the graph in plain Python, until nothing changes; a chain of contexts that needs more rounds than a dozen."""
+    rng = random.Random(9)
+    edges = {(f"c{k}", f"s{k}-{i}", 1): False for k in range(20) for i in range(8)}
+    edges |= {(f"c{k + 1}", f"s{k}-{i}", 1): False for k in range(19) for i in range(8)}  # each context has the strings of the one before
+    edges |= {("c0", f"seed{i}", 1): True for i in range(9)}
+    edges |= {(f"d{rng.randrange(12)}", f"t{rng.randrange(60)}", rng.choice([-1, 0, 1])): rng.random() < 0.4 for _ in range(400)}
+    edges = {(c, s, k): seed and k >= 0 for (c, s, k), seed in edges.items()}
+    seeds = {(s, k) for (_, s, k), seed in edges.items() if seed}
+    trust, before = dict.fromkeys(seeds, 1.0), None
+    while True:
+        confident = {}
+        for c, k in {(c, k) for c, _, k in edges if k >= 0}:
+            mine = [t for x, s, j in edges if x == c and j == k and (t := trust.get((s, k)))]
+            alike, size = sum(x == c and j == k for x, _, j in edges), sum(x == c for x, _, _ in edges)
+            if len(mine) >= pii.SUPPORT and alike <= 2 * len(mine) and sum(mine) / (len(mine) + size - alike) >= pii.CONFIDENT:
+                confident[c, k] = sum(mine) / (len(mine) + size - alike)
+        if before is not None and all(x in before and v <= before[x] + pii.GROWTH for x, v in confident.items()):
+            break
+        before, trust = confident, dict.fromkeys(seeds, 1.0)
+        for s, k in {(s, k) for (_, s, k), seed in edges.items() if k >= 0 and not seed} - seeds:
+            doubt = math.prod(1 - pii.TRUST * confident[c, k] for c, t, j in edges if t == s and j == k and (c, k) in confident)
+            if doubt < 1:
+                trust[s, k] = 1 - doubt
+    rows = [([{"kind": k, "start": 0, "end": 1, "seed": seed, "string": s, "contexts": [c]}],) for (c, s, k), seed in edges.items()]
+    shape = pii.extract(documents(spark, [])).schema["mentions"].dataType
+    kinds = {f.name: f.dataType for f in shape.elementType.fields}
+    strings = {s: s if kinds["string"].simpleString() == "string" else k for k, s in enumerate(sorted({s for _, s, _ in edges}))}
+    names = {c: c if kinds["contexts"].elementType.simpleString() == "string" else k for k, c in enumerate(sorted({c for c, _, _ in edges}))}
+    rows = [([{**m, "string": strings[m["string"]], "contexts": [names[c] for c in m["contexts"]]} for m in r[0]],) for r in rows]
+    from pyspark.sql.types import StructType
+
+    table = spark.createDataFrame(rows, StructType().add("mentions", shape))
+    assert {(r.context, r.kind) for r in pii.bootstrap(table).collect()} == {(names[c], k) for c, k in confident} and len(confident) > 0
+
+
 def test_mixing(spark, odd, empty):
     docs = odd.unionByName(documents(spark, [(k, "some text", "en", "hot") for k in range(100, 3100)]))
     rates = mixing.temperature_rates(docs, 0.5, 2.0)
