@@ -37,8 +37,10 @@ HEAVY, HEAVY_MOST = 64, 50_000
 FILTER_BITS = 1 << 24
 #: Members of a tile that are compared in one piece; in tiles of SMALL members, pairs are told first and their signatures looked up after.
 TILE, SMALL = 4096, 16
-#: Sets that a task remembers to have told; rows of a home's tiles that one task gets, about.
-ONCE, HOME = 1 << 18, 8192
+#: Sets that a task remembers to have told; rows of a home's tiles that one task gets, about: each of these tasks may tell a pair again.
+ONCE, HOME = 1 << 18, 32768
+#: Nearest pairs are looked for in one of so many tiles: copies share many, and what isn't found there is tested in the end.
+NEAREST = 4
 #: Tiles of more members are compared band by band; in smaller ones the test of sizes does the same.
 BANDED = 256
 #: Bytes of signatures that are compared in one step, and pairs that a task remembers to have told.
@@ -467,7 +469,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     merged = components(links)
     mixed = _mixed(alive, merged)
     # a large tile may be a group of copies: it is merged further by its components' nearest pairs before all pairs are tested
-    near = _verified(_bounded(_tile_pairs(mixed.filter(F.col("m") > SMALL), info, nearest=True), info).select("a", "b"), sets)
+    near = _verified(_bounded(_tile_pairs(mixed.filter((F.col("m") > SMALL) & (F.pmod(F.xxhash64("tok"), F.lit(NEAREST)) == 0)), info, nearest=True), info).select("a", "b"), sets)
     links = materialise(links.unionByName(near), "links")
     mixed = _mixed(mixed, components(links))
     pairs = _small_pairs(mixed.filter(F.col("m") <= SMALL)).unionByName(_tile_pairs(mixed.filter(F.col("m") > SMALL), info, nearest=False))
