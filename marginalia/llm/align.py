@@ -66,6 +66,7 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.length_a, self.length_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.stored = np.int16 if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else np.int32
         self.digits = _digits(max(len(self.bytes_a), len(self.bytes_b)))
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -159,7 +160,7 @@ def spell(a: np.ndarray, b: np.ndarray, found: Alignment, texts_b: np.ndarray, d
 
 
 def encoded(docs: DataFrame, a: str | None = None, b: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(no, doc_id, a, b): ids of each whole text with a space before it in both tokenizers, as a table; both empty where a text has no tokens.
+    """(no, doc_id, a, b): ids of each whole text with a space before it in both tokenizers, as a table; both empty where a text has no tokens. Ids of vocabularies of at most 65,536 are stored in 16 bits, the upper half as negative numbers.
 
     A text that is null or empty, or that either tokenizer doesn't spell byte by byte, has
     none. Repeated rows and ids are further rows with a number (no) of their own.
@@ -173,11 +174,12 @@ def encoded(docs: DataFrame, a: str | None = None, b: str | None = None, key: st
             lists = []
             for k in range(2):
                 offsets = np.cumsum([0, *(len(x[k]) for x in ids)])
-                flat = np.concatenate([x[k] for x in ids]).astype(np.int32)
+                flat = np.concatenate([x[k] for x in ids]).astype(both.stored)
                 lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "a", "b"])
 
-    made = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, a array<int>, b array<int>")
+    kind = "short" if tokenizers(a, b).stored == np.int16 else "int"
+    made = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id long, a array<{kind}>, b array<{kind}>")
     return materialise(made.select(F.monotonically_increasing_id().alias("no"), "*"), "tokens")
 
 
@@ -202,7 +204,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], length_a: np.ndarray, length_b:
         cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if hi > lo:
-                ids = [x.slice(lo, hi - lo).flatten().to_numpy() for x in (a, b)]
+                ids = [(x := c.slice(lo, hi - lo).flatten().to_numpy()).view(np.dtype(f"u{x.dtype}")).astype(np.int64) for c in (a, b)]
                 text = [np.repeat(np.arange(hi - lo), n[lo:hi]) for n in sizes]
                 yield batch.slice(lo, hi - lo), _Texts(hi - lo, *ids, *text, overlaps(length_a[ids[0]], length_b[ids[1]]))
 
@@ -218,7 +220,7 @@ def pair_counts(tokens: DataFrame, a: str | None = None, b: str | None = None) -
         both = tokenizers(a, b)
         for _, x in _aligned(batches, both.length_a, both.length_b):
             u, v = x.found.links()
-            pair, n = np.unique(x.a[u].astype(np.int64) << 32 | x.b[v], return_counts=True)
+            pair, n = np.unique(x.a[u] << 32 | x.b[v], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
 
     counts = materialise(tokens.select("a", "b").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
@@ -241,7 +243,7 @@ def groups(tokens: DataFrame, a: str | None = None, b: str | None = None) -> Dat
             end = np.cumsum(np.bincount(x.found.group_b, both.length_b[x.b], size)).astype(np.int64)
             start = np.append(0, end[:-1])
             first = np.searchsorted(row, row)  # the first group of the text
-            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(g, np.arange(size + 1)), pa.int32()), pa.array(ids)) for g, ids in ((x.found.group_a, x.a), (x.found.group_b, x.b))]
+            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(g, np.arange(size + 1)), pa.int32()), pa.array(ids.astype(np.int32))) for g, ids in ((x.found.group_a, x.a), (x.found.group_b, x.b))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.arange(size) - first), pa.array(start - start[first]), pa.array(end - start[first]), *lists], names=["no", "doc_id", "group", "start", "end", "a", "b"])
 
     return tokens.select("no", "doc_id", "a", "b").mapInArrow(run, "no long, doc_id long, group long, start long, end long, a array<int>, b array<int>")
@@ -270,7 +272,7 @@ def summaries(tokens: DataFrame, counts: DataFrame, a: str | None = None, b: str
         known, n, best = shared.value
         for batch, x in _aligned(batches, both.length_a, both.length_b):
             u, v = x.found.links()
-            codes, text = x.a[u].astype(np.int64) << 32 | x.b[v], x.text_a[u]
+            codes, text = x.a[u] << 32 | x.b[v], x.text_a[u]
             at = np.minimum(np.searchsorted(known, codes), max(0, len(known) - 1))
             hit = known[at] == codes if len(known) else np.zeros(len(codes), bool)
             cuts = np.searchsorted(text, np.arange(x.rows + 1))  # links are in the texts' order
