@@ -244,7 +244,7 @@ def _only(sets: DataFrame, needed: DataFrame) -> DataFrame:
     table = table.view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1 << 22):
             h = batch.column(0).to_numpy() & (FILTER_BITS - 1)
             batch = batch.filter(pa.array((table[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1))
             if batch.num_rows:
@@ -357,7 +357,7 @@ def _tile_pairs(members: DataFrame, info: DataFrame, nearest: bool) -> DataFrame
             told = np.concatenate([told, code[new]]) if len(told) < TOLD else code[new]
             return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for r in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if r[:6] != now:
                     if len(rows) > 1:
@@ -394,7 +394,7 @@ def _bounded(pairs: DataFrame, info: DataFrame) -> DataFrame:
     signed = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             differ, total = [], batch.column(2).to_numpy() + batch.column(3).to_numpy()
             for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 width = min(len(a), len(b))
