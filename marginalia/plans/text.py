@@ -35,7 +35,7 @@ def spans(spark, sf, pattern):
 
 def profile(spark, sf):
     """Flagship: per language and term, its count, share, share of sentence starts and most frequent successor."""
-    t = tk.tokens(docs(spark, sf).select("doc_id", "text")).join(docs(spark, sf).select("doc_id", "lang"), "doc_id")
+    t = docs(spark, sf).select("doc_id", "lang", F.posexplode(tk.token_array(F.col("text"))).alias("pos", "tok"))
     p = ts.with_positions(t).groupBy("lang", "term", "next").agg(F.count("*").alias("c"), F.sum((F.col("pos") == 0).cast("long")).alias("s"))
     best = p.groupBy("lang", "term").agg(F.sum("c").alias("n"), F.sum("s").alias("n_start"), F.min_by("next", F.when(F.col("next").isNotNull(), F.struct(-F.col("c"), F.col("next")))).alias("successor"))
     whole = best.groupBy("lang").agg(F.sum("n").alias("total"))
