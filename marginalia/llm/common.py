@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch while a table is written; the executors' buffers for it are up to three times as large while they grow.
+_BATCH, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 #: Bytes and rows of a slice of an Arrow batch.
 SLICE, ROWS = 1 << 19, 1000
 _OWN: dict[str, str] = {}
@@ -56,7 +58,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
         _KEPT.add(folder)
     path = f"{folder}/{uuid.uuid4().hex}-{tag}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -225,12 +225,13 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str =
     labelled), all are UNKNOWN with score 0, and rejected.
     """
     kept = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
-    rows = docs.select(*kept, F.col(text).alias("__text"))
+    rows = docs.select(*kept) if text in kept else docs.select(*kept, F.col(text).alias("__text"))  # a text travels once
+    at = kept.index(text) if text in kept else len(kept)
     names = [*kept, "lang_pred", "score", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(len(kept)).cast(pa.large_string())
+            texts = batch.column(at).cast(pa.large_string())
             letter = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_pylist()
             lower = pc.utf8_lower(pc.fill_null(texts, ""))
             offsets = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset : lower.offset + len(lower) + 1]
