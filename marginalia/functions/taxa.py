@@ -99,13 +99,18 @@ def show_authority(base: Column, combination: Column) -> Column:
 
 def to_base29(n: Column) -> Column:
     """A number that isn't negative in the catalogue's digits."""
-    digits = F.transform(F.sequence(F.lit(6), F.lit(0)), lambda k: F.substring(F.lit(BASE29), (F.floor(n / F.pow(F.lit(29.0), k)) % 29 + 1).cast("int"), F.lit(1)))
-    return F.regexp_replace(F.array_join(digits, ""), f"^{BASE29[0]}+(?=.)", "")
+    def digit(a: Column, _: Column) -> Column:
+        rest = F.call_function("div", a["rest"], F.lit(29).cast("long"))
+        more = F.struct(rest.alias("rest"), F.concat(F.substring(F.lit(BASE29), (a["rest"] % 29 + 1).cast("int"), F.lit(1)), a["text"]).alias("text"))
+        return F.when((a["rest"] == 0) & (a["text"] != ""), a).otherwise(more)
+
+    start = F.struct(n.cast("long").alias("rest"), F.lit("").alias("text"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(13)), start, digit, lambda a: a["text"])  # a long has 13 digits at most
 
 
 def from_base29(c: Column) -> Column:
     digits = F.array(*map(F.lit, BASE29))
-    return F.aggregate(F.split(F.upper(c), ""), F.lit(0).cast("long"), lambda a, d: a * 29 + F.array_position(digits, d) - 1)
+    return F.aggregate(F.split(F.upper(c), ""), F.lit(0).cast("long"), lambda a, d: a * 29 + (F.array_position(digits, d) - 1))
 
 
 def matches(value: Column, query: Column, prefix: bool, case_sensitive: bool) -> Column:
