@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import jaccard, langid, mixing, packing, pii
-from marginalia.llm.common import materialise
+from marginalia.llm.common import BATCH, materialise
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """From now on, texts go to Python and back in batches of BATCH bytes: an executor holds several of them outside of its heap, each up to twice as large while it grows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Without a labelled document there is nothing to identify by, and that is an error, unless
     there is no document at all: losing the whole corpus silently would be worse.
     """
+    _small_batches(spark)
     model = langid.learn(docs)
     if model is None and docs.limit(1).count():
         raise ValueError("no document has a language to learn from")
@@ -29,22 +35,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of 0.75 Jaccard similarity connect, that with the smallest doc_id; documents without words stay."""
+    _small_batches(spark)
     return jaccard.representatives(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data in their texts replaced and n_chars, where there is one, brought up to date."""
+    _small_batches(spark)
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the Poisson draw for their source's rate says, in a shuffled order."""
+    _small_batches(spark)
     return mixing.poisson_replicate(docs, mixing.temperature_rates(docs)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences."""
+    _small_batches(spark)
     return packing.pack(docs)
 
 
