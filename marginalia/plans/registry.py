@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("text", "votes", "refs", "values", "dates", "trees", "pages", "names", "sources", "streams", "catalogue", "layouts", "references", "spans", "cleaning")
+MODULES: tuple[str, ...] = ("text", "votes", "refs", "values", "dates", "trees", "pages", "names", "sources", "streams", "catalogue", "layouts", "references", "spans", "cleaning", "extraction")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
