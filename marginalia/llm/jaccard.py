@@ -43,6 +43,8 @@ ONCE, HOME = 1 << 18, 32768
 NEAREST = 4
 #: Tiles of more members are compared band by band; in smaller ones the test of sizes does the same.
 BANDED = 256
+#: So many rows that go, at most, are broadcast (24 bytes each).
+GONE = 1 << 19
 #: Bytes of signatures that are compared in one step, and pairs that a task remembers to have told.
 COMPARED, TOLD = 1 << 23, 1 << 21
 #: Sizes and places in the prefix are shuffled as one number, size * PLACES + place.
@@ -499,11 +501,15 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Of rows that are the same in key and text, one stays, any if they differ elsewhere.
     """
     told = classes(docs, key, text)
-    best = told.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("best"))
-    keep = best.select(F.col("best.doc_id").alias("__id"), F.col("best.h").alias("__h"))
-    rows = docs.withColumn("__h", text_hash(text)).withColumn("__blank", ~F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
-    blank = rows.filter("__blank").select(*docs.columns)
-    some = rows.filter("NOT __blank").join(keep.withColumnRenamed("__h", "__k"), (F.col("__h") == F.col("__k")) & F.col(key).cast("long").eqNullSafe(F.col("__id")))
-    if told.filter("comp IS NOT NULL").groupBy("doc_id", "h").count().filter("count > 1").limit(1).count():  # rows repeat, and one of each stays
-        some = some.dropDuplicates(["__h", key])
-    return some.select(*docs.columns).unionByName(blank)
+    some = told.filter("comp IS NOT NULL")
+    best = some.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("best"))
+    gone = some.join(best, "comp").filter(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))))
+    gone = materialise(gone.select(F.col("doc_id").alias("__id"), F.col("h").alias("__k")).distinct(), "gone")
+    # the texts aren't shuffled if what goes is few enough to be told to all tasks; else both sides are
+    gone = F.broadcast(gone) if gone.count() <= GONE else gone
+    rows = docs.withColumn("__h", text_hash(text))
+    kept = rows.join(gone, (F.col("__h") == F.col("__k")) & F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    if some.groupBy("doc_id", "h").count().filter("count > 1").limit(1).count():  # rows repeat, and one of each stays
+        blank = ~F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+        kept = kept.filter(~blank).dropDuplicates(["__h", key]).unionByName(kept.filter(blank))
+    return kept.select(*docs.columns)
