@@ -71,6 +71,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def from_driver(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """Rows that the driver has, as a table. They go by Arrow: a plain list is passed through Python workers of a kind of their own, which executors then keep."""
+    columns = zip(*rows, strict=True) if rows else ([] for _ in schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Parts of Arrow batches, of about this many bytes of texts and ROWS rows at most, for operators whose working memory is a multiple of them.
 

@@ -476,7 +476,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     mixed = _mixed(mixed, components(links))
     pairs = _small_pairs(mixed.filter(F.col("m") <= SMALL)).unionByName(_tile_pairs(mixed.filter(F.col("m") > SMALL), info, nearest=False))
     more = _verified(_bounded(pairs, info).select("a", "b"), sets)
-    final = components(links.unionByName(more))
+    # written first, as everywhere: a task with two Python steps in a row would need two workers, and an executor keeps all that it ever had
+    final = components(materialise(links.unionByName(more), "links"))
     told = sets.select("doc_id", "h", "n", "sid").join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
     return materialise(told.select("doc_id", "h", "n", "comp"), "classes")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import from_driver, materialise, slices
 
 SIZE, END = 1024, 2
 #: Pieces of one length are ranked in buckets, of so many pieces of any length on average; numbers of buckets there are at least and at most.
@@ -255,8 +255,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", tex
     for length, bucket, n in sizes:
         before.append((length, bucket, counts.get(length, 0)))
         counts[length] = counts.get(length, 0) + n
-    first = spark.createDataFrame(before, "length long, bucket int, before long")
-    places = spark.createDataFrame(plan(counts, size), "length long, lo long, hi long, sequence long, offset long")
+    first = from_driver(spark, before, pa.schema([("length", pa.int64()), ("bucket", pa.int32()), ("before", pa.int64())]))
+    places = from_driver(spark, plan(counts, size), pa.schema([(c, pa.int64()) for c in ("length", "lo", "hi", "sequence", "offset")]))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(first), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     placed = ranked.join(F.broadcast(places), "length").filter("rank >= lo AND rank < hi")

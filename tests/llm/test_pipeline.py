@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.core.rdd import RDD
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from marginalia.llm import common, graph, jaccard, langid, packing, pii
 
 
 def test_stages(spark, small):
@@ -54,5 +56,41 @@ def test_odd_rows_and_clashing_names(spark, small):
     assert ids and cp.STAGES[-1][1](spark, seen, small).count() >= len(ids)
 
 
+def python_steps(node, above=0):
+    """The most Python steps that one task of the plan runs at once: those between two exchanges."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return python_steps(node.initialPlan(), above)
+    above = 0 if "Exchange" in node.nodeName() else above + (node.nodeName() in ("MapInArrow", "MapInPandas", "ArrowEvalPython"))
+    below = node.children()
+    return max([above, *(python_steps(below.apply(k), above) for k in range(below.length()))])
+
+
+def test_a_task_needs_one_python_worker(spark, small, monkeypatch):
+    """Executors keep every worker that they ever started, so a task with two Python steps doubles what all later stages hold."""
+    most = {}
+
+    def noted(df, tag):
+        most[tag] = max(most.get(tag, 0), python_steps(df._jdf.queryExecution().executedPlan()))
+        return common.materialise(df, tag)
+
+    for module in (graph, jaccard, langid, packing, pii):
+        monkeypatch.setattr(module, "materialise", noted)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for name, stage in cp.STAGES:
+        docs = noted(stage(spark, docs, small), name)
+    assert max(most.values()) == 1, {k: v for k, v in most.items() if v > 1}
+
+
+def test_packing_plan_reaches_executors_without_rdd_workers(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("rows of the driver go through Python workers")
+
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (3, "word " * 3000)], "doc_id long, text string").localCheckpoint()
+    monkeypatch.setattr(RDD, "map", refused)
+    out = packing.pack(docs).collect()
+    assert {r.doc_id for r in out} == {1, 2, 3} and {r.offset for r in out if r.doc_id == 3} != set()
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
 def docs_extra():
     return F.lit(7)
