@@ -8,11 +8,11 @@ finds by a join on rank and epithet first and on ancestry then, never by walking
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxa as tx
-from .trees import paths, redirect
+from .trees import paths, redirect, stored
 
 SPECIES, GENUS = tx.NAMES.index("species") + 1, tx.NAMES.index("genus") + 1
 #: Fits with which a record is a child of its parent.
@@ -64,13 +64,18 @@ def fitted(records: DataFrame, removed: DataFrame | None = None) -> DataFrame:
 def _found(up: DataFrame, records: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, found): for each wanted (id, top, rank, epithet) the record of that rank and epithet nearest beneath top, or top itself; the smallest id in a tie.
 
-    up: edges (desc, anc) of the region to search. Only pairs that agree in rank and epithet meet the ancestry.
+    up: edges (desc, anc) of the region to search. Candidates and what is searched for meet by
+    top, rank and epithet at once, and of each such place the two nearest are kept (one may be
+    the record itself), so records of one name make no pairs.
     """
-    named = records.select(F.col("id").alias("cand"), "rank", "epithet")
-    near = wanted.join(named, ["rank", "epithet"]).filter("cand <> id")
-    lines = paths(up).withColumnRenamed("desc", "cand").withColumnRenamed("anc", "top")
-    beneath = near.join(lines, ["cand", "top"]).select("id", "cand", "dist").unionByName(near.filter("cand = top").select("id", "cand", F.lit(0).alias("dist")))
-    return beneath.groupBy("id").agg(F.min_by("cand", F.struct("dist", "cand")).alias("found"))
+    place = ["top", "rank", "epithet"]
+    named = records.select(F.col("id").alias("cand"), "rank", "epithet").join(wanted.select("rank", "epithet").distinct(), ["rank", "epithet"], "left_semi")
+    inner = up.select(F.col("anc").alias("desc")).union(named.select("cand")).distinct()  # other records are on no line from a candidate
+    lines = paths(up.join(inner, "desc", "left_semi")).withColumnRenamed("desc", "cand").withColumnRenamed("anc", "top")
+    beneath = named.join(lines, "cand").select(*place, "cand", "dist").unionByName(named.withColumn("top", F.col("cand")).withColumn("dist", F.lit(0)))
+    asked = beneath.join(wanted.select(*place).distinct(), place, "left_semi")
+    nearest = asked.withColumn("__k", F.row_number().over(Window.partitionBy(*place).orderBy("dist", "cand"))).filter("__k <= 2").drop("__k")
+    return wanted.join(nearest, place).filter("cand <> id").groupBy("id").agg(F.min_by("cand", F.struct("dist", "cand")).alias("found"))
 
 
 def reattached(records: DataFrame) -> DataFrame:
@@ -82,6 +87,7 @@ def reattached(records: DataFrame) -> DataFrame:
     What is found goes under the assigned parent, as an accepted record even if it was a
     synonym. Without a find, what is below species goes under the assigned parent itself.
     """
+    records = stored(records, "fitted")
     orphan = records.filter("fit = 'orphan'")
     sub_genus, sub_family = F.col("rank") == "subGenus", F.col("rank") == "subFamily"
     genus = F.regexp_extract("name", r"^([A-Z][a-z]+)\s*\(\s*[A-Z][a-z]+\s*\)", 1)

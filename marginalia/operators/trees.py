@@ -16,6 +16,13 @@ from ..sources.files import shared_path
 from .ordering import numbered
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for what is used more than once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def paths(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(desc, anc, dist): all paths over edges (desc, anc), or those up to a length, each pair with its shortest; no pair of a record with itself.
 
@@ -25,23 +32,16 @@ def paths(edges: DataFrame, depth: int | None = None) -> DataFrame:
     of exactly that length with all. Each round is a table in the shared folder, so lineage
     stays short and a lost executor costs a round.
     """
-    spark = edges.sparkSession
-
-    def stored(df: DataFrame) -> DataFrame:
-        path = shared_path(spark, "paths")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    known = stored(edges.filter("desc <> anc").select("desc", "anc").distinct().withColumn("dist", F.lit(1)))
+    known = stored(edges.filter("desc <> anc").select("desc", "anc").distinct().withColumn("dist", F.lit(1)), "paths")
     step = 1
     while depth is None or step < depth:
         full = known.filter(F.col("dist") == step).select("desc", F.col("anc").alias("via"))
         far = full.join(known.select(F.col("desc").alias("via"), "anc", "dist"), "via").filter("desc <> anc").select("desc", "anc", (F.col("dist") + step).alias("dist"))
         far = far.filter(F.col("dist") <= depth) if depth is not None else far
-        new = stored(far.join(known.select("desc", "anc"), ["desc", "anc"], "left_anti").distinct())
+        new = stored(far.join(known.select("desc", "anc"), ["desc", "anc"], "left_anti").distinct(), "paths")
         if not new.limit(1).count():
             break
-        known = stored(known.unionByName(new).groupBy("desc", "anc").agg(F.min("dist").alias("dist")))
+        known = stored(known.unionByName(new).groupBy("desc", "anc").agg(F.min("dist").alias("dist")), "paths")
         step *= 2
     return known
 
