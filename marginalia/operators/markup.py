@@ -67,10 +67,14 @@ def _bare(names: Column) -> Column:
 
 
 def _with_record(rows: DataFrame, to: str, authors: Column, editors: Column, fields: Column, ids: Column, kind: Column) -> DataFrame:
-    """rows with a record; its parts are columns first, so that what reads a field doesn't compute it anew for each use."""
+    """rows with a record; its parts are columns first, so that what reads a field doesn't compute it anew for each use.
+
+    The record comes out of an explode of one element: filters on it stay above, while pushed
+    down they would repeat the whole reading of the document for each use of a field.
+    """
     parts = {"authors": authors, "editors": editors, "fields": fields, "ids": ids, "type": F.when(F.length(kind) > 0, kind)}
     rows = rows.withColumns({f"__record_{k}": c for k, c in parts.items()})
-    return rows.withColumn(to, F.struct(*(F.col(f"__record_{k}").alias(k) for k in parts))).drop(*(f"__record_{k}" for k in parts))
+    return rows.withColumn(to, F.explode(F.array(F.struct(*(F.col(f"__record_{k}").alias(k) for k in parts))))).drop(*(f"__record_{k}" for k in parts))
 
 
 def from_generic(rows: DataFrame, xml: str, to: str = "record", details: tuple[str, ...] = ("affiliation", "ORCID")) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from marginalia.operators import repair as rp
+from marginalia.plans import refs
 
 
 def rows_made(df):
@@ -49,3 +50,8 @@ def test_the_nearest_of_a_name_that_is_not_the_record_itself(spark):
     records = spark.createDataFrame([(i, "species", "sp") for i in "acdw"] + [("b", "genus", "G")], "id string, rank string, epithet string")
     wanted = spark.createDataFrame([("w", "a", "species", "sp"), ("a", "a", "species", "sp"), ("y", "b", "species", "sp"), ("z", "c", "species", "sp"), ("c", "c", "species", "sp"), ("n", "b", "species", "no")], "id string, top string, rank string, epithet string")
     assert {tuple(r) for r in rp._found(up, records, wanted).collect()} == {("w", "a"), ("a", "w"), ("y", "c"), ("z", "c")}
+
+
+def test_a_filter_on_attributes_reads_xml_once(spark, small):
+    df = refs.through_attributes(spark, small)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
