@@ -28,6 +28,18 @@ def attribute_name(text: Column) -> Column:
     return F.nullif(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"[^0-9A-Za-z\-._]", "_"), F.lit(""))
 
 
+def _stated(attributes: DataFrame) -> DataFrame:
+    """(table_id, r, c, above): at each attribute cell (table_id, r, c, name, text), the last one of each name up to it, in the order of their rows.
+
+    So a row inherits as many as there are names, and not all cells above it.
+    """
+    names = attributes.select("table_id", "c", "name").distinct()
+    every = attributes.select("table_id", "r", "c", F.col("name").alias("__own"), "text").join(names, ["table_id", "c"])
+    told = F.last(F.when(F.col("__own") == F.col("name"), F.struct("r", "name", "text")), ignorenulls=True)
+    so_far = every.select("table_id", "r", "c", told.over(Window.partitionBy("table_id", "c", "name").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)).alias("x"))
+    return so_far.filter("x IS NOT NULL").groupBy("table_id", "r", "c").agg(F.array_sort(F.collect_list("x")).alias("above"))
+
+
 def extract(cells: DataFrame, rows: DataFrame, columns: DataFrame, headers_in: DataFrame | None = None) -> DataFrame:
     """(table_id, r, c, value, header, name, attributes) of every cell with text in a data row and a data column.
 
@@ -60,9 +72,12 @@ def extract(cells: DataFrame, rows: DataFrame, columns: DataFrame, headers_in: D
     beside = beside.withColumn("__name", F.coalesce(attribute_name(F.col("header")), F.concat(F.lit("attribute"), number)))
     parallel = beside.groupBy("table_id", "r").agg(F.array_sort(F.collect_list(F.struct("c", F.col("__name").alias("name"), "text"))).alias("parallel"))
     named = typed.filter("of_row = 'attribute' AND of_column = 'attribute'").groupBy("table_id", "r").agg(F.max_by("text", "c").alias("__t")).select("table_id", "r", attribute_name(F.col("__t")).alias("__row"))
-    body = typed.filter("of_row IN ('data', 'attribute') AND of_column = 'data' AND text IS NOT NULL").join(named, ["table_id", "r"], "left")
-    above = F.collect_list(F.when((F.col("of_row") == "attribute") & F.col("__row").isNotNull(), F.struct("r", F.col("__row").alias("name"), "text")))
-    body = body.withColumn("orthogonal", above.over(Window.partitionBy("table_id", "c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1))).filter("of_row = 'data'")
+    body = typed.filter("of_column = 'data' AND text IS NOT NULL")
+    stated = _stated(body.filter("of_row = 'attribute'").join(named.filter("__row IS NOT NULL"), ["table_id", "r"]).select("table_id", "r", "c", F.col("__row").alias("name"), "text"))
+    data = body.filter("of_row = 'data'").select("table_id", "r", "c", "text", "of_row")
+    body = data.unionByName(stated, allowMissingColumns=True)
+    body = body.withColumn("orthogonal", F.last("above", ignorenulls=True).over(Window.partitionBy("table_id", "c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)))
+    body = body.filter("of_row = 'data'").drop("above")
     joined = body.join(parallel, ["table_id", "r"], "left").join(header, ["table_id", "c"], "left")
     none = lambda c: F.coalesce(F.transform(c, lambda x: F.struct(x["name"].alias("key"), x["text"].alias("value"))), F.array().cast("array<struct<key:string,value:string>>"))
     every = F.concat(none(F.col("parallel")), none(F.col("orthogonal")))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from marginalia.operators import repair as rp
+from marginalia.operators.extraction import extract
 from marginalia.plans import refs
 
 
-def rows_made(df):
-    """The rows of the result, and the most rows that any node of its plan put out."""
+def rows_made(df, metric="numOutputRows"):
+    """The rows of the result, and the most rows (or bytes, with dataSize) that any node of its plan put out."""
     got = df.collect()
     most, todo = 0, [df._jdf.queryExecution().executedPlan()]
     while todo:
@@ -17,7 +18,7 @@ def rows_made(df):
             todo.append(node.executedPlan())
         elif kind.endswith("QueryStageExec"):
             todo.append(node.plan())
-        count = node.metrics().get("numOutputRows")
+        count = node.metrics().get(metric)
         most = max(most, count.get().value() if count.isDefined() else 0)
         todo += [node.children().apply(k) for k in range(node.children().size())]
     return got, most
@@ -55,3 +56,20 @@ def test_the_nearest_of_a_name_that_is_not_the_record_itself(spark):
 def test_a_filter_on_attributes_reads_xml_once(spark, small):
     df = refs.through_attributes(spark, small)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+
+
+def test_attributes_of_one_name_are_not_all_carried(spark):
+    n = 2000
+    texts = [(1, r, c, "Head" if r == 0 else f"k{r % 4}" if c == 0 else f"t{r}") for r in range(n) for c in range(2)]
+    cells = spark.createDataFrame(texts, "table_id int, r int, c int, text string")
+    rows = spark.createDataFrame([(1, r, "header" if r == 0 else "attribute" if r % 2 else "data") for r in range(n)], "table_id int, r int, type string")
+    columns = spark.createDataFrame([(1, 0, "attribute"), (1, 1, "data")], "table_id int, c int, type string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, moved = rows_made(extract(cells, rows, columns), "dataSize")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    last = {r.r: r.attributes for r in got}
+    assert len(last) == n // 2 - 1 and last[2] == {"Head": "k2", "k1": "t1"} and last[1998] == {"Head": "k2", "k3": "t1995", "k1": "t1997"}
+    assert moved < 2_000_000
