@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,28 +17,66 @@ def grid(cells: DataFrame) -> DataFrame:
 
     Head rows come first and foot rows last; a cell takes the next free place of its row and
     fills its spans; a cell over the full width ignores its rowspan; places without a cell
-    are missing ("" and spanned null). Filling is sequential, so a table is one group.
+    are missing ("" and spanned null). Filling is sequential, so a table is in one task, but
+    its rows are streamed in order: besides the row at hand only spans from above are held.
     """
 
-    def build(t: pd.DataFrame) -> pd.DataFrame:
-        order = {"head": 0, "body": 1, "foot": 2}
-        rows = [g.sort_values("ord") for _, g in sorted(t.groupby(["sec", "r"], sort=False), key=lambda x: (order[x[0][0]], x[0][1]))]
-        width = max(int(g["colspan"].sum()) for g in rows)
-        taken: dict[tuple[int, int], tuple[str, bool]] = {}
-        for r, g in enumerate(rows):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("table_id", "__sec", "r", "__width", "colspan", "rowspan", "text")
+        table, k, out = None, 0, []
+        above: list[list[tuple[int, str]]] = []  # for each column (end, text) of spans, the last one first to end
+
+        def fill(row: list, width: int) -> None:
+            nonlocal above
+            above = above or [[] for _ in range(width)]
+            places = []
+            for spans in above:
+                while spans and spans[-1][0] <= k:
+                    spans.pop()
+                places.append((spans[-1][1], True) if spans else None)
             c = 0
-            for text, wide, high in zip(g["text"], g["colspan"], g["rowspan"], strict=True):
-                while (r, c) in taken:
+            for wide, high, text in row:
+                while c < width and places[c]:
                     c += 1
-                for i in range(1 if wide >= width else int(high)):
-                    for j in range(int(wide)):
-                        if c + j < width and r + i < len(rows):
-                            taken[r + i, c + j] = (text, bool(i or j))
-                c += int(wide)
-        out = [(t["table_id"].iloc[0], r, c, *taken.get((r, c), ("", None))) for r in range(len(rows)) for c in range(width)]
-        return pd.DataFrame(out, columns=["table_id", "r", "c", "text", "spanned"])
-
-    return cells.groupBy("table_id").applyInPandas(build, "table_id long, r int, c int, text string, spanned boolean")
+                for j in range(c, min(c + wide, width)):
+                    places[j] = (text, j > c)
+                    if wide < width and high > 1:
+                        while above[j] and above[j][-1][0] <= k + high:
+                            above[j].pop()
+                        above[j].append((k + high, text))
+                c += wide
+            out.extend((table, k, c, *(x or ("", None))) for c, x in enumerate(places))
+
+        def told() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["table_id", "r", "c", "text", "spanned"])
+            out.clear()
+            return batch
+
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
+        at, row, width = None, [], 0
+        for batch in batches:
+            for t, *place, w, wide, high, text in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if at != (t, *place):
+                    if row:
+                        fill(row, width)
+                        k += 1
+                    if at is None or at[0] != t:
+                        k, above = 0, []
+                    at, row, width, table = (t, *place), [], w, t
+                    if len(out) >= 10_000:
+                        yield told()
+                row.append((wide, high, text))
+        if row:
+            fill(row, width)
+        if out:
+            yield told()
+
+    order = F.when(F.col("sec") == "head", 0).when(F.col("sec") == "body", 1).when(F.col("sec") == "foot", 2).otherwise(F.raise_error(F.concat(F.lit("no section: "), "sec")))
+    known = cells.filter("sec IS NOT NULL AND r IS NOT NULL")
+    widths = known.groupBy("table_id", "sec", "r").agg(F.sum("colspan").alias("w")).groupBy(F.col("table_id").alias("__t")).agg(F.max("w").cast("int").alias("__width"))
+    rows = known.join(widths, F.col("table_id").eqNullSafe(F.col("__t"))).select("table_id", order.cast("int").alias("__sec"), "r", "ord", "__width", "colspan", "rowspan", "text")
+    ordered = rows.repartition("table_id").sortWithinPartitions("table_id", "__sec", "r", "ord")
+    return ordered.mapInArrow(build, "table_id long, r int, c int, text string, spanned boolean")
 
 
 def is_numeric(c: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from marginalia.operators import repair as rp
 from marginalia.operators.extraction import extract
+from marginalia.operators.tables import grid
 from marginalia.plans import refs
 
 
@@ -73,3 +76,31 @@ def test_attributes_of_one_name_are_not_all_carried(spark):
     last = {r.r: r.attributes for r in got}
     assert len(last) == n // 2 - 1 and last[2] == {"Head": "k2", "k1": "t1"} and last[1998] == {"Head": "k2", "k3": "t1995", "k1": "t1997"}
     assert moved < 2_000_000
+
+
+def filled(t):
+    """A table's places by brute force, all spans laid out: {(r, c): (text, spanned)}."""
+    rows = [[x for x in t if x[2] == r] for r in sorted({x[2] for x in t})]
+    width, taken = max(sum(x[4] for x in row) for row in rows), {}
+    for r, row in enumerate(rows):
+        c = 0
+        for _, _, _, _, wide, high, text in sorted(row, key=lambda x: x[3]):
+            while (r, c) in taken:
+                c += 1
+            for i in range(1 if wide >= width else high):
+                for j in range(wide):
+                    if c + j < width and r + i < len(rows):
+                        taken[r + i, c + j] = (text, bool(i or j))
+            c += wide
+    return {(r, c): taken.get((r, c), ("", None)) for r in range(len(rows)) for c in range(width)}
+
+
+def test_a_grid_is_streamed_and_fills_spans(spark):
+    dice = random.Random(7)
+    cells = [(t, "body", r, k, dice.choice((1, 1, 2, 3)), dice.choice((1, 1, 2, 5)), f"{t}.{r}.{k}") for t in range(20) for r in range(dice.randint(1, 30)) for k in range(dice.randint(1, 4))]
+    df = grid(spark.createDataFrame(cells, "table_id long, sec string, r int, ord int, colspan int, rowspan int, text string"))
+    assert "FlatMapGroups" not in df._jdf.queryExecution().optimizedPlan().toString()  # a whole table as one batch
+    got = {}
+    for x in df.collect():
+        got.setdefault(x.table_id, {})[x.r, x.c] = (x.text, x.spanned)
+    assert got == {t: filled([x for x in cells if x[0] == t]) for t in range(20)}
