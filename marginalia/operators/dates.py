@@ -209,10 +209,14 @@ def resolve(found: DataFrame) -> DataFrame:
 
 
 def resolve_by_year(found: DataFrame) -> DataFrame:
-    """Spans (doc_id, start, end, year_len, ...) without repeated ones, and without those that overlap one with a longer year; where years are equally long both stay."""
-    one = found.dropDuplicates(["doc_id", "start", "end"])
-    o = one.select(F.col("doc_id").alias("__d"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("year_len").alias("__y"))
-    return one.join(o, (F.col("doc_id") == F.col("__d")) & (F.col("start") < F.col("__e")) & (F.col("__s") < F.col("end")) & (F.col("__y") > F.col("year_len")), "left_anti")
+    """Spans (doc_id, start, end, year_len, ...) without repeated ones, and without those that overlap one with a longer year; where years are equally long both stay.
+
+    A document's spans are compared in one row, so they are found once and not for each side of a join.
+    """
+    near = found.repartition("doc_id").dropDuplicates(["doc_id", "start", "end"]).groupBy("doc_id").agg(F.collect_list(F.struct(*found.columns)).alias("x"))
+    covers = lambda o, x: F.coalesce((x["start"] < o["end"]) & (o["start"] < x["end"]) & (o["year_len"] > x["year_len"]) & x["doc_id"].isNotNull(), F.lit(False))
+    kept = F.filter("x", lambda x: ~F.exists("x", lambda o: covers(o, x)))
+    return near.select(F.inline(kept))
 
 
 def partial(tokens: DataFrame, order: str, doc_year: int = 2025) -> DataFrame:

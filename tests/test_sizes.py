@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+from marginalia.operators import dates
 from marginalia.operators import repair as rp
 from marginalia.operators.extraction import extract
 from marginalia.operators.tables import grid
@@ -104,3 +106,10 @@ def test_a_grid_is_streamed_and_fills_spans(spark):
     for x in df.collect():
         got.setdefault(x.table_id, {})[x.r, x.c] = (x.text, x.spanned)
     assert got == {t: filled([x for x in cells if x[0] == t]) for t in range(20)}
+
+
+def test_spans_are_found_once_to_be_compared(spark):
+    rows = [(1, 0, 3, 4), (1, 0, 3, 4), (1, 2, 5, 0), (1, 3, 5, 0), (1, 2, 6, 4), (2, 2, 5, 0), (3, 0, 2, None), (3, 1, 3, 4), (None, 0, 3, 4), (None, 1, 2, 0)]
+    df = dates.resolve_by_year(spark.createDataFrame(rows, "doc_id long, start int, end int, year_len int"))
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert Counter(map(tuple, df.collect())) == Counter([(1, 0, 3, 4), (1, 2, 6, 4), (2, 2, 5, 0), (3, 0, 2, None), (3, 1, 3, 4), (None, 0, 3, 4), (None, 1, 2, 0)])
