@@ -21,6 +21,12 @@ def with_positions(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     return tokens.select("*", F.lower("tok").alias("term"), F.lead(F.lower("tok")).over(w).alias("next"), depth.alias("depth"), (F.lag("tok").over(w) == ",").alias("after_comma"))
 
 
+def successions(sequences: DataFrame, terms: str) -> DataFrame:
+    """sequences with a row for each of their terms, an array in one column: pos, term and next, the following one. Nothing is shuffled."""
+    each = F.transform(terms, lambda x, i: F.struct(i.alias("pos"), x.alias("term"), F.get(F.col(terms), i + 1).alias("next")))
+    return sequences.select("*", F.inline(each)).drop(terms)
+
+
 def frequencies(tokens: DataFrame, total: DataFrame | None = None) -> DataFrame:
     """(term, n, total, freq_norm, freq_smooth); the total is a window over the grouped terms' sum, one row."""
     counts = tokens.groupBy(F.lower("tok").alias("term")).agg(F.count("*").alias("n"))

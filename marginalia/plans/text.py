@@ -35,10 +35,11 @@ def spans(spark, sf, pattern):
 
 def profile(spark, sf):
     """Flagship: per language and term, its count, share, share of sentence starts and most frequent successor."""
-    t = docs(spark, sf).select("doc_id", "lang", F.posexplode(tk.token_array(F.col("text"))).alias("pos", "tok"))
-    p = ts.with_positions(t).groupBy("lang", "term", "next").agg(F.count("*").alias("c"), F.sum((F.col("pos") == 0).cast("long")).alias("s"))
+    terms = docs(spark, sf).select("lang", F.transform(tk.token_array(F.col("text")), F.lower).alias("terms"))
+    t = ts.successions(terms, "terms")
+    p = t.groupBy("lang", "term", "next").agg(F.count("*").alias("c"), F.sum((F.col("pos") == 0).cast("long")).alias("s"))
     best = p.groupBy("lang", "term").agg(F.sum("c").alias("n"), F.sum("s").alias("n_start"), F.min_by("next", F.when(F.col("next").isNotNull(), F.struct(-F.col("c"), F.col("next")))).alias("successor"))
-    whole = best.groupBy("lang").agg(F.sum("n").alias("total"))
+    whole = terms.groupBy("lang").agg(F.sum(F.size("terms")).alias("total"))  # from the texts, as counts of pairs would be shuffled again
     return best.join(whole, "lang").select("lang", "term", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"), F.round(F.col("n_start") / F.col("n"), 9).alias("start_share"), "successor")
 
 

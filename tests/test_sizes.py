@@ -9,7 +9,7 @@ from marginalia.operators import dates
 from marginalia.operators import repair as rp
 from marginalia.operators.extraction import extract
 from marginalia.operators.tables import grid
-from marginalia.plans import refs
+from marginalia.plans import refs, text
 
 
 def rows_made(df, metric="numOutputRows"):
@@ -113,3 +113,11 @@ def test_spans_are_found_once_to_be_compared(spark):
     df = dates.resolve_by_year(spark.createDataFrame(rows, "doc_id long, start int, end int, year_len int"))
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert Counter(map(tuple, df.collect())) == Counter([(1, 0, 3, 4), (1, 2, 6, 4), (2, 2, 5, 0), (3, 0, 2, None), (3, 1, 3, 4), (None, 0, 3, 4), (None, 1, 2, 0)])
+
+
+def test_the_term_profile_shuffles_counts_and_not_tokens(spark, tmp_path):
+    rows = [(k, "to be or not to be " * 200, "en", "s", 1) for k in range(50)] + [(50, None, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got, moved = rows_made(text.profile(spark, str(tmp_path)), "shuffleRecordsWritten")
+    assert {(r.term, r.n, r.successor) for r in got} == {("to", 20000, "be"), ("be", 20000, "or"), ("or", 10000, "not"), ("not", 10000, "to")}
+    assert moved < 1000
