@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import taxa as tx
+from ..operators.trees import stored
 from .files import data_tile_lines, index_lines, parse_data_tile, parse_index_tile, shared_path, write_ranges
 
 #: Rounds in which a line of parents is climbed, at most; a longer line, or a circle, is an error.
@@ -154,7 +155,7 @@ def to_json(catalogue: Catalogue, ids: DataFrame, higher: bool = True, expand: b
     """
     own = catalogue.records(ids)
     links = own.select("id", F.col("parent"), "valid", F.coalesce("children", F.array().cast("array<long>")).alias("children"), F.coalesce("synonyms", F.array().cast("array<long>")).alias("synonyms"))
-    links = links.withColumn("parent", F.when(F.col("valid").isNull(), F.col("parent")))
+    links = stored(links.withColumn("parent", F.when(F.col("valid").isNull(), F.col("parent"))), "links")  # else the tiles are parsed anew for each use
     start = links.select("id", F.coalesce("valid", "id").alias("base"))
     shown_ids = links.select("id").union(start.select("base"))
     many = links.select("id", F.posexplode(F.array(F.array("parent"), F.array("valid"), "children", "synonyms")).alias("role", "ids")).select("id", "role", F.posexplode("ids").alias("place", "to")).filter("to IS NOT NULL")
@@ -164,9 +165,7 @@ def to_json(catalogue: Catalogue, ids: DataFrame, higher: bool = True, expand: b
     above = above.filter(tx.is_primary(F.col("rank"))) if higher else None
     if higher and expand:
         shown_ids = shown_ids.union(above.select("anc"))
-    folder = shared_path(catalogue.spark, "shown")
-    _shown(catalogue, shown_ids.toDF("id")).write.parquet(folder)
-    shown = catalogue.spark.read.parquet(folder)
+    shown = stored(_shown(catalogue, stored(shown_ids.toDF("id").distinct(), "shown-ids")), "shown")
     short = shown.select(F.col("id").alias("to"), "short")
     out = links.join(shown.select("id", "short"), "id")
     if expand:

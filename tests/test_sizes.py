@@ -9,7 +9,7 @@ from marginalia.operators import dates
 from marginalia.operators import repair as rp
 from marginalia.operators.extraction import extract
 from marginalia.operators.tables import grid
-from marginalia.plans import refs, text
+from marginalia.plans import catalogue, refs, text
 
 
 def rows_made(df, metric="numOutputRows"):
@@ -121,3 +121,8 @@ def test_the_term_profile_shuffles_counts_and_not_tokens(spark, tmp_path):
     got, moved = rows_made(text.profile(spark, str(tmp_path)), "shuffleRecordsWritten")
     assert {(r.term, r.n, r.successor) for r in got} == {("to", 20000, "be"), ("be", 20000, "or"), ("or", 10000, "not"), ("not", 10000, "to")}
     assert moved < 1000
+
+
+def test_records_as_json_do_not_parse_tiles_again(spark, small):
+    plan = catalogue.QUERIES["s12_by_id_expanded"][0](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "] text" not in plan
